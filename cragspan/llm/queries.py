@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragspan.llm import decontamination, secrets
+from cragspan.llm import decontamination, languages, mixing, secret_scan, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,21 +24,43 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, findings, paths = secrets.scan(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    found = secrets.by_path(paths, findings)
+    _, findings, paths = secret_scan.scan(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = secret_scan.by_path(paths, findings)
 
     def joined(column: Column) -> Column:
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    base = F.filter("found", lambda s: s["rank"] < len(secrets.BASE_RULES))
+    base = F.filter("found", lambda s: s["rank"] < len(secret_scan.BASE_RULES))
     ranks = F.transform("found", lambda s: s["rank"])
-    counts = [(F.size("found") - F.size(F.array_remove(ranks, k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE_RULES)]
+    counts = [(F.size("found") - F.size(F.array_remove(ranks, k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(secret_scan.BASE_RULES)]
     return found.select(F.col("path").alias("doc_id"), *counts, _sha(joined(base)).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def _remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"))
+    model = languages.train(docs.where("not held_out"))
+    return languages.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op4_language": op4_language,
     "op6_secrets": op6_secrets,
+    "op9_sharding": op9_sharding,
+    "op10_mixing": op10_mixing,
 }
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -46,16 +46,17 @@ def random_key(seed: int, *columns: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *columns, F.lit(seed ^ 0x5DEECE66D))
 
 
-def shuffled_rank(df: DataFrame, groups: list[str], order: list[str], total: int, out: str, weight: str | None = None) -> DataFrame:
+def shuffled_rank(df: DataFrame, groups: list[str], order: list[str], total: int, out: str, weight: str | None = None, slice_by: Column | None = None) -> DataFrame:
     """Adds ``out``: the 0-based place of each row in its group under a pseudo-random order.
 
     With ``weight``, ``out`` is the sum of the weights before the row instead.  ``order`` must
     start with a uniform 64-bit key.  Two levels keep any group from meeting in one task: the
     key's high bits cut each group into slices, the slices' totals are added up over a small
-    table, and rows are ranked inside their slice only.
+    table, and rows are ranked inside their slice only.  ``slice_by`` gives other slices, which must
+    rise with the order.
     """
     slices = max(1, -(-total // RANK_GROUP_ROWS))
-    cut = df.withColumn("_slice", F.pmod(F.shiftrightunsigned(F.col(order[0]), 32), F.lit(slices)))
+    cut = df.withColumn("_slice", slice_by if slice_by is not None else F.pmod(F.shiftrightunsigned(F.col(order[0]), 32), F.lit(slices)))
     amount = F.col(weight) if weight else F.lit(1)
     sums = cut.groupBy(*groups, "_slice").agg(F.sum(amount).cast("long").alias("_sum"))
     keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
