@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragspan.llm import decontamination, fingerprints, languages, mixing, near_duplicates, quality, secret_scan, sharding, substrings
+from cragspan.llm import decontamination, fingerprints, language_model, languages, mixing, near_duplicates, quality, secret_scan, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,13 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_remainder(7) == 2, F.lit(False)).alias("held_out"))
+    model = language_model.train(docs.where("not held_out"))
+    scored = language_model.score(docs, model)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"))
     model = languages.train(docs.where("not held_out"))
@@ -77,6 +84,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substrings": op2_substrings,
+    "op3_language_model": op3_language_model,
     "op4_language": op4_language,
     "op5_fingerprints": op5_fingerprints,
     "op6_secrets": op6_secrets,
