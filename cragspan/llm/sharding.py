@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragspan.llm.session import random_key, saved, shuffled_rank
@@ -79,9 +79,23 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 9, doc_id: str = "doc_i
     return shuffled_rank(placed, ["shard"], ["_out", "doc_id"], total // shards, "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
+def place(docs: DataFrame, shards: int = 40, seed: int = 9) -> DataFrame:
+    """``docs`` with shard and slot (columns of these names are replaced).  Identical rows each get a place of their own."""
+    content = F.coalesce("text", F.lit(""))
+    keys = ["_key", "_crc", "_size"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key", F.xxhash64("doc_id", "_crc", "_size"))
+
+    places = shard(docs, shards, seed).withColumnsRenamed({"text_crc32": "_crc", "size": "_size"})
+    places = keyed(places).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("_places"))
+    own = docs.drop("shard", "slot").withColumns({"_crc": F.crc32(content.cast("binary")).cast("long"), "_size": (F.octet_length(content) + 16).cast("long")})
+    own = keyed(own).withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("_key")))
+    found = own.join(places, keys).withColumn("_place", F.element_at("_places", F.col("_nth")))
+    return found.select(*[c for c in docs.columns if c not in ("shard", "slot")], "_place.shard", "_place.slot")
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 9) -> None:
     """The documents in folders ``shard=K``, each in the order of its slots."""
-    placed = shard(docs, shards, seed).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard", "slot").dropDuplicates(["_id", "_crc", "_size"])
-    content = F.coalesce("text", F.lit("")).cast("binary")
-    found = docs.join(placed, docs.doc_id.eqNullSafe(F.col("_id")) & (F.crc32(content) == F.col("_crc")) & (F.octet_length(content) + 16 == F.col("_size"))).drop("_id", "_crc", "_size")
-    found.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed = place(docs, shards, seed)
+    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
