@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block.
 BLOCK_WORDS = 1024
 #: Slots of the schedule that are ranked together.
-RUN_SLOTS = 65_536
+RUN_SLOTS = 4_096
 
 
 def targets(sizes: dict[str | None, int], weights: list[int], most: int = 3) -> dict[str | None, Fraction]:

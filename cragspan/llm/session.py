@@ -13,8 +13,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows (of narrow keys) that one group of a two-level rank should hold.
-RANK_GROUP_ROWS = 50_000
+#: Rows (of narrow keys) that one slice of a two-level rank should hold, and how many slices a group may have.
+SLICE_ROWS = 2_000
+MOST_SLICES = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,7 +56,7 @@ def shuffled_rank(df: DataFrame, groups: list[str], order: list[str], total: int
     table, and rows are ranked inside their slice only.  ``slice_by`` gives other slices, which must
     rise with the order.
     """
-    slices = max(1, -(-total // RANK_GROUP_ROWS))
+    slices = max(1, min(MOST_SLICES, -(-total // SLICE_ROWS)))
     cut = df.withColumn("_slice", slice_by if slice_by is not None else F.pmod(F.shiftrightunsigned(F.col(order[0]), 32), F.lit(slices)))
     amount = F.col(weight) if weight else F.lit(1)
     sums = cut.groupBy(*groups, "_slice").agg(F.sum(amount).cast("long").alias("_sum"))
