@@ -143,7 +143,7 @@ _add("mesh_edges", lambda k, d: t.edges(event_mesh(k, d)[1]), "SELECT a, b, coun
 _add("triangle_neighbours", lambda k, d: t.triangle_neighbours(event_mesh(k, d)[1]), "SELECT p.tid, p.o AS opposite, coalesce(q.tid, -1) AS neighbour FROM E p LEFT JOIN E q ON p.a = q.a AND p.b = q.b AND p.tid <> q.tid")
 _W = "W AS (SELECT DISTINCT a AS vid, b AS nid FROM E UNION SELECT DISTINCT b, a FROM E ), Q AS (SELECT V.vid, V.x, V.y, V.z, avg(v2.z) AS mean_z FROM V JOIN W ON W.vid = V.vid JOIN V v2 ON v2.vid = W.nid GROUP BY ALL)"
 _add("laplacian_smooth", lambda k, d: _rounded(t.laplacian_smooth(*event_mesh(k, d), 0.5), 9), f"WITH {_W} SELECT vid, x, y, round(z + 0.5*(mean_z - z), 9) AS z FROM Q")
-_add("spikes", lambda k, d: _rounded(t.spikes(*event_mesh(k, d), 0.2)), f"WITH {_W} SELECT vid, round(z,6) AS z, round(mean_z,6) AS mean_z FROM Q WHERE abs(z-mean_z) > 0.2")
+_add("spikes", lambda k, d: _rounded(t.spikes(*event_mesh(k, d), 0.2), 9), f"WITH {_W} SELECT vid, round(z,9) AS z, round(mean_z,9) AS mean_z FROM Q WHERE abs(z-mean_z) > 0.2")
 _add("breaklines", lambda k, d: _rounded(t.breaklines(*event_mesh(k, d), 25.0), 5), "WITH u AS (SELECT tid, a*turn/size AS nx, b*turn/size AS ny, c*turn/size AS nz FROM N ), g AS (SELECT p.a, p.b, degrees(acos(greatest(least(m.nx*k.nx+m.ny*k.ny+m.nz*k.nz,1),-1))) AS angle FROM E p JOIN E q ON p.a=q.a AND p.b=q.b AND p.tid<q.tid JOIN u m ON m.tid=p.tid JOIN u k ON k.tid=q.tid) SELECT a, b, round(angle,5) AS angle FROM g WHERE angle >= 25")
 _add("valley_edges", lambda k, d: t.valley_edges(*event_mesh(k, d), 0.05), "SELECT p.a, p.b FROM E p JOIN E q ON p.a=q.a AND p.b=q.b AND p.tid<q.tid JOIN V a ON a.vid=p.a JOIN V b ON b.vid=p.b JOIN V o ON o.vid=p.o JOIN V u ON u.vid=q.o WHERE o.z >= (a.z+b.z)/2+0.05 AND u.z >= (a.z+b.z)/2+0.05")
 _SEG = " UNION ALL ".join(f"SELECT tid, level, x{i}+(level-z{i})/(z{j}-z{i})*(x{j}-x{i}) AS x, y{i}+(level-z{i})/(z{j}-z{i})*(y{j}-y{i}) AS y FROM l WHERE (z{i} < level) <> (z{j} < level)" for i, j in ((0, 1), (1, 2), (2, 0)))

@@ -1,0 +1,75 @@
+"""Queries against SQL on the smallest tables, and sources on small files."""
+
+import os
+
+import duckdb
+import pytest
+
+from cragspan.functions import geometry as g
+from cragspan.operators import cloud, neighbours, survey
+from cragspan.plans import queries
+from cragspan.sources import text
+from cragspan.streaming.grids import windowed_density
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
+    return c
+
+
+def _same(rows):
+    return sorted((tuple(None if v is None or v != v else float(f"{v:.7g}") if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query(spark, duck, name):
+    got = queries.QUERIES[name](spark, SF)
+    want = duck.sql(queries.ORACLE_SQL[name])
+    names = sorted(got.columns)
+    assert sorted(want.columns) == names
+    at = [want.columns.index(n) for n in names]
+    assert _same(tuple(r) for r in got.select(*[f"`{n}`" for n in names]).collect()) == _same(tuple(r[k] for k in at) for r in want.fetchall())
+
+
+def test_text_sources(spark, tmp_path):
+    (tmp_path / "a.xyz").write_text("# note\n1 2 3\n\n4;5;6\n7, 8, 9\n")
+    assert [tuple(r) for r in text.read_xyz(spark, str(tmp_path / "a.xyz")).collect()] == [(1, 2, 3), (4, 5, 6), (7, 8, 9)]
+    (tmp_path / "b.pts").write_text("2\n1 2 3\n4 5 6\n")
+    assert text.read_pts(spark, str(tmp_path / "b.pts")).count() == 2
+    (tmp_path / "c.pts").write_text("3\n1 2 3\n4 5 6\n")
+    with pytest.raises(ValueError):
+        text.read_pts(spark, str(tmp_path / "c.pts"))
+    (tmp_path / "d.txt").write_text("7,100,200,3,ROAD1\n8,101,201,4,\n")
+    assert [tuple(r) for r in text.read_survey(spark, str(tmp_path / "d.txt"), "PNEZD").collect()] == [("7", 200, 100, 3, "ROAD1"), ("8", 201, 101, 4, None)]
+    (tmp_path / "e.xyz").write_text("1 2\n")
+    with pytest.raises(Exception, match="too few"):
+        text.read_xyz(spark, str(tmp_path / "e.xyz")).collect()
+
+
+def test_empty_cloud(spark):
+    none = spark.createDataFrame([], "pid long, x double, y double, z double")
+    assert neighbours.knn(none, none, 3).count() == 0
+    assert cloud.random_sample(none, 0.5, 1).count() == 0
+    assert cloud.voxel_centroid(none, 1.0).count() == 0
+
+
+def test_codes(spark):
+    df = spark.createDataFrame([("RD1.2.S",), ("77",), ("A.1",), ("a.b.c.d",)], "code string")
+    got = survey.parse_codes(df).select("base", "figure", "command", g.base_code(df.code).alias("b")).collect()
+    assert [tuple(r)[:3] for r in got] == [("RD1", "2", "start"), (None, None, None), ("A", "1", "continue"), (None, None, None)]
+    assert got[1].b == "77"
+
+
+def test_stream(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 1.5D AS x, 2.5D AS y, 3.0D AS z UNION ALL SELECT timestamp'2024-01-01 01:10:00', 1.2D, 2.2D, 5.0D")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = windowed_density(stream, 1.0).writeStream.outputMode("complete").format("memory").queryName("grid").start()
+    q.processAllAvailable()
+    q.stop()
+    assert _same(spark.sql("SELECT ci, cj, points, low, high FROM grid").collect()) == _same(windowed_density(rows, 1.0).drop("start").collect())
