@@ -198,7 +198,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
 def identify(docs: DataFrame, model: dict, text: str = "text", reject_below: float = 0.0) -> DataFrame:
     """``docs`` with lang_pred and score.  A null text, one without letters, or a score below ``reject_below`` gives ``und``; such texts without letters score 0.
 
-    Only the text is read.  Whole texts are scored, however long.
+    Only the text is read.  Whole texts are scored, however long.  Columns of these two names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -219,4 +219,5 @@ def identify(docs: DataFrame, model: dict, text: str = "text", reject_below: flo
             yield pd.concat(found, ignore_index=True) if found else pd.DataFrame({"lang_pred": [], "score": []})
 
     guess = F.pandas_udf(predict, "lang_pred string, score double")
-    return docs.withColumn("_guess", guess(F.col(text))).select(*docs.columns, "_guess.lang_pred", "_guess.score")
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*own, guess(F.col(text)).alias("_guess")).select(*own, "_guess.lang_pred", "_guess.score")
