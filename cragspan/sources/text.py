@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Other names of columns, and the columns of headerless survey layouts.
 ALIASES = {"x": ["x", "easting", "east", "e"], "y": ["y", "northing", "north", "n"], "z": ["z", "elevation", "elev", "height"], "intensity": ["intensity", "i"], "classification": ["classification", "class"]}
-LAYOUTS = {"NEZ": ["y", "x", "z"], "ENZ": ["x", "y", "z"], "PENZ": ["id", "x", "y", "z"], "PENZD": ["id", "x", "y", "z", "code"], "PNEZ": ["id", "y", "x", "z"], "PNEZD": ["id", "y", "x", "z", "code"], "XYZI": ["x", "y", "z", "intensity"]}
+LAYOUTS = {"ID_XYZ_CODE": ["id", "x", "y", "z", "code"], "NEZ": ["y", "x", "z"], "ENZ": ["x", "y", "z"], "PENZ": ["id", "x", "y", "z"], "PENZD": ["id", "x", "y", "z", "code"], "PNEZ": ["id", "y", "x", "z"], "PNEZD": ["id", "y", "x", "z", "code"], "XYZI": ["x", "y", "z", "intensity"], "XYZRGB": ["x", "y", "z", "red", "green", "blue"]}
 
 
 def _fields(lines: DataFrame) -> DataFrame:
@@ -31,7 +31,10 @@ def read_xyz(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_survey(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    return _typed(_fields(spark.read.text(path)), LAYOUTS[layout])
+    """A headerless survey file; whatever the layout's order, columns come as id, x, y, z and then the rest."""
+    columns = LAYOUTS[layout]
+    order = ["id", "x", "y", "z"]
+    return _typed(_fields(spark.read.text(path)), columns).select(*[c for c in order if c in columns], *[c for c in columns if c not in order])
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
