@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from cragspan.llm.session import saved
 
-#: What is lower-cased, and what a word is.
+#: What is lower-cased, and what separates words: ASCII other than digits and letters.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = "".join(chr(c) for first, last in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)) for c in range(first, last + 1))
+#: Stands for a text as a whole among its shingles; no word holds it.
+WHOLE = "\x00"
 #: Words in a shingle (a shorter window is a single shingle).
 GRAM = 3
 #: Rows of distinct benchmark shingles (about 100 bytes each) up to which they are broadcast.
@@ -24,8 +26,9 @@ BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
-    """The words of a text; none of a null text."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text, A-Z lower-cased; none of a null text.  Separators become spaces in the pass that lower-cases."""
+    spaced = F.translate(text, UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS))
+    return F.coalesce(F.array_remove(F.split(spaced, " "), ""), F.array().cast("array<string>"))
 
 
 def _grams(column: str, n: int) -> Column:
@@ -33,6 +36,22 @@ def _grams(column: str, n: int) -> Column:
     return F.transform(F.col(column), lambda w, i: F.concat_ws(" ", w, *[F.get(F.col(column), i + k) for k in range(1, n)]))
 
 
+def _placed(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """``docs(doc, th, words)``: rows ``(doc, th, n, pos, gram)`` of every shingle, and one of each text as a whole at -1, in one pass."""
+    rest = [F.slice("words", k, F.greatest(F.size("words"), F.lit(1))).alias(f"w{k}") for k in range(1, GRAM)]
+    zipped = F.arrays_zip(F.concat(F.array(F.lit(WHOLE)), F.col("words")).alias("w0"), *rest)
+    each = docs.select("doc", "th", F.size("words").alias("n"), F.posexplode(zipped).alias("pos", "w")).withColumn("pos", F.col("pos") - 1)
+
+    def gram(n: int) -> Column:
+        return F.when(F.col("pos") + n <= F.col("n"), F.concat_ws(" ", *[F.col(f"w.w{k}") for k in range(n)]))
+
+    whole = F.when(F.col("pos") < 0, F.lit(WHOLE))
+    if len(sizes) == 1:
+        return each.select("doc", "th", "n", "pos", F.coalesce(whole, gram(sizes[0])).alias("gram"))
+    grams = F.when(F.col("pos") < 0, F.array(whole)).otherwise(F.array_compact(F.array(*[gram(n) for n in sizes])))
+    return each.select("doc", "th", "n", "pos", F.explode(grams).alias("gram"))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_words, n_hit (words in any occurrence of an
     item's window), items (sorted ids as strings) and contaminated (20 * n_hit >= n_words > 0 hits).
@@ -56,18 +75,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     for p in parts:
         grams = grams.union(p)
     grams = saved(grams, "decon-grams")
+    whole = documents.sparkSession.createDataFrame([(WHOLE,)], "gram string")
     known = grams.select("gram").distinct()
     small = known.count() <= BROADCAST_ROWS
     bound = F.broadcast if small else (lambda df: df)
 
-    placed = None
-    for n in sizes:
-        one = docs.select("doc", "th", F.size("words").alias("n"), F.posexplode(_grams("words", n)).alias("pos", "gram"))
-        placed = one if placed is None else placed.union(one)
-    counted = docs.select("doc", "th", F.size("words").cast("long").alias("n_words"))
-    if placed is None:
-        return counted.select(F.col("doc").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
-    hits = saved(placed.join(bound(known), "gram").distinct(), "decon-hits")
+    placed = _placed(docs, sizes or [GRAM])
+    # a shuffled join must not gather every text's row for itself under one key
+    met = placed.join(F.broadcast(known.union(whole)), "gram") if small else placed.join(known, "gram").union(placed.where(F.col("gram") == WHOLE).select("gram", "doc", "th", "n", "pos"))
+    met = saved(met.select("gram", "doc", "th", "n", "pos"), "decon-met")
+    counted = met.where(F.col("gram") == WHOLE).select("doc", "th", F.col("n").cast("long").alias("n_words"))
+    hits = saved(met.where(F.col("gram") != WHOLE).distinct(), "decon-hits")
 
     rarity = hits.groupBy("gram").agg(F.count("*").alias("occurs"))
     ranked = grams.join(rarity, "gram").groupBy("win", "len").agg(F.min(F.struct("occurs", "gram", "off")).alias("least"), F.count("*").alias("found"))
