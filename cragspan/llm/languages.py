@@ -44,17 +44,40 @@ def _symbols(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(letter, flat, 0)[keep], doc[keep]
 
 
-def _grams(symbols: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """A row for every symbol but a text's leading one: the ORDER symbols that end there, zeros before the text."""
-    out = np.zeros((len(symbols), ORDER), np.int64)
-    for k in range(ORDER):
-        back = ORDER - 1 - k
+#: Up to so many possible grams of a piece's alphabet they are told apart by a table, else by sorting.
+TABLE_GRAMS = 1 << 25
+
+
+def _distinct(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(grams, at)``: the distinct grams as rows of ORDER symbols, zeros before a text, and for every
+    symbol but a text's leading one the row of the gram that ends there."""
+    alphabet = np.flatnonzero(np.bincount(symbols))
+    number = np.zeros(int(alphabet[-1]) + 1, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    own, base = number[symbols], len(alphabet)  # symbol 0 leads every text, so its number is 0
+    rows = []
+    for back in range(ORDER - 1, -1, -1):
+        part = own.copy()
         if back:
-            same = doc[back:] == doc[:-back]
-            out[back:, k] = np.where(same, symbols[:-back], 0)
-        else:
-            out[:, k] = symbols
-    return out
+            part[:back] = 0
+            part[back:] = np.where(doc[back:] == doc[:-back], own[:-back], 0)
+        rows.append(part[~_leading(doc)])
+    if base**ORDER >= 2**62:  # tens of thousands of different letters
+        grams, at = np.unique(np.stack(rows, 1), axis=0, return_inverse=True)
+        return alphabet[grams], at.ravel()
+    code = np.zeros(len(rows[0]), np.int64)
+    for part in rows:
+        code = code * base + part
+    if base**ORDER <= TABLE_GRAMS:
+        seen = np.zeros(base**ORDER, bool)
+        seen[code] = True
+        codes = np.flatnonzero(seen)
+        place = np.zeros(len(seen), np.int32)
+        place[codes] = np.arange(len(codes))
+        at = place[code]
+    else:
+        codes, at = np.unique(code, return_inverse=True)
+    return np.stack([alphabet[codes // base ** (ORDER - 1 - k) % base] for k in range(ORDER)], 1), at
 
 
 def _key(grams: np.ndarray) -> np.ndarray:
@@ -126,14 +149,12 @@ def log_prob(model: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
 def entropies(models: list[list[np.ndarray]], raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """``(texts x models cross-entropy per symbol, letters or gaps per text)``; texts without a letter have 0 symbols."""
     symbols, doc = _symbols(raws)
-    grams, lead = _grams(symbols, doc), _leading(doc)
-    grams, doc = grams[~lead], doc[~lead]
+    grams, at = _distinct(symbols, doc)
+    doc = doc[~_leading(doc)]
     number = np.bincount(doc, minlength=len(raws))
     found = np.zeros((len(raws), len(models)))
-    if len(grams):
-        _, one, at = np.unique(_key(grams), return_index=True, return_inverse=True)
-        for m, model in enumerate(models):
-            found[:, m] = -np.bincount(doc, log_prob(model, grams[one])[at], len(raws)) / np.maximum(number, 1)
+    for m, model in enumerate(models if len(grams) else []):
+        found[:, m] = -np.bincount(doc, log_prob(model, grams)[at], len(raws)) / np.maximum(number, 1)
     return found, number
 
 
@@ -164,8 +185,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
         for b in batches:
             for name, texts in b.groupby("lang")["text"]:
                 for _, _, raws in pieces(texts.tolist()):
-                    symbols, doc = _symbols(raws)
-                    g, c = np.unique(_grams(symbols, doc)[~_leading(doc)], axis=0, return_counts=True)
+                    g, at = _distinct(*_symbols(raws))
+                    c = np.bincount(at, minlength=len(g))
                     yield pd.DataFrame({"lang": name, "count": c, **{f"s{k}": g[:, k] for k in range(ORDER)}})
 
     symbols = [f"s{k}" for k in range(ORDER)]
