@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cragspan.functions import geodesy as geo
 from cragspan.functions import geometry as g
 from cragspan.operators import cloud as c
 from cragspan.operators import neighbours as n
+from cragspan.operators import shape as h
 from cragspan.operators import survey as s
 from cragspan.operators import terrain as t
 
@@ -229,3 +231,44 @@ def _step(k: SparkSession, d: str) -> DataFrame:
 
 
 _add("distances", lambda k, d: _rounded(_step(k, d), 4), "WITH q AS (SELECT a.pid, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS h2, b.z-a.z AS dz FROM EV a JOIN EV b ON b.pid=a.pid+1) SELECT pid, round(sqrt(h2+dz*dz),4) AS d3, round(sqrt(h2),4) AS d2, round(abs(dz),4) AS dz, round(CASE WHEN h2>0 THEN abs(dz)*100/sqrt(h2) END,4) AS percent, round(degrees(atan2(dz,sqrt(h2))),4) AS angle FROM q")
+
+
+_MOMENTS = f"""Q AS (SELECT p.pid, b.x-a.x AS x, b.y-a.y AS y, b.z-a.z AS z FROM {_KNN.replace("WHERE a.pid <> b.pid", "")} p JOIN EM a ON a.pid = p.pid JOIN EM b ON b.pid = p.nid WHERE k <= 10),
+C AS (SELECT pid, covar_pop(x,x) AS xx, covar_pop(x,y) AS xy, covar_pop(x,z) AS xz, covar_pop(y,y) AS yy, covar_pop(y,z) AS yz, covar_pop(z,z) AS zz FROM Q GROUP BY 1),
+C1 AS (SELECT *, (xx+yy+zz)/3 AS q FROM C), C2 AS (SELECT *, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM C1),
+C3 AS (SELECT *, acos(greatest(-1, least(1, ((xx-q)*((yy-q)*(zz-q)-yz*yz)-xy*(xy*(zz-q)-yz*xz)+xz*(xy*yz-(yy-q)*xz))/(2*p*p*p))))/3 AS t FROM C2),
+L3 AS (SELECT *, q+2*p*cos(t) AS l1, q+2*p*cos(t-2*pi()/3) AS l2, q+2*p*cos(t+2*pi()/3) AS l3 FROM C3)"""
+_add("shape_features", lambda k, d: _rounded(h.shape_features(vector_cloud(k, d), 10)), f"WITH {_MOMENTS}, S AS (SELECT *, l1/(l1+l2+l3) AS a, l2/(l1+l2+l3) AS b, l3/(l1+l2+l3) AS c FROM L3) SELECT pid, round(cbrt(l1*l2*l3),6) AS omnivariance, round((l1-l3)/l1,6) AS anisotropy, round((l1-l2)/l1,6) AS linearity, round((l2-l3)/l1,6) AS planarity, round(l3/l1,6) AS sphericity, round(c,6) AS surface_variation, round(-(a*ln(a)+b*ln(b)+c*ln(c)),6) AS eigenentropy FROM S")
+_add("pca_curvature", lambda k, d: _rounded(h.normals(vector_cloud(k, d), 10).select("pid", "curvature")), f"WITH {_MOMENTS} SELECT pid, round(l3/(l1+l2+l3),6) AS curvature FROM L3")
+_add("pca_normals", lambda k, d: _rounded(h.normals(vector_cloud(k, d), 10).select("pid", F.abs("nx").alias("ax"), F.abs("ny").alias("ay"), F.abs("nz").alias("az"))), f"WITH {_MOMENTS} SELECT pid, " + ", ".join(f"round(sqrt(({m} - l3*({t}) + l3*l3) / ((l1-l3)*(l2-l3))), 6) AS {name}" for m, t, name in (("yy*zz-yz*yz", "yy+zz", "ax"), ("xx*zz-xz*xz", "xx+zz", "ay"), ("xx*yy-xy*xy", "xx+yy", "az"))) + " FROM L3")
+_add("density_summary", lambda k, d: _rounded(h.density_summary(c.density_map(event_cloud(k, d), 20.0))), "WITH m AS (SELECT min(x) AS x0, min(y) AS y0 FROM EV ), r AS (SELECT count(*)/400.0::DOUBLE AS density FROM EV CROSS JOIN m GROUP BY trunc((y-y0)/20), trunc((x-x0)/20)) SELECT round(avg(density),6) AS mean, round(min(density),6) AS min, round(max(density),6) AS max, round(stddev_pop(density),6) AS std, count(*) AS cells FROM r")
+_add("segment_sizes", lambda k, d: h.segment_sizes(_table(k, d, "events").select((F.col("user_id") - 5).cast("long").alias("segment")), "segment"), "SELECT CAST(user_id - 5 AS BIGINT) AS segment, count(*) AS points FROM events WHERE user_id >= 5 GROUP BY 1")
+_add("survey_codes", lambda k, d: _survey(k, d).select("code").where("code is not null").distinct(), f"WITH {_SV} SELECT DISTINCT code FROM SV WHERE code IS NOT NULL")
+
+
+def _named(columns: tuple, names: str) -> list:
+    return [v.alias(a) for v, a in zip(columns, names.split(), strict=True)]
+
+
+_ECEF = f"R AS (SELECT id, radians(lat) AS p, radians(lon) AS q, {geo.AXIS}::DOUBLE/sqrt(1-{geo._E2!r}::DOUBLE*sin(radians(lat))*sin(radians(lat))) AS n FROM P), X AS (SELECT id, (n+100)*cos(p)*cos(q) AS x, (n+100)*cos(p)*sin(q) AS y, (n*(1-{geo._E2!r}::DOUBLE)+100)*sin(p) AS z FROM R)"
+
+
+def _geocentric(k: SparkSession, d: str) -> DataFrame:
+    return _positions(k, d).select("id", *_named(geo.geocentric(F.col("lat"), F.col("lon"), F.lit(100.0)), "x y z"))
+
+
+_SHIFT, _TURN, _PPM = (446.448, -125.157, 542.06), (0.15, 0.247, 0.842), -20.489
+_add("geocentric", lambda k, d: _rounded(_geocentric(k, d), 3), f"WITH {_POS}, {_ECEF} SELECT id, round(x,3) AS x, round(y,3) AS y, round(z,3) AS z FROM X")
+_rx, _ry, _rz = (f"radians({a}::DOUBLE/3600)" for a in _TURN)
+_add("helmert", lambda k, d: _rounded(_geocentric(k, d).select("id", *_named(geo.helmert(F.col("x"), F.col("y"), F.col("z"), _SHIFT, _TURN, _PPM), "x y z")), 3), f"WITH {_POS}, {_ECEF} SELECT id, round({_SHIFT[0]}+(1+{_PPM}::DOUBLE*1e-6)*(x-{_rz}*y+{_ry}*z),3) AS x, round({_SHIFT[1]}+(1+{_PPM}::DOUBLE*1e-6)*({_rz}*x+y-{_rx}*z),3) AS y, round({_SHIFT[2]}+(1+{_PPM}::DOUBLE*1e-6)*(-{_ry}*x+{_rx}*y+z),3) AS z FROM X")
+_XI = " + ".join(["xi", *[f"{a!r}::DOUBLE*sin({2 * k}*xi)*(exp({2 * k}*eta)+exp(-{2 * k}*eta))/2" for k, a in enumerate(geo.SERIES, 1)]])
+_ETA = " + ".join(["eta", *[f"{a!r}::DOUBLE*cos({2 * k}*xi)*(exp({2 * k}*eta)-exp(-{2 * k}*eta))/2" for k, a in enumerate(geo.SERIES, 1)]])
+_E1 = f"sqrt({geo._E2!r}::DOUBLE)"
+
+
+def _utm(k: SparkSession, d: str) -> DataFrame:
+    zoned = _positions(k, d).withColumn("zone", g.utm_zone(F.col("lat"), F.col("lon")))
+    return zoned.select("id", "zone", *_named(geo.utm(F.col("lat"), F.col("lon"), F.col("zone")), "east north"))
+
+
+_add("utm_forward", lambda k, d: _rounded(_utm(k, d), 3), ORACLE_SQL["utm_zone"].replace("SELECT id, CAST(", "Z AS (SELECT id, lat, lon, CAST(", 1).replace("FROM customer)", "FROM customer),", 1) + f"), A AS (SELECT *, sin(radians(lat)) AS s, radians(lon-(zone*6-183)) AS w FROM Z), B AS (SELECT *, atanh(s)-{_E1}*atanh({_E1}*s) AS psi FROM A), U AS (SELECT *, (exp(psi)-exp(-psi))/2 AS tau FROM B), W AS (SELECT *, atan2(tau, cos(w)) AS xi, atanh(sin(w)/sqrt(1+tau*tau)) AS eta FROM U) SELECT id, zone, round(500000+0.9996::DOUBLE*{geo.RADIUS!r}::DOUBLE*({_ETA}),3) AS east, round(0.9996::DOUBLE*{geo.RADIUS!r}::DOUBLE*({_XI}) + CASE WHEN lat<0 THEN 10000000 ELSE 0 END,3) AS north FROM W")

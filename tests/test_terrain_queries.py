@@ -5,8 +5,11 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from cragspan.functions import geodesy
 from cragspan.functions import geometry as g
-from cragspan.operators import cloud, neighbours, survey
+from cragspan.operators import cloud, neighbours, shape, survey
 from cragspan.plans import queries
 from cragspan.sources import text
 from cragspan.streaming.grids import windowed_density
@@ -73,3 +76,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert _same(spark.sql("SELECT ci, cj, points, low, high FROM grid").collect()) == _same(windowed_density(rows, 1.0).drop("start").collect())
+
+
+def test_utm_on_the_central_meridian(spark):
+    df = spark.createDataFrame([(0.0, 3.0, 31), (45.0, 3.0, 31), (-45.0, 3.0, 31)], "lat double, lon double, zone int")
+    got = df.select(*geodesy.utm(F.col("lat"), F.col("lon"), F.col("zone"))).collect()
+    assert [round(r[0], 3) for r in got] == [500000.0] * 3
+    assert [round(r[1], 2) for r in got] == [0.0, 4982950.4, 5017049.6]
+
+
+def test_normals_of_planes(spark):
+    flat = [(i, float(i % 5), float(i // 5), 2.0) for i in range(25)]
+    cloud_ = spark.createDataFrame(flat, "pid long, x double, y double, z double")
+    up = shape.normals(cloud_, 6).collect()
+    assert all((round(abs(r.nx), 9), round(abs(r.ny), 9), round(r.nz, 9), round(r.curvature, 9)) == (0, 0, 1, 0) for r in up)
+    assert all(round(r.nz, 9) == -1 for r in shape.normals(cloud_, 6, (0.0, 0.0, -9.0)).collect())
+    same = spark.createDataFrame([(i, 1.0, 1.0, 1.0) for i in range(4)], "pid long, x double, y double, z double")
+    assert {(r.nx, r.ny, r.nz, r.curvature) for r in shape.normals(same, 3).collect()} == {(0, 0, 1, 0)}
+    assert shape.shape_features(same.limit(0), 3).count() == 0
