@@ -48,7 +48,9 @@ def _grams(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_decontamination(spark, docs, rows):
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_decontamination(spark, docs, rows, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast_rows)
     items = ["Aa bb.", None, "", rows[7].text, " ".join((rows[8].text or "").split()[:20]) + " zz yy xx"]
     bench = spark.createDataFrame([(i, t, 3) for i, t in enumerate(items)], "item_id long, text string, words int")
     got = sorted(decontamination.contamination(docs, bench).collect(), key=lambda r: (r.doc_id, r.n_words))
