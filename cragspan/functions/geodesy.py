@@ -44,3 +44,54 @@ def utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
         north = north + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
         east = east + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
     return UTM_EAST + UTM_SCALE * RADIUS * east, UTM_SCALE * RADIUS * north + F.when(lat < 0, UTM_NORTH).otherwise(0.0)
+
+
+def geodesic(lat0: Column, lon0: Column, lat1: Column, lon1: Column, rounds: int = 20) -> Column:
+    """Length of the shortest line on the ellipsoid, by iterating the longitude on the auxiliary sphere.
+
+    Null for nearly antipodal points, where the iteration does not settle.
+    """
+    b, f = AXIS * (1 - FLATTENING), FLATTENING
+    u0, u1 = F.atan((1 - f) * F.tan(F.radians(lat0))), F.atan((1 - f) * F.tan(F.radians(lat1)))
+    wide = F.radians(lon1 - lon0)
+
+    def parts(turn: Column) -> dict[str, Column]:
+        across = F.cos(u1) * F.sin(turn)
+        up = F.cos(u0) * F.sin(u1) - F.sin(u0) * F.cos(u1) * F.cos(turn)
+        sine, cosine = F.sqrt(across * across + up * up), F.sin(u0) * F.sin(u1) + F.cos(u0) * F.cos(u1) * F.cos(turn)
+        return {"sine": sine, "cosine": cosine, "sigma": F.atan2(sine, cosine), "alpha": F.coalesce(F.try_divide(F.cos(u0) * F.cos(u1) * F.sin(turn), sine), F.lit(0.0))}
+
+    def middle(square: Column, cosine: Column) -> Column:
+        return F.when(square > 1e-15, cosine - 2 * F.sin(u0) * F.sin(u1) / square).otherwise(F.lit(0.0))
+
+    def step(state: Column, _: Column) -> Column:
+        q = parts(state["turn"])
+        square = 1 - q["alpha"] * q["alpha"]
+        m = middle(square, q["cosine"])
+        c = f / 16 * square * (4 + f * (4 - 3 * square))
+        far = wide + (1 - c) * f * q["alpha"] * (q["sigma"] + c * q["sine"] * (m + c * q["cosine"] * (2 * m * m - 1)))
+        return F.struct(far.alias("turn"), F.abs(far - state["turn"]).alias("moved"))
+
+    def length(state: Column) -> Column:
+        q = parts(state["turn"])
+        square = 1 - q["alpha"] * q["alpha"]
+        m, w = middle(square, q["cosine"]), square * (AXIS * AXIS - b * b) / (b * b)
+        big = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))
+        small = w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
+        bend = small * q["sine"] * (m + small / 4 * (q["cosine"] * (2 * m * m - 1) - small / 6 * m * (4 * q["sine"] * q["sine"] - 3) * (4 * m * m - 3)))
+        return F.when(state["moved"] < 1e-11, b * big * (q["sigma"] - bend))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(wide.alias("turn"), F.lit(1.0).alias("moved")), step, length)
+
+
+def utm_from_epsg(code: Column) -> tuple[Column, Column]:
+    """Zone and hemisphere of a WGS 84 UTM code, null for other codes."""
+    known = code.between(32601, 32660) | code.between(32701, 32760)
+    return F.when(known, code % 100), F.when(known, F.when(code < 32700, "N").otherwise("S"))
+
+
+def local_plane(x: Column, y: Column, origin: tuple[float, float], turn: float, scale: float, false: tuple[float, float] = (0.0, 0.0)) -> tuple[Column, Column]:
+    """Plane coordinates about an origin, turned by ``turn`` degrees counter-clockwise, scaled and given a false origin."""
+    c, s = math.cos(math.radians(turn)) * scale, math.sin(math.radians(turn)) * scale
+    dx, dy = x - origin[0], y - origin[1]
+    return false[0] + c * dx - s * dy, false[1] + s * dx + c * dy

@@ -73,3 +73,25 @@ def completeness(cloud: DataFrame, low: tuple[float, float], high: tuple[float,
     at = cloud.select(((F.col("y") - low[1]) / size).cast("long").alias("row"), ((F.col("x") - low[0]) / size).cast("long").alias("col"))
     inside = at.where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)).distinct()
     return inside.agg(F.count("*").alias("covered"), F.lit(rows * cols).cast("long").alias("cells"), (F.count("*") / float(rows * cols)).alias("completeness"))
+
+
+def precision(observations: DataFrame, quantile: float, tolerances: tuple[float, float, float]) -> DataFrame:
+    """Repeated ``observations(x, y, z)``: deviations, their margins by a two-sided Student quantile, within tolerance or not."""
+    dev = {a: F.stddev_samp(a) for a in "xyz"}
+    t = observations.agg(*[dev[a].alias(f"std_{a}") for a in "xyz"], *[F.avg(a).alias(f"mean_{a}") for a in "xyz"], F.count("*").alias("n"))
+    margins = {f"margin_{a}": F.lit(quantile) * F.col(f"std_{a}") / F.sqrt("n") for a in "xyz"}
+    ok = [F.col(f"std_{a}") <= limit for a, limit in zip("xyz", tolerances, strict=True)]
+    return t.withColumns(margins).withColumn("within", ok[0] & ok[1] & ok[2])
+
+
+def registration_quality(residuals: DataFrame, tolerance: float) -> DataFrame:
+    """``residuals(distance)``: the share within tolerance, root mean square, mean and greatest."""
+    d = F.col("distance")
+    return residuals.agg((F.count_if(d <= tolerance) / F.count("*")).alias("fitness"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("mean"), F.max(d).alias("worst"))
+
+
+def completeness_of_grids(covered: DataFrame, reference: DataFrame) -> DataFrame:
+    """The share of the reference's cells ``(row, col)`` that are covered, null without a reference."""
+    hit = covered.select("row", "col").distinct().withColumn("_hit", F.lit(1))
+    both = reference.select("row", "col").distinct().join(hit, ["row", "col"], "left")
+    return both.agg(F.count("_hit").alias("covered"), F.count("*").alias("cells")).withColumn("completeness", F.try_divide("covered", "cells"))
