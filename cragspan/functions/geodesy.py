@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,42 +48,36 @@ def utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
     return UTM_EAST + UTM_SCALE * RADIUS * east, UTM_SCALE * RADIUS * north + F.when(lat < 0, UTM_NORTH).otherwise(0.0)
 
 
-def geodesic(lat0: Column, lon0: Column, lat1: Column, lon1: Column, rounds: int = 20) -> Column:
+@F.pandas_udf("double")
+def geodesic(lat0: pd.Series, lon0: pd.Series, lat1: pd.Series, lon1: pd.Series) -> pd.Series:
     """Length of the shortest line on the ellipsoid, by iterating the longitude on the auxiliary sphere.
 
-    Null for nearly antipodal points, where the iteration does not settle.
+    Null for nearly antipodal points, where the iteration does not settle.  It runs on Arrow batches, as unrolled
+    column expressions would repeat every shared part.
     """
     b, f = AXIS * (1 - FLATTENING), FLATTENING
-    u0, u1 = F.atan((1 - f) * F.tan(F.radians(lat0))), F.atan((1 - f) * F.tan(F.radians(lat1)))
-    wide = F.radians(lon1 - lon0)
-
-    def parts(turn: Column) -> dict[str, Column]:
-        across = F.cos(u1) * F.sin(turn)
-        up = F.cos(u0) * F.sin(u1) - F.sin(u0) * F.cos(u1) * F.cos(turn)
-        sine, cosine = F.sqrt(across * across + up * up), F.sin(u0) * F.sin(u1) + F.cos(u0) * F.cos(u1) * F.cos(turn)
-        return {"sine": sine, "cosine": cosine, "sigma": F.atan2(sine, cosine), "alpha": F.coalesce(F.try_divide(F.cos(u0) * F.cos(u1) * F.sin(turn), sine), F.lit(0.0))}
-
-    def middle(square: Column, cosine: Column) -> Column:
-        return F.when(square > 1e-15, cosine - 2 * F.sin(u0) * F.sin(u1) / square).otherwise(F.lit(0.0))
-
-    def step(state: Column, _: Column) -> Column:
-        q = parts(state["turn"])
-        square = 1 - q["alpha"] * q["alpha"]
-        m = middle(square, q["cosine"])
-        c = f / 16 * square * (4 + f * (4 - 3 * square))
-        far = wide + (1 - c) * f * q["alpha"] * (q["sigma"] + c * q["sine"] * (m + c * q["cosine"] * (2 * m * m - 1)))
-        return F.struct(far.alias("turn"), F.abs(far - state["turn"]).alias("moved"))
-
-    def length(state: Column) -> Column:
-        q = parts(state["turn"])
-        square = 1 - q["alpha"] * q["alpha"]
-        m, w = middle(square, q["cosine"]), square * (AXIS * AXIS - b * b) / (b * b)
-        big = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))
-        small = w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
-        bend = small * q["sine"] * (m + small / 4 * (q["cosine"] * (2 * m * m - 1) - small / 6 * m * (4 * q["sine"] * q["sine"] - 3) * (4 * m * m - 3)))
-        return F.when(state["moved"] < 1e-11, b * big * (q["sigma"] - bend))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(wide.alias("turn"), F.lit(1.0).alias("moved")), step, length)
+    u0, u1 = (np.arctan((1 - f) * np.tan(np.radians(v.to_numpy(float)))) for v in (lat0, lat1))
+    wide = np.radians((lon1 - lon0).to_numpy(float))
+    turn = wide
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for _ in range(30):
+            across = np.cos(u1) * np.sin(turn)
+            up = np.cos(u0) * np.sin(u1) - np.sin(u0) * np.cos(u1) * np.cos(turn)
+            sine, cosine = np.hypot(across, up), np.sin(u0) * np.sin(u1) + np.cos(u0) * np.cos(u1) * np.cos(turn)
+            sigma = np.arctan2(sine, cosine)
+            alpha = np.where(sine > 0, np.cos(u0) * across / sine, 0.0)
+            square = 1 - alpha * alpha
+            m = np.where(square > 1e-15, cosine - 2 * np.sin(u0) * np.sin(u1) / square, 0.0)
+            c = f / 16 * square * (4 + f * (4 - 3 * square))
+            last, turn = turn, wide + (1 - c) * f * alpha * (sigma + c * sine * (m + c * cosine * (2 * m * m - 1)))
+            moved = np.abs(turn - last)
+            if not (moved > 1e-12).any():
+                break
+    w = square * (AXIS * AXIS - b * b) / (b * b)
+    big = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))
+    small = w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
+    bend = small * sine * (m + small / 4 * (cosine * (2 * m * m - 1) - small / 6 * m * (4 * sine * sine - 3) * (4 * m * m - 3)))
+    return pd.Series(b * big * (sigma - bend)).where(moved <= 1e-12)
 
 
 def utm_from_epsg(code: Column) -> tuple[Column, Column]:

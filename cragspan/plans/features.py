@@ -78,7 +78,7 @@ def _elements(k: SparkSession, d: str) -> DataFrame:
 
 
 def _stations(k: SparkSession, d: str, lines: int) -> DataFrame:
-    return q._table(k, d, "events").select(F.col("event_id").alias("sid"), (F.col("user_id") % lines).cast("long").alias("alignment"), F.col("value").alias("station"))
+    return q._table(k, d, "events").select(F.col("event_id").alias("sid"), (F.col("user_id") % lines).cast("long").alias("alignment"), (F.sqrt("value") * 20).alias("station"))
 
 
 _U = " + ".join(f"{(-1) ** n}::DOUBLE/({4 * n + 1}.0::DOUBLE*{'*'.join(str(j) for j in range(1, 2 * n + 1)) or '1'}) * w**{2 * n}" for n in range(9))
@@ -87,7 +87,7 @@ _ELEMENT = f"""E0 AS (SELECT CAST(n_nationkey AS BIGINT) AS alignment, b.* FROM
 E1 AS (SELECT *, alignment*10+start AS x, alignment*5.0::DOUBLE AS y, alignment*0.2::DOUBLE AS h FROM E0)"""
 _ALONG = f"""D1 AS (SELECT *, s*s/(2*r*length) AS w FROM D0), D2 AS (SELECT *, s*({_U}) AS u, s*({_V}) AS v FROM D1),
 D3 AS (SELECT *, x + CASE kind WHEN 'arc' THEN r*(sin(h+s/r)-sin(h)) WHEN 'spiral' THEN u*cos(h)-v*sin(h) ELSE s*cos(h) END AS px, y + CASE kind WHEN 'arc' THEN r*(cos(h)-cos(h+s/r)) WHEN 'spiral' THEN u*sin(h)+v*cos(h) ELSE s*sin(h) END AS py, CASE kind WHEN 'arc' THEN 1/r WHEN 'spiral' THEN s/(r*length) ELSE 0 END AS curvature FROM D2)"""
-q._add("station_points", lambda k, d: q._rounded(road.station_points(_stations(k, d, 25), _elements(k, d))), f"WITH {_ELEMENT}, D0 AS (SELECT event_id AS sid, E1.*, value-start AS s, row_number() OVER (PARTITION BY event_id ORDER BY start) AS k FROM events JOIN E1 ON user_id % 25 = alignment AND value BETWEEN start AND start+length), {_ALONG} SELECT sid, round(px,6) AS px, round(py,6) AS py, round(curvature,6) AS curvature FROM D3 WHERE k = 1")
+q._add("station_points", lambda k, d: q._rounded(road.station_points(_stations(k, d, 25), _elements(k, d))), f"WITH {_ELEMENT}, D0 AS (SELECT event_id AS sid, E1.*, sqrt(value)*20-start AS s, row_number() OVER (PARTITION BY event_id ORDER BY start) AS k FROM events JOIN E1 ON user_id % 25 = alignment AND sqrt(value)*20 BETWEEN start AND start+length), {_ALONG} SELECT sid, round(px,6) AS px, round(py,6) AS py, round(curvature,6) AS curvature FROM D3 WHERE k = 1")
 q._add("alignment_continuity", lambda k, d: q._rounded(road.continuity(_elements(k, d))), f"WITH {_ELEMENT}, D0 AS (SELECT *, length AS s FROM E1), {_ALONG}, J AS (SELECT alignment, start, sqrt((lead(x) OVER o - px)**2 + (lead(y) OVER o - py)**2) AS gap FROM D3 WINDOW o AS (PARTITION BY alignment ORDER BY start)) SELECT alignment, start, round(gap,6) AS gap, gap <= 1e-6 AS joined FROM J")
 
 
@@ -103,7 +103,7 @@ B AS (SELECT *, lag(g2) OVER (PARTITION BY alignment ORDER BY station) AS g1 FRO
 C AS (SELECT alignment, station-li AS start, li+lo AS length, li, z-g1*li AS z, g1, g2 FROM B WHERE g1 IS NOT NULL AND g2 IS NOT NULL UNION ALL SELECT alignment, station+lo, free, free, z+g2*lo, g2, g2 FROM B WHERE free > 0)"""
 _PVI_FIX = _PROFILE.replace("GROUP BY ALL", "GROUP BY 1, 2, user_id // 5").replace("(SELECT alignment, station, min(z) AS z, min(li) AS li, min(lo) AS lo FROM I GROUP BY 1, 2)", "I")
 q._add("vertical_profile", lambda k, d: q._rounded(road.profile(_pvis(k, d))), f"WITH {_PVI_FIX} SELECT alignment, round(start,6) AS start, round(length,6) AS length, round(li,6) AS length_in, round(z,6) AS z, round(g1,6) AS g1, round(g2,6) AS g2 FROM C")
-q._add("profile_elevations", lambda k, d: q._rounded(road.profile_elevations(_stations(k, d, 5), road.profile(_pvis(k, d)))), f"""WITH {_PVI_FIX}, X AS (SELECT event_id AS sid, C.*, value-start AS s, length-li AS b, (g1*li+g2*(length-li))/length AS m, row_number() OVER (PARTITION BY event_id ORDER BY start) AS k FROM events JOIN C ON user_id % 5 = alignment AND value BETWEEN start AND start+length)
+q._add("profile_elevations", lambda k, d: q._rounded(road.profile_elevations(_stations(k, d, 5), road.profile(_pvis(k, d)))), f"""WITH {_PVI_FIX}, X AS (SELECT event_id AS sid, C.*, sqrt(value)*20-start AS s, length-li AS b, (g1*li+g2*(length-li))/length AS m, row_number() OVER (PARTITION BY event_id ORDER BY start) AS k FROM events JOIN C ON user_id % 5 = alignment AND sqrt(value)*20 BETWEEN start AND start+length)
 SELECT sid, round(CASE WHEN s <= li THEN z+g1*s+(m-g1)*s*s/(2*li) ELSE z+(g1+m)/2*li+m*(s-li)+(g2-m)*(s-li)*(s-li)/(2*b) END,6) AS elevation, round(CASE WHEN s <= li THEN g1+(m-g1)*s/li ELSE m+(g2-m)*(s-li)/b END,6) AS grade FROM X WHERE k = 1""")
 
 
