@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: WGS 84 semi-major axis and flattening; the scale, false easting and false northing of UTM.
 AXIS, FLATTENING = 6_378_137.0, 1 / 298.257223563
@@ -48,7 +49,7 @@ def utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
     return UTM_EAST + UTM_SCALE * RADIUS * east, UTM_SCALE * RADIUS * north + F.when(lat < 0, UTM_NORTH).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def geodesic(lat0: pd.Series, lon0: pd.Series, lat1: pd.Series, lon1: pd.Series) -> pd.Series:
     """Length of the shortest line on the ellipsoid, by iterating the longitude on the auxiliary sphere.
 
