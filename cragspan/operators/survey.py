@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragspan.functions.geometry import base_code
@@ -40,13 +40,40 @@ def average_end_area(sections: DataFrame) -> DataFrame:
     return sections.withColumn("v", each).groupBy("line").agg(F.sum("v").alias("volume"), F.count("*").alias("sections"))
 
 
-def prismoidal(sections: DataFrame, step: float) -> DataFrame:
-    """Simpson's rule over an odd number of equally spaced sections of each line."""
+def _simpson_weight() -> Column:
     order = Window.partitionBy("line").orderBy("station")
     n = F.count("*").over(Window.partitionBy("line"))
     place = F.row_number().over(order)
-    weight = F.when((place == 1) | (place == n), 1).when(place % 2 == 0, 4).otherwise(2)
-    return sections.withColumn("w", weight).groupBy("line").agg((F.sum(F.col("w") * F.col("area")) * (step / 3)).alias("volume"), F.count("*").alias("sections")).where("sections % 2 = 1 and sections >= 3")
+    return F.when((place == 1) | (place == n), 1).when(place % 2 == 0, 4).otherwise(2)
+
+
+def prismoidal(sections: DataFrame, step: float | None = None) -> DataFrame:
+    """Simpson's rule over an odd number of equally spaced sections of each line.
+
+    One row per line.  A line that the rule doesn't fit has a null volume and a ``problem``: ``few``
+    (under three sections), ``even``, ``value`` (a null, infinite or negative one) or ``spacing``
+    (not equal, none, or not ``step`` where that is given).
+    """
+    order = Window.partitionBy("line").orderBy("station")
+    station, area = F.col("station").cast("double"), F.col("area").cast("double")
+    fine = F.coalesce((F.abs(station) < float("inf")) & (area >= 0) & (area < float("inf")), F.lit(False))
+    each = sections.withColumns({"_w": _simpson_weight(), "_gap": F.lead("station").over(order) - F.col("station"), "_fine": fine})
+    totals = each.groupBy("line").agg(
+        F.sum(F.col("_w") * F.col("area")).alias("_sum"), F.count("*").alias("sections"), F.count_if(~F.col("_fine")).alias("_bad"),
+        F.min("_gap").alias("_low"), F.max("_gap").alias("_high"), F.min_by("_gap", "station").alias("_first"),
+    )
+    spacing = F.col("_first") if step is None else F.lit(float(step))
+    tolerance = F.greatest(F.lit(1.0), F.abs(spacing)) * 1e-9
+    even = (F.col("_low") > 0) & (F.col("_high") - spacing <= tolerance) & (spacing - F.col("_low") <= tolerance)
+    problem = F.when(F.col("sections") < 3, "few").when(F.col("sections") % 2 == 0, "even").when(F.col("_bad") > 0, "value").when(~even, "spacing")
+    judged = totals.withColumn("problem", problem)
+    return judged.select("line", F.when(F.col("problem").isNull(), F.col("_sum") * (spacing / 3)).alias("volume"), "sections", "problem")
+
+
+def prismoidal_as_if_even(sections: DataFrame, step: float) -> DataFrame:
+    """Simpson's rule with every section taken as ``step`` after the one before; lines without an odd number of three or more have no row."""
+    weighted = sections.withColumn("w", _simpson_weight())
+    return weighted.groupBy("line").agg((F.sum(F.col("w") * F.col("area")) * (step / 3)).alias("volume"), F.count("*").alias("sections")).where("sections % 2 = 1 and sections >= 3")
 
 
 def rmse(pairs: DataFrame) -> DataFrame:

@@ -178,7 +178,8 @@ def _sections(k: SparkSession, d: str) -> DataFrame:
 
 _SECT = "S AS (SELECT o_orderstatus AS line, CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS station, round(sum(o_totalprice), 2) AS area FROM orders GROUP BY 1, 2)"
 _add("average_end_area", lambda k, d: _rounded(s.average_end_area(_sections(k, d)), 0), f"WITH {_SECT}, q AS (SELECT line, (lead(station) OVER w - station)*(area + lead(area) OVER w)/2 AS v FROM S WINDOW w AS (PARTITION BY line ORDER BY station)) SELECT line, round(sum(v), 0) AS volume, count(*) AS sections FROM q GROUP BY 1")
-_add("prismoidal", lambda k, d: _rounded(s.prismoidal(_sections(k, d).where("station < 401"), 1.0), 0), f"WITH {_SECT}, q AS (SELECT line, area, row_number() OVER (PARTITION BY line ORDER BY station) AS k, count(*) OVER (PARTITION BY line) AS n FROM S WHERE station < 401) SELECT line, round(sum(area*CASE WHEN k=1 OR k=n THEN 1 WHEN k%2=0 THEN 4 ELSE 2 END)*(1.0::DOUBLE/3), 0) AS volume, count(*) AS sections FROM q GROUP BY 1 HAVING count(*) % 2 = 1 AND count(*) >= 3")
+_add("prismoidal", lambda k, d: _rounded(s.prismoidal_as_if_even(_sections(k, d).where("station < 401"), 1.0), 0), f"WITH {_SECT}, q AS (SELECT line, area, row_number() OVER (PARTITION BY line ORDER BY station) AS k, count(*) OVER (PARTITION BY line) AS n FROM S WHERE station < 401) SELECT line, round(sum(area*CASE WHEN k=1 OR k=n THEN 1 WHEN k%2=0 THEN 4 ELSE 2 END)*(1.0::DOUBLE/3), 0) AS volume, count(*) AS sections FROM q GROUP BY 1 HAVING count(*) % 2 = 1 AND count(*) >= 3")
+_add("prismoidal_sections", lambda k, d: _rounded(s.prismoidal(_sections(k, d)), 0), f"WITH {_SECT}, q AS (SELECT line, area, lead(station) OVER w - station AS gap, row_number() OVER w AS k, count(*) OVER (PARTITION BY line) AS n FROM S WINDOW w AS (PARTITION BY line ORDER BY station)), r AS (SELECT line, sum(area*CASE WHEN k=1 OR k=n THEN 1 WHEN k%2=0 THEN 4 ELSE 2 END) AS total, min(gap) AS low, max(gap) AS high, count(*) AS sections, CASE WHEN count(*) < 3 THEN 'few' WHEN count(*) % 2 = 0 THEN 'even' WHEN count(*) FILTER (area IS NULL OR area < 0) > 0 THEN 'value' WHEN min(gap) <> max(gap) THEN 'spacing' END AS problem FROM q GROUP BY 1) SELECT line, CASE WHEN problem IS NULL THEN round(total*(low/3), 0) END AS volume, sections, problem FROM r")
 
 
 def _survey(k: SparkSession, d: str) -> DataFrame:
