@@ -1,13 +1,14 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model of the whole training corpus.
+"""LM scoring: an interpolated modified Kneser-Ney model of the whole training corpus, of trigrams by default.
 
-Counting is one shuffle of sorted, compressed blocks of 64-bit n-gram hashes; each bucket of the
-hash range merges its blocks into sorted arrays, a file of the shared folder.  Buckets follow the
-hash's leading bits, so the files in order are one sorted array per n-gram order.  Scoring maps
-them into memory and looks up each piece's distinct n-grams.
+Tokens and the runs of ``order`` tokens are counted in one shuffle of sorted, compressed blocks.
+Each bucket of the hash range merges its blocks into a file of the shared folder and passes what
+the order below counts: how many different tokens each shorter run follows.  Buckets follow the
+hash's leading bits.  Runs of three tokens and more are dealt by their context, so a context's
+totals need no further shuffle; a task holds all that follows a context, as distinct tokens.
+Scoring maps the files into memory and looks up each piece's distinct runs.
 
-Bigrams seen once are not stored: their mass goes to their context's back-off weight, as in pruned
-models elsewhere, so the probabilities still add up to one.  All counts, discounts and
-continuation counts cover every bigram.
+Every run is stored, those seen once too.  A context followed by one token once isn't stored
+itself: its run is known by the order below, and a known context without an entry is such a one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from cragspan.llm.words import Words, mix, pieces
 BUCKET_TOKENS = 2_000_000
 WORD_BUCKET_TOKENS = 16_000_000
 LEAST_WORD_BITS = 4
+#: Tokens of the longest run.
+ORDER = 3
 FLUSH_TOKENS = 4_000_000
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B0), np.uint64(0xE0E0E0E0E0E0E0E1)
 _TOP = np.uint64(0xFFFFFFFF00000000)
@@ -37,18 +40,27 @@ _OPEN: dict[str, list[np.ndarray] | None] = {}
 
 
 def _pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    parts = [np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()]
-    parts += [c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns]
+    parts = [x.view(np.uint8).reshape(len(keys), x.dtype.itemsize).T.tobytes() for x in (np.diff(keys, prepend=np.uint64(0)), *map(np.ascontiguousarray, columns))]
     return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + b"".join(parts))
 
 
-def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
+    """The keys and columns of a block."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(raw[:8], "little")
-    out = [np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)]
-    for k in range(columns):
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8 + (8 + 4 * k) * n).reshape(4, n).T).view(np.uint32).ravel())
-    return out
+    n, begin, out = int.from_bytes(raw[:8], "little"), 8, []
+    for kind in (np.uint64, *kinds):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, begin).reshape(size, n).T).view(kind).ravel())
+        begin += size * n
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(order, first)``: the sort by the columns, the first foremost, and where in it each distinct row begins."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    return order, np.flatnonzero(new)
 
 
 def _merge(parts: list[list[np.ndarray]], columns: int) -> list[np.ndarray]:
@@ -67,24 +79,35 @@ def _spread(kind: int, bits: int, keys: np.ndarray, *columns: np.ndarray) -> Ite
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        yield kind, int(bucket[a]), _pack(keys[a:z], *[c[a:z] for c in columns])
+        yield kind, int(bucket[a]), _pack(keys[a:z], *[c[a:z] if c.dtype == np.uint64 else c[a:z].astype(np.uint32) for c in columns])
 
 
-def _store(folder: str, name: str, arrays: list[np.ndarray]) -> None:
-    """A file of arrays in the shared folder; a second attempt of a task replaces it by the same."""
+def _store(folder: str, name: str, bits: int, keys: np.ndarray, *columns: np.ndarray) -> None:
+    """A file of sorted keys and their numbers in the shared folder; a second attempt of a task replaces it by the same.
+
+    Beyond the bucket's bits a directory of places stands for the next bits of a key, about 16 keys
+    each, and 32 bits follow.  Numbers take a byte; those over 254 are listed apart.
+    """
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     own = f"{path}/.{name}-{uuid.uuid4().hex}"
+    depth = min(max(len(keys) // 16, 1).bit_length(), 24)
+    rest = keys << np.uint64(bits)
+    places = np.searchsorted(rest >> np.uint64(64 - depth), np.arange(2**depth + 1, dtype=np.uint64)).astype(np.uint32)
+    parts = [places, ((rest << np.uint64(depth)) >> np.uint64(32)).astype(np.uint32)]
+    large = [np.flatnonzero(c > 254) for c in columns]
+    parts += [x for c, i in zip(columns, large, strict=True) for x in (i.astype(np.uint32), c[i].astype(np.uint32))]
+    parts += [np.minimum(c, 255).astype(np.uint8) for c in columns]
     with system.open_output_stream(own) as f:
-        f.write(len(arrays[0]).to_bytes(8, "little"))
-        for a in arrays:
+        f.write(np.array([len(keys), depth, *map(len, large)], np.uint64).tobytes())
+        for a in parts:
             f.write(np.ascontiguousarray(a).tobytes())
     system.move(own, f"{path}/{name}")
 
 
-def _mapped(folder: str, name: str, kinds: list[type]) -> list[np.ndarray] | None:
+def _mapped(folder: str, name: str, columns: int) -> list[np.ndarray] | None:
     """The arrays of a file, mapped into memory; from a store without local paths by way of a file that is gone at once."""
     if (at := f"{folder}/{name}") in _OPEN:
         return _OPEN[at]
@@ -103,33 +126,50 @@ def _mapped(folder: str, name: str, kinds: list[type]) -> list[np.ndarray] | Non
             whole = np.memmap(copy.name, np.uint8, "r")
     out = None
     if whole is not None:
-        n, begin, out = int.from_bytes(bytes(whole[:8]), "little"), 8, []
-        for kind in kinds:
-            size = n * np.dtype(kind).itemsize
+        n, depth, *large = np.array(whole[: 8 * (2 + columns)]).view(np.uint64).astype(np.int64).tolist()
+        begin, out = 8 * (2 + columns), []
+        sizes = [(np.uint32, 2**depth + 1), (np.uint32, n), *[(np.uint32, m) for m in large for _ in range(2)], *[(np.uint8, n)] * columns]
+        for kind, length in sizes:
+            size = length * np.dtype(kind).itemsize
             out.append(whole[begin : begin + size].view(kind))
             begin += size
     _OPEN[at] = out
     return out
 
 
-def _lookup(folder: str, prefix: str, bits: int, wanted: np.ndarray, kinds: list[type]) -> list[np.ndarray]:
-    """The stored columns of sorted distinct keys; 0 where there is none."""
-    out = [np.zeros(len(wanted), np.int64) for _ in kinds[1:]]
+def _lookup(folder: str, prefix: str, bits: int, wanted: np.ndarray, columns: int) -> list[np.ndarray]:
+    """The stored numbers of sorted distinct keys; 0 where there is none."""
+    out = [np.zeros(len(wanted), np.int64) for _ in range(columns)]
     bucket = (wanted >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(wanted) else []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        arrays = _mapped(folder, f"{prefix}-{bucket[a]}", kinds)
-        if arrays is None or not len(arrays[0]):
+        arrays = _mapped(folder, f"{prefix}-{bucket[a]}", columns)
+        if arrays is None or not len(arrays[1]):
             continue
-        i = np.minimum(np.searchsorted(arrays[0], wanted[a:z]), len(arrays[0]) - 1)
-        hit = arrays[0][i] == wanted[a:z]
-        for column, stored in zip(out, arrays[1:], strict=True):
-            column[a:z] = np.where(hit, stored[i], 0)
+        places, stored = arrays[:2]
+        depth = (len(places) - 1).bit_length() - 1
+        rest = wanted[a:z] << np.uint64(bits)
+        slot = (rest >> np.uint64(64 - depth)).astype(np.int64)
+        key = ((rest << np.uint64(depth)) >> np.uint64(32)).astype(np.uint32)
+        low, high = places[slot].astype(np.int64), places[slot + 1].astype(np.int64)
+        end = high
+        while (open_ := low < high).any():
+            mid = (low + high) >> 1
+            less = stored[np.minimum(mid, len(stored) - 1)] < key
+            low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
+        i = np.minimum(low, len(stored) - 1)
+        hit = (low < end) & (stored[i] == key)
+        for k, column in enumerate(out):
+            at, value, small = arrays[2 + 2 * k], arrays[3 + 2 * k], arrays[2 + 2 * columns + k]
+            found = np.where(hit, small[i], 0).astype(np.int64)
+            if (over := np.flatnonzero(found == 255)).size:
+                found[over] = value[np.searchsorted(at, i[over])]
+            column[a:z] = found
     return out
 
 
 def _tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(token hashes, hashes of the tokens before, text)``: each text's words and one end; before a text's first token is a begin."""
+    """``(token hashes, place in the text, text)``: each text's words and one end."""
     words = Words(raws, lower=True)
     total = len(words.hash) + len(raws)
     doc = np.repeat(np.arange(len(raws)), words.count + 1)
@@ -139,10 +179,15 @@ def _tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = np.ones(total, bool)
     inner[last] = False
     token[inner] = words.hash
-    before = np.empty(total, np.uint64)
-    before[1:] = token[:-1]
-    before[last - words.count] = BEGIN
-    return token, before, doc
+    return token, np.arange(total) - np.repeat(last - words.count, words.count + 1), doc
+
+
+def _before(token: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The token ``k`` places before each; before a text's first there are begins."""
+    out = np.full(len(token), BEGIN)
+    inside = np.flatnonzero(place >= k)
+    out[inside] = token[inside - k]
+    return out
 
 
 def _pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -150,6 +195,28 @@ def _pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix((before & _TOP) | (token >> np.uint64(32)))
 
 
+def _longer(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The key of a run of three tokens and more from that of the run without its last token."""
+    return mix(context * _LONGER + (token >> np.uint64(32)))
+
+
+def _contexts(token: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the contexts of ``order - 1`` tokens, ``order - 2`` and so on to 2."""
+    out = []
+    for n in range(order - 1, 1, -1):
+        key = _pair(_before(token, place, n), _before(token, place, n - 1))
+        for k in range(n - 2, 0, -1):
+            key = _longer(key, _before(token, place, k))
+        out.append(key)
+    return out
+
+
+def _dealt(context: np.ndarray, run: np.ndarray, bits: int) -> np.ndarray:
+    """Keys that lie in their context's bucket."""
+    return (context >> np.uint64(64 - bits) << np.uint64(64 - bits)) | (run >> np.uint64(bits))
+
+
+_LONGER = np.uint64(0xD1342543DE82EF95)
 _UNDO = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 
 
@@ -159,15 +226,25 @@ def _unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_WORD_KINDS = [np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32]
-_PAIR_KINDS = [np.uint64, np.uint32]
+#: Kinds of blocks: 0 words, 1 ends and 2 starts of bigrams, 3 counts of counts, and runs of n tokens at RUNS + n.
+RUNS = 100
 
 
-def train(docs: DataFrame, text: str = "text") -> dict:
-    """Counts every text of ``docs`` (null: empty) and stores the model; returns its place and totals.
+def _counted(contexts: list[np.ndarray], last: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct runs, sorted by context and last token, and the sums of their numbers."""
+    order, first = _distinct(contexts[0], last)
+    total = np.add.reduceat(number.astype(np.int64)[order], first) if len(first) else np.zeros(0, np.int64)
+    keep = order[first]
+    return *[c[keep] for c in contexts], last[keep], total
+
+
+def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> dict:
+    """Counts every text of ``docs`` (null: empty) and stores the model of runs of up to ``order`` tokens, 2 at least; returns its place and totals.
 
     Nothing of the corpus but these totals reaches the driver.
     """
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text") + 1).alias("bytes"), F.count("*").alias("texts")).first()
@@ -181,42 +258,70 @@ def train(docs: DataFrame, text: str = "text") -> dict:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pd.DataFrame:
-            token, before = (np.concatenate(x) for x in zip(*held, strict=True))
+            token, *runs = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             rows = list(_spread(0, word_bits, *np.unique(token, return_counts=True)))
-            rows += _spread(1, bits, *np.unique(_pair(before, token), return_counts=True))
+            if order == 2:
+                rows += _spread(RUNS + 2, bits, *np.unique(runs[0], return_counts=True))
+            else:
+                rows += _spread(RUNS + order, bits, *_counted(runs, (token >> np.uint64(32)).astype(np.uint32), np.ones(len(token), np.int64)))
             return pd.DataFrame(rows, columns=["kind", "bucket", "block"])
 
         for b in batches:
             for _, _, raws in pieces(b["text"].tolist()):
-                held.append(_tokens(raws)[:2])
-                if sum(len(t) for t, _ in held) >= FLUSH_TOKENS:
+                token, place, _ = _tokens(raws)
+                held.append((token, *_contexts(token, place, order)) if order > 2 else (token, _pair(_before(token, place, 1), token)))
+                if sum(len(x[0]) for x in held) >= FLUSH_TOKENS:
                     yield flush()
         if held:
             yield flush()
 
+    def tally(n: int, number: np.ndarray) -> tuple[int, int, bytes]:
+        return 3, -n, np.bincount(np.minimum(number, 5), minlength=6).astype(np.int64).tobytes()
+
+    def classes(number: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+        """By context the sum of the numbers, and how many are 1, 2, and 3 or more."""
+        return [np.bincount(at, w, size).astype(np.int64) for w in (number, number == 1, number == 2, number > 2)]
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
-        keys, number = _merge([_unpack(x, 1) for x in pdf["block"]], 1)
+        n = kind - RUNS
         if not kind:
-            return pd.DataFrame(list(_spread(0, word_bits, keys, number)), columns=["kind", "bucket", "block"])
-        kept = number > 1
-        _store(folder, f"pairs-{bucket}", [keys[kept], number[kept].astype(np.uint32)])
-        pair = _unmix(keys)
-        ends, types = np.unique(pair << np.uint64(32), return_counts=True)
-        rows = list(_spread(1, word_bits, ends, types))
-        starts, at = np.unique(pair[kept] & _TOP, return_inverse=True)
-        two = number[kept] == 2
-        rows += _spread(2, word_bits, starts, np.bincount(at, number[kept], len(starts)), np.bincount(at, two, len(starts)), np.bincount(at, ~two, len(starts)))
-        rows.append((3, -1, np.bincount(np.minimum(number, 5), minlength=6).astype(np.int64).tobytes()))
+            rows = list(_spread(0, word_bits, *_merge([_unpack(x, [np.uint32]) for x in pdf["block"]], 1)))
+        elif n < 2:
+            return pdf[["kind", "bucket", "block"]]
+        elif n > 2:
+            parts = [_unpack(x, [np.uint64] * (n - 3) + [np.uint32] * 2) for x in pdf["block"]]
+            *contexts, last, number = _counted([np.concatenate(x) for x in zip(*[p[:-2] for p in parts], strict=True)], *[np.concatenate([p[k] for p in parts]) for k in (-2, -1)])
+            del parts
+            keys = _dealt(contexts[0], _longer(contexts[0], last.astype(np.uint64) << np.uint64(32)), bits)
+            by = np.argsort(keys)
+            _store(folder, f"runs{n}-{bucket}", bits, keys[by], number[by])
+            new = np.ones(len(last), bool)
+            new[1:] = contexts[0][1:] != contexts[0][:-1]
+            total = classes(number, np.cumsum(new) - 1, int(new.sum()))
+            lone = (total[0] == 1) & (_unmix(contexts[-1][new]) << np.uint64(32) != BEGIN & _TOP)
+            _store(folder, f"contexts{n - 1}-{bucket}", bits, contexts[0][new][~lone], *[x[~lone] for x in total])
+            rows = [tally(n, number)]
+            if n == 3:
+                rows += _spread(RUNS + 2, bits, *np.unique(mix((_unmix(contexts[0]) << np.uint64(32)) | last), return_counts=True))
+            else:
+                rows += _spread(RUNS + n - 1, bits, *_counted(contexts[1:], last, np.ones(len(last), np.int64)))
+        else:
+            keys, number = _merge([_unpack(x, [np.uint32]) for x in pdf["block"]], 1)
+            _store(folder, f"runs2-{bucket}", bits, keys, number)
+            pair = _unmix(keys)
+            rows = [tally(2, number), *_spread(1, word_bits, *np.unique(pair << np.uint64(32), return_counts=True))]
+            starts, at = np.unique(pair & _TOP, return_inverse=True)
+            rows += _spread(2, word_bits, starts, *classes(number, at, len(starts)))
         return pd.DataFrame(rows, columns=["kind", "bucket", "block"])
 
     def words(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         one = pdf["kind"].to_numpy()
-        keys, number = _merge([_unpack(x, 1) for x in pdf["block"][one == 0]], 1)
-        ends, types = _merge([_unpack(x, 1) for x in pdf["block"][one == 1]], 1)
-        starts, *kept = _merge([_unpack(x, 3) for x in pdf["block"][one == 2]], 3)
+        keys, number = _merge([_unpack(x, [np.uint32]) for x in pdf["block"][one == 0]], 1)
+        ends, types = _merge([_unpack(x, [np.uint32]) for x in pdf["block"][one == 1]], 1)
+        starts, *total = _merge([_unpack(x, [np.uint32] * 4) for x in pdf["block"][one == 2]], 4)
         own = keys & _TOP
 
         def of(known: np.ndarray, column: np.ndarray) -> np.ndarray:
@@ -226,30 +331,32 @@ def train(docs: DataFrame, text: str = "text") -> dict:
             return np.where(known[i] == own, column[i], 0)
 
         after = of(ends, types)
-        _store(folder, f"words-{bucket}", [keys, number.astype(np.uint32), after.astype(np.uint32), *[of(starts, k).astype(np.uint32) for k in kept]])
+        _store(folder, f"words-{bucket}", word_bits, keys, number, after, *[of(starts, k) for k in total])
         begin = np.searchsorted(starts, BEGIN & _TOP)
-        found = [k[begin] if begin < len(starts) and starts[begin] == BEGIN & _TOP else 0 for k in kept]
+        found = [k[begin] if begin < len(starts) and starts[begin] == BEGIN & _TOP else 0 for k in total]
         tally = np.bincount(np.minimum(after, 5), minlength=6)
-        return pd.DataFrame({"tokens": [int(number.sum())], "distinct": [len(keys)], "types": [int(after.sum())], **{f"t{k}": [int(tally[k])] for k in range(1, 5)}, "t3up": [int((after > 2).sum())], "b0": [int(found[0])], "b1": [int(found[1])], "b2": [int(found[2])]})
+        return pd.DataFrame({"tokens": [int(number.sum())], "distinct": [len(keys)], "types": [int(after.sum())], **{f"t{k}": [int(tally[k])] for k in range(1, 5)}, "t3up": [int((after > 2).sum())], **{f"b{k}": [int(x)] for k, x in enumerate(found)}})
 
     blocks = "kind int, bucket long, block binary"
-    counted = saved(docs.mapInPandas(count, blocks).groupBy("kind", "bucket").applyInPandas(merge, blocks), "lm-counted")
-    # few rows for each bucket of pairs: counts of counts, added up
-    rows = counted.where("kind = 3").select("block")
-    sums = rows.mapInPandas(_add_tallies, "c1 long, c2 long, c3 long, c4 long").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(1, 5)]).first()
-    names = ["tokens", "distinct", "types", "t1", "t2", "t3", "t4", "t3up", "b0", "b1", "b2"]
+    counted = docs.mapInPandas(count, blocks)
+    for _ in range(order - 1):
+        counted = counted.groupBy("kind", "bucket").applyInPandas(merge, blocks)
+    counted = saved(counted, "lm-counted")
+    # few rows for each bucket of runs: counts of counts, added up by order
+    rows = counted.where("kind = 3").select("bucket", "block")
+    sums = rows.mapInPandas(_tallies, "bucket long, c1 long, c2 long, c3 long, c4 long").groupBy("bucket").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(1, 5)]).collect()
+    sums = {-r["bucket"]: [r[f"c{k}"] for k in range(1, 5)] for r in sums}
+    names = ["tokens", "distinct", "types", "t1", "t2", "t3", "t4", "t3up", "b0", "b1", "b2", "b3"]
     table = counted.where("kind < 3").groupBy("bucket").applyInPandas(words, ", ".join(f"{c} long" for c in names))
     total = table.agg(*[F.sum(c).alias(c) for c in names]).first().asDict()
-    model = {k: int(v or 0) for k, v in total.items()} | {"folder": folder, "bits": bits, "word_bits": word_bits, "texts": texts}
-    return model | {"pair_discounts": _discounts([sums[f"c{k}"] or 0 for k in range(1, 5)]), "word_discounts": _discounts([model[f"t{k}"] for k in range(1, 5)])}
+    model = {k: int(v or 0) for k, v in total.items()} | {"folder": folder, "bits": bits, "word_bits": word_bits, "texts": texts, "order": order}
+    return model | {"discounts": {n: _discounts(sums.get(n, [0] * 4)) for n in range(2, order + 1)}, "word_discounts": _discounts([model[f"t{k}"] for k in range(1, 5)])}
 
 
-def _add_tallies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(6, np.int64)
+def _tallies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for x in b["block"]:
-            total += np.frombuffer(x, np.int64)
-    yield pd.DataFrame({f"c{k}": [total[k]] for k in range(1, 5)})
+        counts = [np.frombuffer(x, np.int64) for x in b["block"]]
+        yield pd.DataFrame({"bucket": b["bucket"], **{f"c{k}": [x[k] for x in counts] for k in range(1, 5)}})
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -261,24 +368,41 @@ def _discounts(n: list[int]) -> list[float]:
 
 def log_probabilities(model: dict, raws: list[bytes]) -> tuple[np.ndarray, ...]:
     """``(text, log10 p, log10 of the add-one base, whether known)`` of each token."""
-    token, before, doc = _tokens(raws)
-    folder = model["folder"]
+    token, place, doc = _tokens(raws)
+    folder, bits = model["folder"], model["bits"]
+    before = _before(token, place, 1)
     each, at = np.unique(np.concatenate([token, before]), return_inverse=True)
-    count, after, kept, two, more = _lookup(folder, "words", model["word_bits"], each, _WORD_KINDS)
+    count, after, *words = _lookup(folder, "words", model["word_bits"], each, 6)
     begin = np.searchsorted(each, BEGIN)
     if begin < len(each) and each[begin] == BEGIN:
-        count[begin], kept[begin], two[begin], more[begin] = model["texts"], model["b0"], model["b1"], model["b2"]
-    d, u = np.array(model["pair_discounts"]), np.array(model["word_discounts"])
+        for k, x in enumerate(words):
+            x[begin] = model[f"b{k}"]
+    u = np.array(model["word_discounts"])
     types, size = max(1, model["types"]), model["distinct"] + 1
     saved_ = (u[1] * model["t1"] + u[2] * model["t2"] + u[3] * model["t3up"]) / types if model["types"] else 1.0
     low = (after - u[np.minimum(after, 3)]) / types + saved_ / size
-    back = np.where(count > 0, np.clip(1 - (kept - d[2] * two - d[3] * more) / np.maximum(count, 1), 1e-6, 1.0), 1.0)
     own, ctx = at[: len(token)], at[len(token) :]
-    pair, pair_at = np.unique(_pair(before, token), return_inverse=True)
-    (both,) = _lookup(folder, "pairs", model["bits"], pair, _PAIR_KINDS)
-    both = both[pair_at]
-    seen = np.where(count[ctx] > 0, both, 0)
-    p = np.minimum((seen - d[np.minimum(seen, 3)] * (seen > 0)) / np.maximum(count[ctx], 1), 1.0) + back[ctx] * low[own]
+
+    def found(prefix: str, keys: np.ndarray, columns: int) -> list[np.ndarray]:
+        distinct, back = np.unique(keys, return_inverse=True)
+        return [x[back] for x in _lookup(folder, prefix, bits, distinct, columns)]
+
+    p, total = low[own], [x[ctx] for x in words]
+    contexts = [_pair(before, token), *_contexts(token, place, model["order"])[::-1]]
+    for n in range(2, model["order"] + 1):
+        if n == 2:
+            (seen,) = found("runs2", contexts[0], 1)
+        else:
+            context = contexts[n - 2]
+            total = found(f"contexts{n - 1}", context, 4)
+            lone = (total[0] == 0) & (place > 0) & (np.concatenate([[0], seen[:-1]]) > 0)  # known, and followed by one token once
+            total[0][lone] = total[1][lone] = 1
+            (seen,) = found(f"runs{n}", _dealt(context, _longer(context, token), bits), 1)
+        d = np.array(model["discounts"][n])
+        seen = np.where(total[0] > 0, seen, 0)
+        of = np.maximum(total[0], 1)
+        left = np.where(total[0] > 0, (d[1] * total[1] + d[2] * total[2] + d[3] * total[3]) / of, 1.0)
+        p = np.minimum((seen - d[np.minimum(seen, 3)]) / of, 1.0) + np.minimum(left, 1.0) * p
     known = count[own] > 0
     base = (count[own] + 1.0) / (model["tokens"] + size)
     return doc, np.log10(np.minimum(p, 1.0)), np.log10(base), known

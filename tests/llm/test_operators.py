@@ -275,3 +275,36 @@ def test_ranks_and_components(spark):
         assert sorted(r.r for r in got if r.g == g) == list(range(sum(r.g == g for r in got)))
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(30, 40), (40, 35)], "a long, b long")
     assert {r.node: r.root for r in components(edges).collect()} == {**dict.fromkeys(range(21), 0), 30: 30, 35: 30, 40: 30}
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_keeps_every_run(spark, order):
+    texts = [t for t in _texts(12, 4) if t and t.isascii()]
+    model = language_model.train(_docs(spark, texts), order=order)
+    runs = collections.Counter()
+    for t in texts:
+        w = ["<s>"] * (order - 1) + WORD.findall(t.lower()) + ["</s>"]
+        runs.update(tuple(w[k - order + 1 : k + 1]) for k in range(order - 1, len(w)))
+    counts = {order: runs}
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(x[1:] for x in counts[n + 1])
+    discounts = {n: language_model._discounts([sum(c == k for c in counts[n].values()) for k in range(1, 5)]) for n in counts}
+    stats = collections.defaultdict(list)
+    for n in counts:
+        for x, c in counts[n].items():
+            stats[x[:-1]].append(c)
+
+    def p(x):
+        low = p(x[1:]) if x else None
+        if not x:
+            return 1 / (len(counts[1]) + 1)
+        d, after = discounts[len(x)], stats.get(x[:-1], [])
+        if not after:
+            return low
+        c = counts[len(x)].get(x, 0)
+        return (c - d[min(c, 3)] + sum(d[min(k, 3)] for k in after) * low) / sum(after)
+
+    for probe in [texts[0], texts[3], f"{texts[1]} zzz {texts[5]}", "zzz"]:
+        w = ["<s>"] * (order - 1) + WORD.findall(probe.lower()) + ["</s>"]
+        want = [math.log10(p(tuple(w[k - order + 1 : k + 1]))) for k in range(order - 1, len(w))]
+        assert np.allclose(language_model.log_probabilities(model, [probe.encode()])[1], want, atol=1e-9)
