@@ -6,6 +6,8 @@ shuffled once as hashes.  Segments that repeat whole are settled there.  Only se
 but share a minimiser fetch their words: split by the 13 or 14 words around the minimiser, they
 make the reference shards.  Each shard's segments stream in corpus order through a suffix automaton
 of the segments before them; where the matching statistics reach the window length, the words go.
+A shard too large for one automaton is cut into its windows instead, and the least place of each
+window is found block by block and then among the blocks, so no task holds the shard.
 """
 
 from __future__ import annotations
@@ -15,15 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cragspan.llm.near_duplicates import _groups, _whole_groups
+from cragspan.llm.near_duplicates import BROADCAST_ROWS, _groups, _whole_groups
 from cragspan.llm.session import saved
 from cragspan.llm.words import Words, mix, pieces
 
 WINDOW = 20
 GRAM = 6
+#: Segments and bytes of words that one automaton holds at most.
+BLOCK = 1_000
+BLOCK_BYTES = 1_000_000
 _SPAN = WINDOW - GRAM  # a minimiser starts at most so far into its window
 _BASE = np.uint64(0x9E3779B97F4A7C1B)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C1B, -1, 2**64))
@@ -128,6 +133,37 @@ class Automaton:
             yield size
 
 
+def _split(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of shards that one automaton holds, and those of larger shards with the number of their blocks."""
+    size = fetched.groupBy(F.col("shard").alias("_shard")).agg(F.count("*").alias("_rows"), F.sum(F.octet_length("words")).alias("_bytes"))
+    large = saved(size.where((F.col("_rows") > 1) & ((F.col("_rows") > BLOCK) | (F.col("_bytes") > BLOCK_BYTES))).select("_shard", F.ceil(F.col("_rows") / BLOCK).alias("blocks")), "repeats-large")
+    bound = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    same = F.col("shard") == F.col("_shard")
+    return fetched.join(bound, same, "left_anti"), fetched.join(bound, same).drop("_shard")
+
+
+def _later_windows(rows: DataFrame) -> DataFrame:
+    """``(doc_id, first, last)`` of the windows of large shards' segments that also start earlier; windows are named by 128-bit digests."""
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            digests, number = [], []
+            for words in b["words"].tolist():
+                tokens = words.split()
+                number.append(len(tokens) - WINDOW + 1)
+                digests += [hashlib.blake2b(b" ".join(tokens[k : k + WINDOW]), digest_size=16).digest() for k in range(number[-1])]
+            row = np.repeat(np.arange(len(b)), number)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+            yield pd.DataFrame({"window": digests, "doc_id": b["doc_id"].to_numpy()[row], "first": b["at"].to_numpy()[row] + place, "blocks": b["blocks"].to_numpy()[row]})
+
+    cut = rows.mapInPandas(windows, "window binary, doc_id long, first long, blocks long")
+    place = ["doc_id", "first"]  # equal places are one window of a repeated row, and tie
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    ranked = saved(cut.withColumn("_block", block).withColumn("_rank", F.rank().over(Window.partitionBy("window", "_block").orderBy(*place))), "repeats-windows")
+    least = ranked.where("_rank = 1").withColumn("_rank", F.rank().over(Window.partitionBy("window").orderBy(*place)))
+    return ranked.union(least).where("_rank > 1").select(*place, (F.col("first") + WINDOW).alias("last"))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)``: rows ``(doc_id, first, last)``, runs of words whose every window of WINDOW words also starts earlier."""
 
@@ -244,9 +280,10 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     unsure = settled.where("kind = 1").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("key", "at", "windows")).alias("places"))
     fetched = known.join(unsure, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "places").mapInPandas(fetch, "shard long, doc_id long, at long, words binary")
-    found = fetched.repartition("shard").sortWithinPartitions("shard", "doc_id", "at").mapInPandas(stream, "doc_id long, first long, last long")
+    few, many = _split(saved(fetched, "repeats-fetched"))
+    found = few.repartition("shard").sortWithinPartitions("shard", "doc_id", "at").mapInPandas(stream, "doc_id long, first long, last long")
     sure = settled.where("kind = 0").select("doc_id", F.col("at").alias("first"), (F.col("at") + F.col("windows") + WINDOW - 1).alias("last"))
-    return sure.union(found)
+    return sure.union(found).union(_later_windows(many))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

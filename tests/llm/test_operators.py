@@ -308,3 +308,28 @@ def test_language_model_keeps_every_run(spark, order):
         w = ["<s>"] * (order - 1) + WORD.findall(probe.lower()) + ["</s>"]
         want = [math.log10(p(tuple(w[k - order + 1 : k + 1]))) for k in range(order - 1, len(w))]
         assert np.allclose(language_model.log_probabilities(model, [probe.encode()])[1], want, atol=1e-9)
+
+
+def test_substrings_in_large_shards(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 4)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(24)]
+    texts = [" ".join([word() for _ in range(r.randint(0, 30))] + passage[k % 3 : 24 - k % 2] + [word() for _ in range(r.randint(0, 30))]) for k in range(60)]
+    docs = _docs(spark, [*texts, " ".join(passage + ["x"] + passage)])
+    docs = docs.union(docs.where("doc_id in (0, 7)"))  # repeated rows
+    got = {x.doc_id: x for x in substrings.dedup(docs).collect()}
+    seen, most = set(), 0
+    for x in docs.dropDuplicates(["doc_id"]).orderBy("doc_id").collect():
+        w, gone = WORD.findall(x.text), set()
+        for a in range(len(w) - 19):
+            if tuple(w[a : a + 20]) in seen:
+                gone |= set(range(a, a + 20))
+            seen.add(tuple(w[a : a + 20]))
+        most = max(most, len(gone))
+        assert (got[x.doc_id].n_removed, bytes(got[x.doc_id].kept)) == (len(gone), " ".join(v for k, v in enumerate(w) if k not in gone).encode())
+    assert most
+    rows = spark.createDataFrame([(s, i, 0, b"w") for s, n in ((1, 4), (2, 9)) for i in range(n)], "shard long, doc_id long, at long, words binary")
+    few, many = substrings._split(rows)
+    assert [(x.shard, x["count"]) for x in few.groupBy("shard").count().collect()] == [(1, 4)]
+    assert [(x.shard, x.blocks, x["count"]) for x in many.groupBy("shard", "blocks").count().collect()] == [(2, 3, 9)]
