@@ -69,8 +69,9 @@ def schedule(spark, wanted: list[int], block: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block: int = BLOCK_WORDS, seed: int = 10, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """``(spans, rows)``.  ``rows``: one row per row of ``docs`` with its size in words, its source's
-    size and target, and its place in the source's stream.  ``spans``: (slot, src, doc_id, at, epoch,
-    first, last) - at ``slot`` the mix takes words first..last-1 of that row, for the epoch-th time.
+    size and target, its place in the source's stream and ``key``, a hash of its text.  ``spans``:
+    (slot, src, doc_id, key, size, at, epoch, first, last) - at ``slot`` the mix takes words
+    first..last-1 of that row, for the epoch-th time.
 
     Weights repeat over the sources in code-point order, null last; a null source is a source.  A
     null or empty text has no words and is never taken.  Each source's taken words equal its target
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     words) is held by the driver, like the weights that callers give by source; nothing else is.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), random_key(seed, F.col(doc_id)).alias("_key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("key"), random_key(seed, F.col(doc_id)).alias("_key"))
     rows = saved(rows, "mix-rows")
     per_source = {r[0]: (r[1], r[2]) for r in rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect()}
     sizes = {s: v[0] for s, v in per_source.items()}
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     wanted = [int(goal[s] + Fraction(1, 2)) for s in order]
     known = spark.createDataFrame([(i, s, sizes[s], float(goal[s]), wanted[i]) for i, s in enumerate(order)], "src int, _source string, source_size long, target double, wanted long")
     rows = rows.join(F.broadcast(known), rows.source.eqNullSafe(F.col("_source"))).drop("_source")
-    rows = saved(shuffled_rank(rows, ["src"], ["_key", "doc_id", "size"], max([n for _, n in per_source.values()], default=0), "at", "size").drop("_key"), "mix-places")
+    rows = saved(shuffled_rank(rows, ["src"], ["_key", "doc_id", "size", "key"], max([n for _, n in per_source.values()], default=0), "at", "size").drop("_key"), "mix-places")
 
     whole = F.col("source_size")
     due = schedule(spark, wanted, block).join(F.broadcast(known.drop("target", "_source")), "src")
@@ -95,13 +96,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     due = due.withColumn("epoch", F.explode(F.sequence(F.expr("low div source_size"), F.expr("(high - 1) div source_size"))))
     due = due.select("slot", "src", "epoch", F.greatest(F.col("low") - F.col("epoch") * whole, F.lit(0)).alias("low"), F.least(F.col("high") - F.col("epoch") * whole, whole).alias("high"))
     cells = due.withColumn("cell", F.explode(F.sequence(F.expr(f"low div {block}"), F.expr(f"(high - 1) div {block}"))))
-    parts = rows.where("size > 0").select("doc_id", "src", "at", "size", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("cell"))
+    parts = rows.where("size > 0").select("doc_id", "key", "src", "at", "size", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("cell"))
     first = F.greatest(F.col("at"), F.col("low"), F.col("cell") * block)
     last = F.least(F.col("at") + F.col("size"), F.col("high"), (F.col("cell") + 1) * block)
-    spans = parts.join(cells, ["src", "cell"]).where(first < last).select("slot", "src", "doc_id", "at", "epoch", (first - F.col("at")).alias("first"), (last - F.col("at")).alias("last"))
+    spans = parts.join(cells, ["src", "cell"]).where(first < last).select("slot", "src", "doc_id", "key", "size", "at", "epoch", (first - F.col("at")).alias("first"), (last - F.col("at")).alias("last"))
     return spans, rows
 
 
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix as rows with the columns of ``docs``: each document as often as the mix takes it.
+
+    A source's stream is read from its start, so every turn takes whole documents up to the source's
+    target; the one document that the target falls into comes with its words up to there, joined by
+    one space.  Documents without words are never taken; rows of one id and text are alike, and come as often
+    as all of them are taken.
+    """
+    spans, _ = mix(docs, doc_id=doc_id, text=text, source=source, **options)
+    turns = spans.groupBy("doc_id", "key", "size", "src", "at", "epoch").agg(F.max("last").alias("_last"))
+    turns = turns.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), "_last")
+    own = docs.withColumn("_own", F.xxhash64(F.col(text))).dropDuplicates([doc_id, "_own"])
+    met = own.join(turns, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    words = F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_last").cast("int"))
+    return met.withColumn(text, F.when(F.col("_last") < F.col("_size"), F.array_join(words, " ")).otherwise(F.col(text))).select(*docs.columns)
+
+
 def taken(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target and taken, the words of it that the mix takes, repeats counted."""
     spans, rows = mix(docs, **options)
