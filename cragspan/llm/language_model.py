@@ -39,19 +39,44 @@ _TOP = np.uint64(0xFFFFFFFF00000000)
 _OPEN: dict[str, list[np.ndarray] | None] = {}
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on: high bytes are mostly zero, and compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
 def _pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    parts = [x.view(np.uint8).reshape(len(keys), x.dtype.itemsize).T.tobytes() for x in (np.diff(keys, prepend=np.uint64(0)), *map(np.ascontiguousarray, columns))]
-    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + b"".join(parts))
+    """A compressed block.  Columns of 32 bits are words: each is given by its place in the block's list of words, the most frequent first."""
+    parts = [len(keys).to_bytes(8, "little"), _planes(np.diff(keys, prepend=np.uint64(0)))]
+    for x in columns:
+        if x.dtype == np.uint32:
+            words, at, number = np.unique(x, return_inverse=True, return_counts=True)
+            by = np.argsort(-number, kind="stable")
+            rank = np.empty(len(by), np.uint32)
+            rank[by] = np.arange(len(by), dtype=np.uint32)
+            parts += [len(words).to_bytes(8, "little"), words[by].tobytes(), _planes(rank[at])]
+        else:
+            parts.append(_planes(x))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
     """The keys and columns of a block."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, begin, out = int.from_bytes(raw[:8], "little"), 8, []
-    for kind in (np.uint64, *kinds):
+
+    def planes(kind: type) -> np.ndarray:
+        nonlocal begin
         size = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, begin).reshape(size, n).T).view(kind).ravel())
         begin += size * n
+        return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, begin - size * n).reshape(size, n).T).view(kind).ravel()
+
+    for kind in (np.uint64, *kinds):
+        if kind == np.uint32:
+            words = np.frombuffer(raw, np.uint32, int.from_bytes(raw[begin : begin + 8], "little"), begin + 8)
+            begin += 8 + words.nbytes
+            out.append(words[planes(np.uint32)])
+        else:
+            out.append(planes(kind))
     return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
@@ -79,7 +104,7 @@ def _spread(kind: int, bits: int, keys: np.ndarray, *columns: np.ndarray) -> Ite
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        yield kind, int(bucket[a]), _pack(keys[a:z], *[c[a:z] if c.dtype == np.uint64 else c[a:z].astype(np.uint32) for c in columns])
+        yield kind, int(bucket[a]), _pack(keys[a:z], *[c[a:z].astype(np.uint64) if c.dtype == np.int64 else c[a:z] for c in columns])
 
 
 def _store(folder: str, name: str, bits: int, keys: np.ndarray, *columns: np.ndarray) -> None:
@@ -98,7 +123,7 @@ def _store(folder: str, name: str, bits: int, keys: np.ndarray, *columns: np.nda
     places = np.searchsorted(rest >> np.uint64(64 - depth), np.arange(2**depth + 1, dtype=np.uint64)).astype(np.uint32)
     parts = [places, ((rest << np.uint64(depth)) >> np.uint64(32)).astype(np.uint32)]
     large = [np.flatnonzero(c > 254) for c in columns]
-    parts += [x for c, i in zip(columns, large, strict=True) for x in (i.astype(np.uint32), c[i].astype(np.uint32))]
+    parts += [x for c, i in zip(columns, large, strict=True) for x in (i.astype(np.uint32), c[i].astype(np.uint64))]
     parts += [np.minimum(c, 255).astype(np.uint8) for c in columns]
     with system.open_output_stream(own) as f:
         f.write(np.array([len(keys), depth, *map(len, large)], np.uint64).tobytes())
@@ -128,7 +153,7 @@ def _mapped(folder: str, name: str, columns: int) -> list[np.ndarray] | None:
     if whole is not None:
         n, depth, *large = np.array(whole[: 8 * (2 + columns)]).view(np.uint64).astype(np.int64).tolist()
         begin, out = 8 * (2 + columns), []
-        sizes = [(np.uint32, 2**depth + 1), (np.uint32, n), *[(np.uint32, m) for m in large for _ in range(2)], *[(np.uint8, n)] * columns]
+        sizes = [(np.uint32, 2**depth + 1), (np.uint32, n), *[(kind, m) for m in large for kind in (np.uint32, np.uint64)], *[(np.uint8, n)] * columns]
         for kind, length in sizes:
             size = length * np.dtype(kind).itemsize
             out.append(whole[begin : begin + size].view(kind))
@@ -287,11 +312,11 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> dict:
         kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
         n = kind - RUNS
         if not kind:
-            rows = list(_spread(0, word_bits, *_merge([_unpack(x, [np.uint32]) for x in pdf["block"]], 1)))
+            rows = list(_spread(0, word_bits, *_merge([_unpack(x, [np.uint64]) for x in pdf["block"]], 1)))
         elif n < 2:
             return pdf[["kind", "bucket", "block"]]
         elif n > 2:
-            parts = [_unpack(x, [np.uint64] * (n - 3) + [np.uint32] * 2) for x in pdf["block"]]
+            parts = [_unpack(x, [np.uint64] * (n - 3) + [np.uint32, np.uint64]) for x in pdf["block"]]
             *contexts, last, number = _counted([np.concatenate(x) for x in zip(*[p[:-2] for p in parts], strict=True)], *[np.concatenate([p[k] for p in parts]) for k in (-2, -1)])
             del parts
             keys = _dealt(contexts[0], _longer(contexts[0], last.astype(np.uint64) << np.uint64(32)), bits)
@@ -308,7 +333,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> dict:
             else:
                 rows += _spread(RUNS + n - 1, bits, *_counted(contexts[1:], last, np.ones(len(last), np.int64)))
         else:
-            keys, number = _merge([_unpack(x, [np.uint32]) for x in pdf["block"]], 1)
+            keys, number = _merge([_unpack(x, [np.uint64]) for x in pdf["block"]], 1)
             _store(folder, f"runs2-{bucket}", bits, keys, number)
             pair = _unmix(keys)
             rows = [tally(2, number), *_spread(1, word_bits, *np.unique(pair << np.uint64(32), return_counts=True))]
@@ -319,9 +344,9 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> dict:
     def words(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         one = pdf["kind"].to_numpy()
-        keys, number = _merge([_unpack(x, [np.uint32]) for x in pdf["block"][one == 0]], 1)
-        ends, types = _merge([_unpack(x, [np.uint32]) for x in pdf["block"][one == 1]], 1)
-        starts, *total = _merge([_unpack(x, [np.uint32] * 4) for x in pdf["block"][one == 2]], 4)
+        keys, number = _merge([_unpack(x, [np.uint64]) for x in pdf["block"][one == 0]], 1)
+        ends, types = _merge([_unpack(x, [np.uint64]) for x in pdf["block"][one == 1]], 1)
+        starts, *total = _merge([_unpack(x, [np.uint64] * 4) for x in pdf["block"][one == 2]], 4)
         own = keys & _TOP
 
         def of(known: np.ndarray, column: np.ndarray) -> np.ndarray:
