@@ -20,6 +20,8 @@ from cragspan.llm.words import mix, pieces
 ORDER = 4
 #: The bound of the labelled sample: texts of each language that are fitted on, and one more in CALIBRATE for calibration.
 SAMPLE_TEXTS = 3_000
+#: Bytes of text that the sample holds in the mean, at most for each language.
+SAMPLE_BYTES = 64_000_000
 CALIBRATE = 6
 UNDETERMINED = "und"
 _LETTER: list[np.ndarray] = []
@@ -170,16 +172,19 @@ def _logistic(margin: np.ndarray, right: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_TEXTS, seed: int = 4) -> dict:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_TEXTS, seed: int = 4, sample_bytes: int = SAMPLE_BYTES) -> dict:
     """Models of every language in ``labelled`` and the calibration of their margins.
 
-    Fits on about ``sample`` texts of each language, chosen by a hash; rows with a null text or
-    language and texts without letters teach nothing.
+    Fits on about ``sample`` different texts of each language and about ``sample_bytes`` of them,
+    chosen by a hash of the text; rows with a null text or language and texts without letters teach
+    nothing, and a repeated text teaches once.  Languages that fit a text equally well tie, and the
+    first by name is taken.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    number = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    number = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")))
     part = F.pmod(random_key(seed, "text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = saved(rows.join(number, "lang").where(part * F.col("n") < sample).select("lang", "text", (F.pmod(random_key(seed + 1, "text"), F.lit(CALIBRATE)) == 0).alias("apart")), "language-sample")
+    drawn = rows.join(number, "lang").where((part * F.col("n") < sample) & (part * F.col("bytes") < sample_bytes)).select("lang", "text").dropDuplicates()
+    chosen = saved(drawn.withColumn("apart", F.pmod(random_key(seed + 1, "text"), F.lit(CALIBRATE)) == 0), "language-sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
