@@ -19,6 +19,8 @@ from cragspan.llm.words import Words, pieces
 
 #: The bound of the labelled sample that the field is fitted on, in documents.
 SAMPLE_DOCS = 4_000
+#: Bytes of text that the sample holds in the mean, at most.
+SAMPLE_BYTES = 64_000_000
 ROUNDS = 120
 PENALTY = 1e-3
 FEATURES = 15
@@ -137,8 +139,8 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, seed: int = 7) -> dict:
-    """A field fitted on about ``sample`` labelled texts, chosen by a hash of their ids.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, seed: int = 7, sample_bytes: int = SAMPLE_BYTES) -> dict:
+    """A field fitted on about ``sample`` labelled texts and about ``sample_bytes`` of them, chosen by a hash of their ids.
 
     ``docs(doc_id, text)``, ``labels(doc_id, quality)``.  A text's lines take its label; null
     labels and texts teach nothing and a text with several labels takes their mean, rounded.
@@ -146,8 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, seed: i
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     part = F.pmod(random_key(seed, "_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(part < sample / max(1, known.count()))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    share = sample / max(1, known.count())
+
+    def drawn(upto: float) -> DataFrame:
+        return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known.where(part < upto)), F.col("doc_id") == F.col("_id"))
+
+    size = drawn(share).agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    rows = drawn(share * min(1.0, sample_bytes / size))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
