@@ -28,9 +28,12 @@ HASHES = 5
 PAIRS = WINDOW * (WINDOW - 1) // 2
 #: Windows with more equal pairs (a collision entropy under two bits) carry too little to be features.
 MOST_PAIRS = PAIRS // 4
-#: Texts of a range of ids that are handled in sequence, and how many ranges there are at most.
+#: Texts of a range of ids, which a task handles one after the other; past so many ranges, they are longer.
 RANGE_BYTES = 8_000_000
-MOST_RANGES = 4_096
+SHORT_RANGES = 4_096
+LONG_RANGE_BYTES = 128_000_000
+#: Bytes of filters that are compared at once.
+COMPARED_BYTES = 32_000_000
 
 
 def _equal_pairs(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,10 +139,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if len(a) > len(b):
         a, b = b, a
     set_a, set_b = np.bitwise_count(a).sum(1, dtype=np.int64), np.bitwise_count(b).sum(1, dtype=np.int64)
-    both = np.bitwise_count(a[:, None, :] & b[None, :, :]).sum(2, dtype=np.int64)
-    chance = set_a[:, None] * set_b[None, :] / FILTER_BITS
-    most = np.minimum(set_a[:, None], set_b[None, :])
-    return float(np.clip((both - chance) / np.maximum(most - chance, 1e-9), 0, 1).max(1).mean())
+    rows, best = max(1, COMPARED_BYTES // b.nbytes), []
+    for first in range(0, len(a), rows):
+        some, own = a[first : first + rows], set_a[first : first + rows, None]
+        both = np.bitwise_count(some[:, None, :] & b[None, :, :]).sum(2, dtype=np.int64)
+        chance = own * set_b[None, :] / FILTER_BITS
+        best.append(np.clip((both - chance) / np.maximum(np.minimum(own, set_b[None, :]) - chance, 1e-9), 0, 1).max(1))
+    return float(np.concatenate(best).mean())
 
 
 def as_text(chain: np.ndarray) -> str:
@@ -151,7 +157,7 @@ def _neighbours(docs: DataFrame, size: int) -> DataFrame:
     first document of each range also follows, as ``tail``, the range before it in descending order."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = int(min(MOST_RANGES, max(parts, size / RANGE_BYTES)))
+    ranges = int(max(parts, min(SHORT_RANGES, size / RANGE_BYTES), size / LONG_RANGE_BYTES))
     cuts = np.unique(np.array(docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges), np.int64))
 
     def place(ids: pd.Series) -> pd.Series:
