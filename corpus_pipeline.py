@@ -44,11 +44,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, to the nearest whole number of times."""
-    sums = mixing.taken(docs).groupBy(F.col("doc_id").alias("_id")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times"))
-    times = sums.select("_id", F.round("_times").cast("int").alias("_times")).where("_times > 0")
-    repeated = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """The words of each source up to its target: every document whole, as often as the mix takes it, and one cut at the target."""
+    mixed = mixing.mixed(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
