@@ -13,6 +13,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cragspan.operators.components import components
 from cragspan.plans.storage import materialise
 
 
@@ -55,6 +56,13 @@ def local_density(cloud: DataFrame, radius: float) -> DataFrame:
     return radius_count(cloud, radius).select("pid", (F.col("neighbours") / F.lit(4.0 / 3.0 * 3.141592653589793 * radius**3)).alias("density"))
 
 
+def _first_size(points: DataFrame, axes: str, extent: float, want: int) -> float:
+    """The least of the extent's halves at which occupied cells hold (want + 1) / 2 points in the mean, on surfaces as in space."""
+    sizes = [extent * 2.0**-j for j in range(25)]
+    occupied = points.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.xxhash64(*_cells(s, axes)), 0.02).alias(f"o{j}") for j, s in enumerate(sizes)]).first()
+    return min((s for j, s in enumerate(sizes) if occupied["n"] >= (want + 1) / 2 * occupied[f"o{j}"]), default=extent)
+
+
 def knn(left: DataFrame, right: DataFrame, k: int, axes: str = "xyz", drop_self: bool = False) -> DataFrame:
     """The k nearest points of ``right`` for each of ``left``: rows ``(pid, rank, nid, d2)``, equal distances by nid.
 
@@ -66,7 +74,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, axes: str = "xyz", drop_self:
         return left.sparkSession.createDataFrame([], "pid long, rank int, nid long, d2 double")
     extent = max(max(spans[f"hi{a}"], ends[f"hi{a}"]) - min(spans[f"lo{a}"], ends[f"lo{a}"]) for a in axes) or 1.0
     want = min(k, spans["n"] - bool(drop_self))
-    size = max(extent / max(1.0, (spans["n"] / (k + 1)) ** (1 / len(axes))), extent * 2.0**-24)
+    size = _first_size(right, axes, extent, want)
     todo, found = left.select("pid", *axes), None
     while True:
         everything = size > extent
@@ -123,35 +131,45 @@ def correspondences(source: DataFrame, target: DataFrame, cutoff: float) -> Data
     return nearest(source, target).where(F.col("distance") <= cutoff)
 
 
-def spread_components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """``(pid, root)``: the least pid that edges ``(a, b)`` lead to, both ways."""
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = materialise(nodes.select("pid", F.col("pid").alias("root")), "labels")
-    for _ in range(most_rounds):
-        low = both.join(labels.select(F.col("pid").alias("b"), "root"), "b").groupBy(F.col("a").alias("pid")).agg(F.min("root").alias("_low"))
-        step = labels.join(low, "pid", "left").select("pid", F.col("root").alias("was"), F.least("root", "_low").alias("root"))
-        jump = step.select(F.col("pid").alias("root"), F.col("root").alias("_far"))
-        step = materialise(step.join(jump, "root", "left").select("pid", "was", F.least("root", "_far").alias("root")), "labels")
-        labels = step.select("pid", "root")
-        if not step.where("root <> was").limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")
+def spread_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(pid, root)`` of ``nodes(pid)``: the least pid that edges ``(a, b)`` lead to, both ways."""
+    found = components(edges).withColumnRenamed("node", "pid")
+    return nodes.select("pid").join(found, "pid", "left").select("pid", F.coalesce("root", "pid").alias("root"))
+
+
+def _linked_cells(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """``(points with node, links)``: cells of radius / sqrt(3), in which all points are linked, named by their least pid, and the
+    pairs ``(a, b)`` of them that some two points within the radius link; a cell meets the 5 * 5 * 5 cells around it."""
+    side = radius / 3**0.5 * (1 - 1e-12)
+    celled = _keyed(points.select("pid", *"xyz"), side, "xyz")
+    names = celled.groupBy("cx", "cy", "cz").agg(F.min("pid").alias("node"))
+    placed = materialise(celled.join(names, ["cx", "cy", "cz"]), "celled")
+    steps = [o for o in itertools.product(range(-2, 3), repeat=3) if o > (0, 0, 0)]
+    near = names.withColumn("_s", F.explode(F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip("xyz", o, strict=True)]) for o in steps])))
+    near = near.select(F.col("node").alias("a"), *[(F.col(f"c{a}") + F.col(f"_s.d{a}")).alias(f"c{a}") for a in "xyz"])
+    cells = near.join(names.withColumnRenamed("node", "b"), ["cx", "cy", "cz"]).select("a", "b")
+    one = placed.select(F.col("node").alias("a"), "pid", *"xyz")
+    two = placed.select(F.col("node").alias("b"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
+    links = cells.join(one, "a").join(two, "b").where(_d2("xyz") <= radius * radius).select("a", "b").distinct()
+    return placed, links
 
 
 def connected_components(cloud: DataFrame, radius: float, least: int) -> DataFrame:
     """Components of points linked within the radius; those of fewer than ``least`` points are -1."""
-    pairs = radius_pairs(cloud, cloud, radius).select(F.col("pid").alias("a"), F.col("nid").alias("b")).where("a < b")
-    roots = spread_components(pairs, cloud)
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    return roots.join(sizes, "root").select("pid", F.when(F.col("n") >= least, F.col("root")).otherwise(-1).alias("segment"))
+    placed, links = _linked_cells(cloud, radius)
+    roots = spread_components(links, placed.select(F.col("node").alias("pid")).distinct()).withColumnRenamed("pid", "node")
+    rooted = placed.select("pid", "node").join(roots, "node")
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"))
+    return rooted.join(sizes, "root").select("pid", F.when(F.col("n") >= least, F.col("root")).otherwise(-1).alias("segment"))
 
 
 def dbscan(cloud: DataFrame, radius: float, least: int) -> DataFrame:
     """Cluster of each point (its least core pid), border points in the cluster that starts first, noise -1."""
-    pairs = materialise(radius_pairs(cloud, cloud, radius), "dbscan-pairs")
-    core = materialise(pairs.groupBy("pid").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pid"), "dbscan-core")
-    both = pairs.join(core, "pid", "left_semi").join(core.select(F.col("pid").alias("nid")), "nid", "left_semi")
-    roots = spread_components(both.select(F.col("pid").alias("a"), F.col("nid").alias("b")).where("a < b"), core)
-    reach = pairs.join(roots.select(F.col("pid").alias("nid"), "root"), "nid").groupBy("pid").agg(F.min("root").alias("reached"))
-    own = cloud.select("pid").join(roots, "pid", "left").join(reach, "pid", "left")
-    return own.select("pid", F.coalesce("root", "reached", F.lit(-1)).alias("cluster"))
+    core = materialise(radius_count(cloud, radius).where(F.col("neighbours") >= least).select("pid"), "dbscan-core")
+    placed, links = _linked_cells(cloud.join(core, "pid", "left_semi"), radius)
+    roots = spread_components(links, placed.select(F.col("node").alias("pid")).distinct()).withColumnRenamed("pid", "node")
+    own = materialise(placed.join(roots, "node").select("pid", *"xyz", "root"), "dbscan-own")
+    # a border point needs the least root in reach only: cores are told apart by cell and root
+    rest = cloud.join(core, "pid", "left_anti")
+    reach = radius_pairs(rest, own, radius).join(own.select(F.col("pid").alias("nid"), "root"), "nid").groupBy("pid").agg(F.min("root").alias("reached"))
+    return cloud.select("pid").join(own.select("pid", "root"), "pid", "left").join(reach, "pid", "left").select("pid", F.coalesce("root", "reached", F.lit(-1)).alias("cluster"))

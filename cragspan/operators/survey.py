@@ -8,13 +8,46 @@ from pyspark.sql import functions as F
 from cragspan.functions.geometry import base_code
 
 
+#: Points of a survey, by their number, that one task orders.
+SLICE_POINTS = 100_000
+
+
+def runs_of(points: DataFrame, key: Column, survey: str = "survey") -> DataFrame:
+    """``points`` with ``shape``, the ord of the first point of the run of adjacent points of equal ``key``; a null key is a run of its own.
+
+    Points are ordered within slices of SLICE_POINTS numbers; what a slice begins with is compared with the end of the last
+    slice before it, and a run that goes on from there takes its first point from there, so no task holds a survey.
+    """
+    sliced = points.withColumns({"_key": key, "_slice": F.expr(f"cast(ord div {SLICE_POINTS} as long)")})
+    inside = Window.partitionBy(survey, "_slice").orderBy("ord")
+    earlier = F.lag("_key").over(inside)
+    marked = sliced.withColumn("_new", F.col("_key").isNull() | earlier.isNull() | (F.col("_key") != earlier))
+    marked = marked.withColumn("_from", F.last(F.when(F.col("_new"), F.col("ord")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(survey, "_slice").agg(F.min("ord").alias("_head"), F.min_by("_key", "ord").alias("_first"), F.max_by("_key", "ord").alias("_last"), F.max("_from").alias("_start"))
+    along = Window.partitionBy(survey).orderBy("_slice")  # a row a slice
+    goes_on = F.coalesce(F.col("_first") == F.lag("_last").over(along), F.lit(False))
+    chained = ends.withColumn("_on", goes_on)
+    # a slice that is one run, and goes on from the slice before, hands that run's start on
+    own = F.when(~(F.col("_on") & (F.col("_start") == F.col("_head"))), F.col("_start"))
+    chained = chained.withColumn("_own", own).withColumn("_before", F.last("_own", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = chained.where("_on").select(survey, "_slice", F.col("_head").alias("_from"), F.col("_before").alias("_carried"))
+    return marked.join(carried, [survey, "_slice", "_from"], "left").withColumn("shape", F.coalesce("_carried", "_from")).drop("_key", "_slice", "_new", "_from", "_carried")
+
+
 def runs(points: DataFrame, survey: str = "survey") -> DataFrame:
-    """Adjacent points of one survey with equal base codes form a run; a null code is never part of a longer one."""
-    order = Window.partitionBy(survey).orderBy("ord")
-    coded = points.withColumn("base", base_code(F.col("code")))
-    new = F.col("base").isNull() | F.lag("base").over(order).isNull() | (F.col("base") != F.lag("base").over(order))
-    numbered = coded.withColumn("_new", new.cast("int")).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(survey, "run").agg(F.min("base").alias("base"), F.count("*").alias("points"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+    """Adjacent points of one survey with equal base codes form a run; a null code is never part of a longer one.  Runs are numbered from 1."""
+    coded = runs_of(points.withColumn("base", base_code(F.col("code"))), F.col("base"), survey)
+    each = coded.groupBy(survey, "shape").agg(F.min("base").alias("base"), F.count("*").alias("points"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+    return numbered(each, survey, "first", "run").drop("shape")
+
+
+def numbered(rows: DataFrame, group: str, order: str, out: str) -> DataFrame:
+    """Numbers from 1 by ``order`` within ``group``: within slices of it, and added up over the slices."""
+    cut = rows.withColumn("_slice", F.expr(f"cast({order} div {SLICE_POINTS} as long)"))
+    counts = cut.groupBy(group, "_slice").agg(F.count("*").alias("_n"))
+    before = counts.select(group, "_slice", (F.sum("_n").over(Window.partitionBy(group).orderBy("_slice")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order))
+    return cut.withColumn("_inside", inside).join(before, [group, "_slice"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_slice", "_inside", "_before")
 
 
 def code_lookup(points: DataFrame, catalog: DataFrame, how: str = "left") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cragspan.operators.neighbours import radius_pairs
 from cragspan.operators.terrain import locate
+from cragspan.plans.storage import materialise
 
 EARTH_RADIUS = 6_371_000.0
 
@@ -32,3 +34,19 @@ def viewshed(observer: tuple[float, float, float], targets: DataFrame, faces: Da
     ends = {f"{a}0": F.lit(v) for a, v in zip("xyz", observer, strict=True)}
     rays = ground.select(F.col("pid").alias("ray"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("z") + height).alias("z1")).withColumns(ends)
     return line_of_sight(rays, faces, samples, size).select(F.col("ray").alias("pid"), "visible")
+
+
+def intervisibility(points: DataFrame, faces: DataFrame, reach: float, height: float, samples: int, size: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``points(pid, x, y)`` at most ``reach`` apart in plan, with the clearance of the sight between them,
+    both ends ``height`` over the mesh, and whether they see each other; points off the mesh are left out."""
+    placed = materialise(points.join(locate(points, faces, size).select("pid", (F.col("z") + height).alias("z")), "pid"), "posts")
+    pairs = radius_pairs(placed, placed, reach, "xy").where("pid < nid").select("pid", "nid")
+    ends = [placed.select(F.col("pid").alias(name), *[F.col(c).alias(f"{c}{k}") for c in "xyz"]) for k, name in enumerate(("pid", "nid"))]
+    rays = pairs.join(ends[0], "pid").join(ends[1], "nid").withColumn("ray", F.struct("pid", "nid"))
+    found = line_of_sight(rays.select("ray", *[f"{c}{k}" for k in (0, 1) for c in "xyz"]), faces, samples, size)
+    return found.select("ray.pid", "ray.nid", "clearance", "visible").withColumnsRenamed({"pid": "a", "nid": "b"})
+
+
+def network(points: DataFrame, faces: DataFrame, reach: float, height: float, samples: int, size: float) -> DataFrame:
+    """The pairs of points that see each other."""
+    return intervisibility(points, faces, reach, height, samples, size).where("visible").select("a", "b")

@@ -50,25 +50,27 @@ M AS (SELECT tid, min(root) AS root FROM R GROUP BY 1)
 SELECT root AS first, count(*) AS triangles, round(sum(area),6) AS area, round(avg(slope),6) AS slope FROM M JOIN S USING (tid) GROUP BY 1 HAVING count(*) >= 4""")
 
 
-def _rays(k: SparkSession) -> DataFrame:
-    i = F.col("id")
-    at = {"x0": i % 13 + 0.3, "y0": i * 7 % 14 + 0.4, "z0": F.lit(2.5) + i % 3, "x1": i * 5 % 14 + 0.6, "y1": i * 3 % 13 + 0.7, "z1": F.lit(2.0) + i % 4}
-    return k.range(200).select(i.alias("ray"), *[v.cast("double").alias(c) for c, v in at.items()])
+def _rays(k: SparkSession, d: str) -> DataFrame:
+    i, f = F.col("c_custkey"), (q.grid_side(k, d) - 1) / 15.0
+    at = {"x0": (i % 13 + 0.3) * f, "y0": (i * 7 % 14 + 0.4) * f, "z0": F.lit(2.5) + i % 3, "x1": (i * 5 % 14 + 0.6) * f, "y1": (i * 3 % 13 + 0.7) * f, "z1": F.lit(2.0) + i % 4}
+    return q._table(k, d, "customer").select(i.alias("ray"), *[v.cast("double").alias(c) for c, v in at.items()])
 
 
-_SIGHT = f"""RAY AS (SELECT i AS ray, i%13+0.3::DOUBLE AS x0, i*7%14+0.4::DOUBLE AS y0, 2.5::DOUBLE+i%3 AS z0, i*5%14+0.6::DOUBLE AS x1, i*3%13+0.7::DOUBLE AS y1, 2.0::DOUBLE+i%4 AS z1 FROM range(200) r(i)),
+_F = f"(({q._SIDE} - 1) / 15.0::DOUBLE)"
+_SIGHT = f"""RAY AS (SELECT i AS ray, (i%13+0.3::DOUBLE)*{_F} AS x0, (i*7%14+0.4::DOUBLE)*{_F} AS y0, 2.5::DOUBLE+i%3 AS z0, (i*5%14+0.6::DOUBLE)*{_F} AS x1, (i*3%13+0.7::DOUBLE)*{_F} AS y1, 2.0::DOUBLE+i%4 AS z1 FROM (SELECT c_custkey AS i FROM customer)),
 G AS (SELECT ray * 100 + k AS pid, ray, x0+t*(x1-x0) AS x, y0+t*(y1-y0) AS y, z0+t*(z1-z0)-((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))*t*(1-t)/(2*{visibility.EARTH_RADIUS}::DOUBLE) AS sight FROM (SELECT *, k/20.0::DOUBLE AS t FROM RAY, range(1, 20) s(k))),
 I AS (SELECT P.pid, P.ray, P.sight, tid, {q._w1} AS w1, {q._w2} AS w2, z0, z1, z2 FROM G P, FACE ),
 O AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY tid) AS k FROM I WHERE w1 >= -1e-9 AND w2 >= -1e-9 AND 1-w1-w2 >= -1e-9),
 W AS (SELECT ray, min(sight-w1*z0-w2*z1-(1-w1-w2)*z2) AS clearance, count(*) FILTER (sight-w1*z0-w2*z1-(1-w1-w2)*z2 < 0) AS blocked FROM O WHERE k = 1 GROUP BY 1)"""
-q._add("line_of_sight", lambda k, d: q._rounded(visibility.line_of_sight(_rays(k), q._faces(k, d), 20, 1.0)), f"WITH {_SIGHT} SELECT RAY.ray, round(clearance,6) AS clearance, CAST(coalesce(blocked,0) AS BIGINT) AS blocked, coalesce(blocked,0) = 0 AS visible FROM RAY LEFT JOIN W USING (ray)")
+q._add("line_of_sight", lambda k, d: q._rounded(visibility.line_of_sight(_rays(k, d), q._faces(k, d), 20, 1.0)), f"WITH {_SIGHT} SELECT RAY.ray, round(clearance,6) AS clearance, CAST(coalesce(blocked,0) AS BIGINT) AS blocked, coalesce(blocked,0) = 0 AS visible FROM RAY LEFT JOIN W USING (ray)")
 
 
-def _targets(k: SparkSession) -> DataFrame:
-    return k.range(196).select(F.col("id").alias("pid"), (F.col("id") % 14 + 0.45).alias("x"), (F.floor(F.col("id") / 14) + 0.55).alias("y"))
+def _targets(k: SparkSession, d: str) -> DataFrame:
+    side = q.grid_side(k, d) - 2
+    return k.range(side * side).select(F.col("id").alias("pid"), (F.col("id") % side + 0.45).alias("x"), (F.floor(F.col("id") / side) + 0.55).alias("y"))
 
 
-QUERIES["viewshed"] = lambda k, d: visibility.viewshed((7.3, 7.6, 5.0), _targets(k), q._faces(k, d), 1.7, 20, 1.0)
+QUERIES["viewshed"] = lambda k, d: visibility.viewshed((1.3, 1.6, 5.0), _targets(k, d), q._faces(k, d), 1.7, 20, 1.0)
 
 
 def _elements(k: SparkSession, d: str) -> DataFrame:

@@ -18,14 +18,15 @@ from cragspan.operators import terrain as t
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-SIDE = 16  # of the mesh's grid
+#: Nodes along a side of the mesh's grid, which grows with the events: about 39 events a node.
+_SIDE = "(SELECT greatest(4, CAST(floor(sqrt(count(*) / 39.0::DOUBLE)) AS BIGINT)) FROM events)"
 _EV = "EV AS (SELECT event_id AS pid, (epoch_us(ts) - 1704067200000000) / 3.6e9 AS x, CAST(user_id AS DOUBLE) AS y, value AS z, event_type FROM events)"
 _EM = "EM AS (SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label FROM embeddings)"
-_GRID = f"""GRID AS (SELECT r.range AS "row", k.range AS col, coalesce(zz, 0.0::DOUBLE) AS z FROM range({SIDE}) r CROSS JOIN range({SIDE}) k
- LEFT JOIN (SELECT CAST(user_id % {SIDE} AS BIGINT) AS rr, CAST(event_id % {SIDE} AS BIGINT) AS kk, (min(value) + max(value)) / 2 AS zz FROM events GROUP BY 1, 2) e ON rr = r.range AND kk = k.range)"""
-_MESH = f"""{_GRID}, V AS (SELECT "row" * {SIDE} + col AS vid, CAST(col AS DOUBLE) AS x, CAST("row" AS DOUBLE) AS y, z / 100 AS z FROM GRID),
-T AS (SELECT 2 * vid + k AS tid, vid AS v0, CASE k WHEN 0 THEN vid + 1 ELSE vid + {SIDE + 1} END AS v1, CASE k WHEN 0 THEN vid + {SIDE + 1} ELSE vid + {SIDE} END AS v2
- FROM (SELECT "row" * {SIDE} + col AS vid FROM GRID WHERE "row" < {SIDE - 1} AND col < {SIDE - 1}) CROSS JOIN (SELECT unnest([0, 1]) AS k)),
+_GRID = f"""GRID AS (SELECT r.range AS "row", k.range AS col, coalesce(zz, 0.0::DOUBLE) AS z FROM range({_SIDE}) r CROSS JOIN range({_SIDE}) k
+ LEFT JOIN (SELECT CAST(user_id % {_SIDE} AS BIGINT) AS rr, CAST(event_id % {_SIDE} AS BIGINT) AS kk, (min(value) + max(value)) / 2 AS zz FROM events GROUP BY 1, 2) e ON rr = r.range AND kk = k.range)"""
+_MESH = f"""{_GRID}, V AS (SELECT "row" * {_SIDE} + col AS vid, CAST(col AS DOUBLE) AS x, CAST("row" AS DOUBLE) AS y, z / 100 AS z FROM GRID),
+T AS (SELECT 2 * vid + k AS tid, vid AS v0, CASE k WHEN 0 THEN vid + 1 ELSE vid + {_SIDE} + 1 END AS v1, CASE k WHEN 0 THEN vid + {_SIDE} + 1 ELSE vid + {_SIDE} END AS v2
+ FROM (SELECT "row" * {_SIDE} + col AS vid FROM GRID WHERE "row" < {_SIDE} - 1 AND col < {_SIDE} - 1) CROSS JOIN (SELECT unnest([0, 1]) AS k)),
 FACE AS (SELECT tid, v0, v1, v2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2 FROM T JOIN V a ON a.vid = v0 JOIN V b ON b.vid = v1 JOIN V c ON c.vid = v2),
 N0 AS (SELECT *, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS a, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS b, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS c FROM FACE),
 N AS (SELECT *, sqrt(a*a+b*b+c*c) AS size, CASE WHEN c < 0 THEN -1 ELSE 1 END AS turn FROM N0),
@@ -45,18 +46,24 @@ def vector_cloud(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), *[F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xyz")], "label")
 
 
+def grid_side(spark: SparkSession, d: str) -> int:
+    return max(4, int((_table(spark, d, "events").count() / 39.0) ** 0.5))
+
+
 def event_grid(spark: SparkSession, d: str) -> DataFrame:
-    cells = spark.range(SIDE * SIDE).select(F.expr(f"id div {SIDE}").alias("row"), (F.col("id") % SIDE).alias("col"))
-    mean = _table(spark, d, "events").groupBy((F.col("user_id") % SIDE).cast("long").alias("row"), (F.col("event_id") % SIDE).cast("long").alias("col")).agg(((F.min("value") + F.max("value")) / 2).alias("zz"))
+    side = grid_side(spark, d)
+    cells = spark.range(side * side).select(F.expr(f"id div {side}").alias("row"), (F.col("id") % side).alias("col"))
+    mean = _table(spark, d, "events").groupBy((F.col("user_id") % side).cast("long").alias("row"), (F.col("event_id") % side).cast("long").alias("col")).agg(((F.min("value") + F.max("value")) / 2).alias("zz"))
     return cells.join(mean, ["row", "col"], "left").select("row", "col", F.coalesce("zz", F.lit(0.0)).alias("z"))
 
 
 def event_mesh(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    v = event_grid(spark, d).select((F.col("row") * SIDE + F.col("col")).alias("vid"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), (F.col("z") / 100).alias("z"))
-    at = spark.range(SIDE * SIDE).where((F.col("id") % SIDE < SIDE - 1) & (F.col("id") < SIDE * (SIDE - 1)))
+    side = grid_side(spark, d)
+    v = event_grid(spark, d).select((F.col("row") * side + F.col("col")).alias("vid"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), (F.col("z") / 100).alias("z"))
+    at = spark.range(side * side).where((F.col("id") % side < side - 1) & (F.col("id") < side * (side - 1)))
     both = at.select(F.col("id").alias("v0"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
-    up = F.when(F.col("k") == 0, 1).otherwise(SIDE + 1)
-    return v, both.select((2 * F.col("v0") + F.col("k")).alias("tid"), "v0", (F.col("v0") + up).alias("v1"), (F.col("v0") + F.when(F.col("k") == 0, SIDE + 1).otherwise(SIDE)).alias("v2"))
+    up = F.when(F.col("k") == 0, 1).otherwise(side + 1)
+    return v, both.select((2 * F.col("v0") + F.col("k")).alias("tid"), "v0", (F.col("v0") + up).alias("v1"), (F.col("v0") + F.when(F.col("k") == 0, side + 1).otherwise(side)).alias("v2"))
 
 
 def _faces(spark: SparkSession, d: str) -> DataFrame:
@@ -153,10 +160,12 @@ _add("contour_segments", lambda k, d: _rounded(t.contour_segments(_faces(k, d),
 
 
 def _probes(k: SparkSession, d: str) -> DataFrame:
-    return vector_cloud(k, d).select("pid", ((F.col("x") + 0.6) * 12.3).alias("x"), ((F.col("y") + 0.6) * 12.3).alias("y"))
+    wide = 12.3 / 15 * (grid_side(k, d) - 1)
+    return vector_cloud(k, d).select("pid", ((F.col("x") + 0.6) * wide).alias("x"), ((F.col("y") + 0.6) * wide).alias("y"))
 
 
-_PROBE = "P AS (SELECT pid, (x+0.6)*12.3::DOUBLE AS x, (y+0.6)*12.3::DOUBLE AS y FROM EM )"
+_WIDE = f"(12.3::DOUBLE / 15 * ({_SIDE} - 1))"
+_PROBE = f"P AS (SELECT pid, (x+0.6)*{_WIDE} AS x, (y+0.6)*{_WIDE} AS y FROM EM )"
 _w1 = "((y1-y2)*(P.x-x2)+(x2-x1)*(P.y-y2))/((y1-y2)*(x0-x2)+(x2-x1)*(y0-y2))"
 _w2 = "((y2-y0)*(P.x-x2)+(x0-x2)*(P.y-y2))/((y1-y2)*(x0-x2)+(x2-x1)*(y0-y2))"
 _add("tin_interpolate", lambda k, d: _rounded(t.locate(_probes(k, d), _faces(k, d), 1.0)), f"WITH {_PROBE}, i AS (SELECT pid, tid, {_w1} AS w1, {_w2} AS w2, z0, z1, z2 FROM P, FACE ), r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY tid) AS k FROM i WHERE w1 >= -1e-9 AND w2 >= -1e-9 AND 1-w1-w2 >= -1e-9) SELECT pid, tid, round(w1*z0+w2*z1+(1-w1-w2)*z2, 6) AS z FROM r WHERE k = 1")
@@ -165,7 +174,7 @@ _add("nearest_vertex", lambda k, d: n.knn(_probes(k, d), event_mesh(k, d)[0].wit
 _add("bilinear_sample", lambda k, d: _rounded(t.bilinear(_probes(k, d), event_grid(k, d))), f"WITH {_PROBE}, q AS (SELECT pid, x-floor(x) AS fx, y-floor(y) AS fy, a.z AS za, b.z AS zb, c.z AS zc, e.z AS ze FROM P LEFT JOIN GRID a ON a.row=floor(y) AND a.col=floor(x) LEFT JOIN GRID b ON b.row=floor(y) AND b.col=floor(x)+1 LEFT JOIN GRID c ON c.row=floor(y)+1 AND c.col=floor(x) LEFT JOIN GRID e ON e.row=floor(y)+1 AND e.col=floor(x)+1 WHERE coalesce(a.z,b.z,c.z,e.z) IS NOT NULL) SELECT pid, round(za*(1-fx)*(1-fy)+zb*fx*(1-fy)+zc*(1-fx)*fy+ze*fx*fy, 6) AS z FROM q")
 _add("nearest_sample", lambda k, d: t.nearest_sample(_probes(k, d), event_grid(k, d)), f"WITH {_PROBE} SELECT pid, z FROM P JOIN GRID ON GRID.row = round_even(y, 0) AND GRID.col = round_even(x, 0)")
 _add("raster_summary", lambda k, d: _rounded(t.raster_summary(event_grid(k, d))), "SELECT round(min(z),6) AS min, round(max(z),6) AS max, round(avg(z),6) AS mean, round(stddev_pop(z),6) AS std, count(z) AS valid, count(*) AS cells FROM GRID")
-_add("grid_slope", lambda k, d: _rounded(t.grid_slope(event_grid(k, d), 10.0)), """WITH q AS (SELECT "row", col, (coalesce(lead(z) OVER r, z) - coalesce(lag(z) OVER r, z)) / (10.0 * CASE WHEN col IN (0, 15) THEN 1 ELSE 2 END) AS dx, (coalesce(lead(z) OVER k, z) - coalesce(lag(z) OVER k, z)) / (10.0 * CASE WHEN "row" IN (0, 15) THEN 1 ELSE 2 END) AS dy FROM GRID WINDOW r AS (PARTITION BY "row" ORDER BY col), k AS (PARTITION BY col ORDER BY "row")) SELECT "row", col, round(degrees(atan(sqrt(dx*dx+dy*dy))), 6) AS slope FROM q""")
+_add("grid_slope", lambda k, d: _rounded(t.grid_slope(event_grid(k, d), 10.0)), f"""WITH q AS (SELECT "row", col, (coalesce(lead(z) OVER r, z) - coalesce(lag(z) OVER r, z)) / (10.0 * CASE WHEN col IN (0, {_SIDE} - 1) THEN 1 ELSE 2 END) AS dx, (coalesce(lead(z) OVER k, z) - coalesce(lag(z) OVER k, z)) / (10.0 * CASE WHEN "row" IN (0, {_SIDE} - 1) THEN 1 ELSE 2 END) AS dy FROM GRID WINDOW r AS (PARTITION BY "row" ORDER BY col), k AS (PARTITION BY col ORDER BY "row")) SELECT "row", col, round(degrees(atan(sqrt(dx*dx+dy*dy))), 6) AS slope FROM q""")
 _add("raster_window", lambda k, d: _rounded(t.raster_window(event_grid(k, d), 1)), 'SELECT a.row, a.col, round(min(b.z),6) AS min, round(max(b.z),6) AS max, round(avg(b.z),6) AS mean FROM GRID a JOIN GRID b ON abs(a.row-b.row) <= 1 AND abs(a.col-b.col) <= 1 GROUP BY 1, 2')
 _add("grey_opening", lambda k, d: t.grey_opening(event_grid(k, d), 3), "WITH o AS (SELECT a.row, a.col, min(b.z) AS z FROM GRID a JOIN GRID b ON abs(a.row-b.row) <= 1 AND abs(a.col-b.col) <= 1 GROUP BY 1, 2) SELECT a.row, a.col, max(b.z) AS z FROM o a JOIN o b ON abs(a.row-b.row) <= 1 AND abs(a.col-b.col) <= 1 GROUP BY 1, 2")
 _add("cut_fill", lambda k, d: _rounded(t.cut_fill(event_grid(k, d), t.grey_opening(event_grid(k, d), 3).withColumn("z", F.col("z") + 5), 4.0), 4), "WITH o AS (SELECT a.row, a.col, min(b.z) AS z FROM GRID a JOIN GRID b ON abs(a.row-b.row) <= 1 AND abs(a.col-b.col) <= 1 GROUP BY 1, 2), p AS (SELECT a.row, a.col, max(b.z)+5 AS z FROM o a JOIN o b ON abs(a.row-b.row) <= 1 AND abs(a.col-b.col) <= 1 GROUP BY 1, 2), q AS (SELECT g.z-p.z AS d FROM GRID g JOIN p ON g.row=p.row AND g.col=p.col) SELECT round(sum(greatest(d,0))*4,4) AS cut, round(sum(greatest(-d,0))*4,4) AS fill, round(sum(d)*4,4) AS net, count(*) AS cells FROM q")
@@ -178,7 +187,7 @@ def _sections(k: SparkSession, d: str) -> DataFrame:
 
 _SECT = "S AS (SELECT o_orderstatus AS line, CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS station, round(sum(o_totalprice), 2) AS area FROM orders GROUP BY 1, 2)"
 _add("average_end_area", lambda k, d: _rounded(s.average_end_area(_sections(k, d)), 0), f"WITH {_SECT}, q AS (SELECT line, (lead(station) OVER w - station)*(area + lead(area) OVER w)/2 AS v FROM S WINDOW w AS (PARTITION BY line ORDER BY station)) SELECT line, round(sum(v), 0) AS volume, count(*) AS sections FROM q GROUP BY 1")
-_add("prismoidal", lambda k, d: _rounded(s.prismoidal_as_if_even(_sections(k, d).where("station < 401"), 1.0), 0), f"WITH {_SECT}, q AS (SELECT line, area, row_number() OVER (PARTITION BY line ORDER BY station) AS k, count(*) OVER (PARTITION BY line) AS n FROM S WHERE station < 401) SELECT line, round(sum(area*CASE WHEN k=1 OR k=n THEN 1 WHEN k%2=0 THEN 4 ELSE 2 END)*(1.0::DOUBLE/3), 0) AS volume, count(*) AS sections FROM q GROUP BY 1 HAVING count(*) % 2 = 1 AND count(*) >= 3")
+_add("prismoidal", lambda k, d: _rounded(s.prismoidal_as_if_even(_sections(k, d), 1.0), 0), f"WITH {_SECT}, q AS (SELECT line, area, row_number() OVER (PARTITION BY line ORDER BY station) AS k, count(*) OVER (PARTITION BY line) AS n FROM S) SELECT line, round(sum(area*CASE WHEN k=1 OR k=n THEN 1 WHEN k%2=0 THEN 4 ELSE 2 END)*(1.0::DOUBLE/3), 0) AS volume, count(*) AS sections FROM q GROUP BY 1 HAVING count(*) % 2 = 1 AND count(*) >= 3")
 _add("prismoidal_sections", lambda k, d: _rounded(s.prismoidal(_sections(k, d)), 0), f"WITH {_SECT}, q AS (SELECT line, area, lead(station) OVER w - station AS gap, row_number() OVER w AS k, count(*) OVER (PARTITION BY line) AS n FROM S WINDOW w AS (PARTITION BY line ORDER BY station)), r AS (SELECT line, sum(area*CASE WHEN k=1 OR k=n THEN 1 WHEN k%2=0 THEN 4 ELSE 2 END) AS total, min(gap) AS low, max(gap) AS high, count(*) AS sections, CASE WHEN count(*) < 3 THEN 'few' WHEN count(*) % 2 = 0 THEN 'even' WHEN count(*) FILTER (area IS NULL OR area < 0) > 0 THEN 'value' WHEN min(gap) <> max(gap) THEN 'spacing' END AS problem FROM q GROUP BY 1) SELECT line, CASE WHEN problem IS NULL THEN round(total*(low/3), 0) END AS volume, sections, problem FROM r")
 
 
