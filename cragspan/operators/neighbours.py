@@ -57,10 +57,10 @@ def local_density(cloud: DataFrame, radius: float) -> DataFrame:
 
 
 def _first_size(points: DataFrame, axes: str, extent: float, want: int) -> float:
-    """The least of the extent's halves at which occupied cells hold (want + 1) / 2 points in the mean, on surfaces as in space."""
+    """The least of the extent's halves at which occupied cells hold (want + 1) / 2 points in the mean, and two at least, on surfaces as in space."""
     sizes = [extent * 2.0**-j for j in range(25)]
     occupied = points.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.xxhash64(*_cells(s, axes)), 0.02).alias(f"o{j}") for j, s in enumerate(sizes)]).first()
-    return min((s for j, s in enumerate(sizes) if occupied["n"] >= (want + 1) / 2 * occupied[f"o{j}"]), default=extent)
+    return min((s for j, s in enumerate(sizes) if occupied["n"] >= max(2.0, (want + 1) / 2) * occupied[f"o{j}"]), default=extent)
 
 
 def knn(left: DataFrame, right: DataFrame, k: int, axes: str = "xyz", drop_self: bool = False) -> DataFrame:
