@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragspan.functions.geometry import in_polygon
+from cragspan.operators.ranks import least_hashes, quantiles
 
 
 def pass_through(cloud: DataFrame, axis: str, low: float, high: float) -> DataFrame:
@@ -49,14 +50,16 @@ def voxel_random(cloud: DataFrame, size: float, seed: int) -> DataFrame:
     return cloud.groupBy(*[cell(a, size).alias(f"v{a}") for a in "xyz"]).agg(F.min(key).alias("best")).select("vx", "vy", "vz", "best.pid")
 
 
-def stratified_closest(cloud: DataFrame, size: float, each: int = 1) -> DataFrame:
-    """The points of every XY cell nearest to its centre at the cell's mean height."""
+def stratified_closest(cloud: DataFrame, size: float, each: int = 1, places: int | None = None) -> DataFrame:
+    """The points of every XY cell nearest to its centre at the cell's mean height, the least pid among equals; with
+    ``places``, squared distances that agree to so many places count as equal."""
     keys = [cell("x", size).alias("vx"), cell("y", size).alias("vy")]
     mean = cloud.groupBy(*keys).agg(F.avg("z").alias("mz"))
     own = cloud.withColumns({"vx": cell("x", size), "vy": cell("y", size)}).join(mean, ["vx", "vy"])
     dx, dy, dz = F.col("x") - (F.col("vx") + 0.5) * size, F.col("y") - (F.col("vy") + 0.5) * size, F.col("z") - F.col("mz")
     order = Window.partitionBy("vx", "vy").orderBy("d2", "pid")
-    return own.withColumn("d2", F.round(dx * dx + dy * dy + dz * dz, 6)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("vx", "vy", "pid")
+    d2 = dx * dx + dy * dy + dz * dz
+    return own.withColumn("d2", d2 if places is None else F.round(d2, places)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("vx", "vy", "pid")
 
 
 def uniform_sample(cloud: DataFrame, step: int, offset: int = 0) -> DataFrame:
@@ -68,7 +71,7 @@ def random_sample(cloud: DataFrame, fraction: float, seed: int) -> DataFrame:
     n = cloud.count()
     if not n:
         return cloud
-    return cloud.orderBy(F.xxhash64("pid", F.lit(seed)), "pid").limit(max(1, round(n * fraction)))
+    return least_hashes(cloud, "pid", max(1, round(n * fraction)), seed)
 
 
 def ground_elevation(cloud: DataFrame, size_x: float, size_y: float) -> DataFrame:
@@ -98,7 +101,8 @@ def attribute_statistics(table: DataFrame, column: str) -> DataFrame:
 
 def elevation_statistics(cloud: DataFrame) -> DataFrame:
     z = F.when(~F.isnan("z"), F.col("z"))
-    return cloud.agg(F.min(z).alias("min"), F.max(z).alias("max"), F.avg(z).alias("mean"), F.stddev_pop(z).alias("std"), F.percentile(z, F.lit(0.5)).alias("median"), (F.max(z) - F.min(z)).alias("range"), F.count(z).alias("count"))
+    (median,) = quantiles(cloud, "z", [0.5])
+    return cloud.agg(F.min(z).alias("min"), F.max(z).alias("max"), F.avg(z).alias("mean"), F.stddev_pop(z).alias("std"), F.lit(median).cast("double").alias("median"), (F.max(z) - F.min(z)).alias("range"), F.count(z).alias("count"))
 
 
 def histogram(table: DataFrame, column: str, bins: int) -> DataFrame:
@@ -116,14 +120,19 @@ def moments(table: DataFrame, column: str) -> DataFrame:
 
 
 def percentiles(table: DataFrame, column: str, at: list[float]) -> DataFrame:
-    found = table.agg(F.percentile(column, F.array(*[F.lit(p / 100) for p in at])).alias("v"))
-    return found.select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*[F.lit(float(p)) for p in at]), F.col("i") + 1).alias("percentile"), "value")
+    """Exact percentiles with linear interpolation: ``(percentile, value)``."""
+    found = quantiles(table, column, [p / 100 for p in at])
+    return table.sparkSession.createDataFrame(list(zip(map(float, at), found, strict=True)), "percentile double, value double")
 
 
 def whiskers(table: DataFrame, column: str) -> DataFrame:
-    q = table.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("lo", "hi", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
-    return q.select("q1", "q2", "q3", "iqr", F.greatest("lo", F.col("q1") - 1.5 * F.col("iqr")).alias("low"), F.least("hi", F.col("q3") + 1.5 * F.col("iqr")).alias("high"))
+    """Quartiles, their range, and the whiskers that reach 1.5 of it beyond them, but not past the least and greatest value."""
+    low, q1, q2, q3, high = quantiles(table, column, [0.0, 0.25, 0.5, 0.75, 1.0])
+    if q1 is None:
+        row = (None,) * 6
+    else:
+        row = (q1, q2, q3, q3 - q1, max(low, q1 - 1.5 * (q3 - q1)), min(high, q3 + 1.5 * (q3 - q1)))
+    return table.sparkSession.createDataFrame([row], "q1 double, q2 double, q3 double, iqr double, low double, high double")
 
 
 def density_map(cloud: DataFrame, resolution: float) -> DataFrame:
@@ -139,9 +148,3 @@ CLASS_CODES = {"ground": [2], "vegetation": [3, 4, 5], "building": [6], "water":
 
 def class_predicates(cloud: DataFrame, column: str = "classification") -> DataFrame:
     return cloud.withColumns({f"is_{name}": F.col(column).isin(codes) for name, codes in CLASS_CODES.items()})
-
-
-def classify_by_rules(features: DataFrame) -> DataFrame:
-    """Codes by the first rule that holds: noise 18, ground 2, building 6, vegetation by height 3, 4, 5, else 1."""
-    h, flat = F.col("height"), F.col("planarity")
-    return features.withColumn("label", F.when(F.col("noise"), 18).when(h <= 0.2, 2).when((flat >= 0.5) & (F.col("sphericity") <= 0.3) & (h <= 50), 6).when(h <= 0.5, 3).when(h < 2, 4).when(h >= 2, 5).otherwise(1))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragspan.operators.components import components
+from cragspan.operators.ranks import quantiles
 from cragspan.plans.storage import materialise
 
 
@@ -112,9 +113,12 @@ def cloud_to_cloud(reference: DataFrame, compared: DataFrame) -> DataFrame:
 
 
 def hausdorff(a: DataFrame, b: DataFrame, percentile: float = 100.0) -> DataFrame:
-    one = nearest(a, b).agg(F.percentile("distance", F.lit(percentile / 100)).alias("forward"))
-    two = nearest(b, a).agg(F.percentile("distance", F.lit(percentile / 100)).alias("backward"))
-    return one.join(two).select("forward", "backward", F.greatest("forward", "backward").alias("hausdorff"))
+    """The percentile (by default the greatest) of the distances to the other cloud, both ways, and the greater of the two."""
+    ways = []
+    for near in (nearest(a, b), nearest(b, a)):
+        ways.append(near.agg(F.max("distance")).first()[0] if percentile >= 100 else quantiles(materialise(near, "ways"), "distance", [percentile / 100])[0])
+    worst = None if None in ways else max(ways)
+    return a.sparkSession.createDataFrame([(*ways, worst)], "forward double, backward double, hausdorff double")
 
 
 def chamfer(a: DataFrame, b: DataFrame) -> DataFrame:

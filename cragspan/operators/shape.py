@@ -12,12 +12,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cragspan.operators.neighbours import knn
+from cragspan.plans.storage import materialise
 
 _PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
 #: Eigenvalue shares below this count as this in the entropy.
 LEAST_SHARE = 2.0**-52
 
 
+def weights(near: DataFrame, sigma: float | None = None) -> DataFrame:
+    """Neighbours ``(pid, nid, d2)`` with weight ``w`` = exp(-d2 / sigma^2), 1 for the nearest; without ``sigma`` the mean distance of all."""
+    spread = near.agg(F.avg(F.sqrt("d2")).alias("_sigma")) if sigma is None else near.sparkSession.createDataFrame([(float(sigma),)], "_sigma double")
+    w = F.when((F.col("d2") == 0) | (F.col("_sigma") == 0), 1.0).otherwise(F.exp(-F.col("d2") / (F.col("_sigma") * F.col("_sigma"))))
+    return near.join(F.broadcast(spread)).withColumn("w", w).drop("_sigma")
+
+
+def weighted_covariance(cloud: DataFrame, k: int, sigma: float | None = None) -> DataFrame:
+    """As ``covariance``, with neighbours weighted about their weighted mean; the sum is divided by k, not by the weights."""
+    near = weights(materialise(knn(cloud, cloud, k).select("pid", "nid", "d2"), "weighted"), sigma)
+    at = cloud.select("pid", *[F.col(a).alias(f"p{a}") for a in "xyz"])
+    other = cloud.select(F.col("pid").alias("nid"), "x", "y", "z")
+    off = near.join(at, "pid").join(other, "nid").select("pid", "w", *[(F.col(a) - F.col(f"p{a}")).alias(a) for a in "xyz"])
+    w = F.col("w")
+    sums = off.groupBy("pid").agg(F.sum(w).alias("w"), *[F.sum(w * F.col(a)).alias(f"m{a}") for a in "xyz"], *[F.sum(w * F.col(a) * F.col(b)).alias(f"m{a}{b}") for a, b in _PAIRS])
+    return sums.select("pid", *[((F.col(f"m{a}{b}") - F.col(f"m{a}") * F.col(f"m{b}") / w) / k).alias(f"c{a}{b}") for a, b in _PAIRS])
+
+
 def covariance(cloud: DataFrame, k: int) -> DataFrame:
     """``(pid, cxx, cxy, cxz, cyy, cyz, czz)`` of the k nearest points, the point itself included, divided by their number."""
     near = knn(cloud, cloud, k).select("pid", "nid")
@@ -46,13 +65,23 @@ def eigenvalues(moments: DataFrame) -> DataFrame:
     return step.withColumns({"l1": F.greatest(high, zero), "l2": F.greatest(3 * F.col("_q") - high - low, zero), "l3": F.greatest(low, zero)}).drop("_q", "_p", "_t")
 
 
-def normals(cloud: DataFrame, k: int, viewpoint: tuple[float, float, float] | None = None) -> DataFrame:
+def normals_at(cloud: DataFrame, pids: DataFrame, k: int) -> DataFrame:
+    """The normals of the points whose ids ``pids(pid)`` lists."""
+    return normals(cloud, k).join(pids.select("pid").distinct(), "pid", "left_semi")
+
+
+def weighted_normals(cloud: DataFrame, k: int, sigma: float | None = None, viewpoint: tuple[float, float, float] | None = None) -> DataFrame:
+    """As ``normals``, from neighbours weighted by their distance."""
+    return normals(cloud, k, viewpoint, weighted_covariance(cloud, k, sigma))
+
+
+def normals(cloud: DataFrame, k: int, viewpoint: tuple[float, float, float] | None = None, moments: DataFrame | None = None) -> DataFrame:
     """``(pid, nx, ny, nz, curvature)``: the axis of least spread, turned to the viewpoint or else upwards.
 
     Of the cross products of the rows of C - l3 I the longest is the axis; a neighbourhood without
     a single least axis (all points equal, or on a line) gets the vertical (0, 0, 1).
     """
-    m = eigenvalues(covariance(cloud, k))
+    m = eigenvalues(covariance(cloud, k) if moments is None else moments)
     rows = [[F.col("cxx") - F.col("l3"), F.col("cxy"), F.col("cxz")], [F.col("cxy"), F.col("cyy") - F.col("l3"), F.col("cyz")], [F.col("cxz"), F.col("cyz"), F.col("czz") - F.col("l3")]]
 
     def product(a: list[Column], b: list[Column]) -> Column:
@@ -95,3 +124,7 @@ def density_summary(cells: DataFrame) -> DataFrame:
 def segment_sizes(labels: DataFrame, label: str) -> DataFrame:
     """Points of each segment; negative labels are noise and left out."""
     return labels.where(F.col(label) >= 0).groupBy(label).agg(F.count("*").alias("points"))
+
+
+#: Normals by name.
+METHODS = {"pca": normals, "weighted_pca": weighted_normals}

@@ -100,7 +100,7 @@ _VOX = "CAST(floor(x / 24) AS BIGINT) AS vx, CAST(floor(y / 24) AS BIGINT) AS vy
 _add("voxel_centroid", lambda k, d: _rounded(c.voxel_centroid(event_cloud(k, d), 24.0)), f"SELECT {_VOX}, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM EV GROUP BY 1, 2, 3")
 _add("voxel_closest", lambda k, d: c.voxel_closest(event_cloud(k, d), 24.0).select("vx", "vy", "vz", "pid"), f"""SELECT vx, vy, vz, pid FROM (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY (x-(vx+0.5)*24)*(x-(vx+0.5)*24)+(y-(vy+0.5)*24)*(y-(vy+0.5)*24)+(z-(vz+0.5)*24)*(z-(vz+0.5)*24), pid) AS k FROM (SELECT pid, x, y, z, {_VOX} FROM EV )) WHERE k = 1""")
 _add("voxel_random", lambda k, d: c.voxel_random(event_cloud(k, d), 24.0, 7))
-_add("stratified_closest", lambda k, d: c.stratified_closest(event_cloud(k, d), 40.0, 2), """WITH q AS (SELECT pid, x, y, z, CAST(floor(x/40) AS BIGINT) AS vx, CAST(floor(y/40) AS BIGINT) AS vy FROM EV ), m AS (SELECT vx, vy, avg(z) AS mz FROM q GROUP BY 1, 2)
+_add("stratified_closest", lambda k, d: c.stratified_closest(event_cloud(k, d), 40.0, 2, places=6), """WITH q AS (SELECT pid, x, y, z, CAST(floor(x/40) AS BIGINT) AS vx, CAST(floor(y/40) AS BIGINT) AS vy FROM EV ), m AS (SELECT vx, vy, avg(z) AS mz FROM q GROUP BY 1, 2)
 SELECT vx, vy, pid FROM (SELECT vx, vy, pid, row_number() OVER (PARTITION BY vx, vy ORDER BY round((x-(vx+0.5)*40)*(x-(vx+0.5)*40)+(y-(vy+0.5)*40)*(y-(vy+0.5)*40)+(z-mz)*(z-mz), 6), pid) AS k FROM q JOIN m USING (vx, vy)) WHERE k <= 2""")
 _add("uniform_sample", lambda k, d: c.uniform_sample(event_cloud(k, d), 7, 2).select("pid"), "SELECT pid FROM EV WHERE pid % 7 = 2")
 _add("random_sample", lambda k, d: c.random_sample(event_cloud(k, d), 0.1, 5).select("pid"))
