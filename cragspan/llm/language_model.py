@@ -36,6 +36,8 @@ ORDER = 3
 FLUSH_TOKENS = 4_000_000
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B0), np.uint64(0xE0E0E0E0E0E0E0E1)
 _TOP = np.uint64(0xFFFFFFFF00000000)
+#: Kinds of blocks: 0 words, 1 ends and 2 starts of bigrams, 3 counts of counts, and runs of n tokens at RUNS + n.
+RUNS = 100
 _OPEN: dict[str, list[np.ndarray] | None] = {}
 
 
@@ -47,22 +49,21 @@ def _planes(x: np.ndarray) -> bytes:
 def _pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
     """A compressed block.  Columns of 32 bits are words: each is given by its place in the block's list of words, the most frequent first."""
     parts = [len(keys).to_bytes(8, "little"), _planes(np.diff(keys, prepend=np.uint64(0)))]
-    for x in columns:
-        if x.dtype == np.uint32:
-            words, at, number = np.unique(x, return_inverse=True, return_counts=True)
-            by = np.argsort(-number, kind="stable")
-            rank = np.empty(len(by), np.uint32)
-            rank[by] = np.arange(len(by), dtype=np.uint32)
-            parts += [len(words).to_bytes(8, "little"), words[by].tobytes(), _planes(rank[at])]
-        else:
-            parts.append(_planes(x))
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    if any(x.dtype == np.uint32 for x in columns):
+        words, at, number = np.unique(np.concatenate([x for x in columns if x.dtype == np.uint32]), return_inverse=True, return_counts=True)
+        by = np.argsort(-number, kind="stable")
+        rank = np.empty(len(by), np.uint32)
+        rank[by] = np.arange(len(by), dtype=np.uint32)
+        places = iter(rank[at].reshape(-1, len(keys)))
+        parts += [len(words).to_bytes(8, "little"), words[by].tobytes()]
+        columns = tuple(next(places) if x.dtype == np.uint32 else x for x in columns)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*parts, *map(_planes, columns)]))
 
 
 def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
     """The keys and columns of a block."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, begin, out = int.from_bytes(raw[:8], "little"), 8, []
+    n, begin = int.from_bytes(raw[:8], "little"), 8
 
     def planes(kind: type) -> np.ndarray:
         nonlocal begin
@@ -70,14 +71,25 @@ def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
         begin += size * n
         return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, begin - size * n).reshape(size, n).T).view(kind).ravel()
 
-    for kind in (np.uint64, *kinds):
-        if kind == np.uint32:
-            words = np.frombuffer(raw, np.uint32, int.from_bytes(raw[begin : begin + 8], "little"), begin + 8)
-            begin += 8 + words.nbytes
-            out.append(words[planes(np.uint32)])
-        else:
-            out.append(planes(kind))
-    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+    keys = np.cumsum(planes(np.uint64), dtype=np.uint64)
+    words = np.zeros(0, np.uint32)
+    if np.uint32 in kinds:
+        words = np.frombuffer(raw, np.uint32, int.from_bytes(raw[begin : begin + 8], "little"), begin + 8)
+        begin += 8 + words.nbytes
+    return [keys, *[words[planes(k)] if k == np.uint32 else planes(k) for k in kinds]]
+
+
+def _pack_pairs(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """A block of bigrams' keys, by their words: the first ones ascend, the second ones are of the block's list."""
+    pairs = _unmix(keys)
+    by = np.argsort(pairs, kind="stable")
+    pairs = pairs[by]
+    return _pack(pairs >> np.uint64(32), pairs.astype(np.uint32), *[c[by] for c in columns])
+
+
+def _unpack_pairs(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
+    first, second, *columns = _unpack(blob, [np.uint32, *kinds])
+    return [mix((first << np.uint64(32)) | second), *columns]
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +112,12 @@ def _merge(parts: list[list[np.ndarray]], columns: int) -> list[np.ndarray]:
 
 
 def _spread(kind: int, bits: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Blocks ``(kind, bucket, block)`` of sorted keys."""
+    """Blocks ``(kind, bucket, block)`` of sorted keys; those of bigrams, and of runs of three, whose contexts are bigrams, by their words."""
+    pack = _pack_pairs if kind in (RUNS + 2, RUNS + 3) else _pack
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        yield kind, int(bucket[a]), _pack(keys[a:z], *[c[a:z].astype(np.uint64) if c.dtype == np.int64 else c[a:z] for c in columns])
+        yield kind, int(bucket[a]), pack(keys[a:z], *[c[a:z].astype(np.uint64) if c.dtype == np.int64 else c[a:z] for c in columns])
 
 
 def _store(folder: str, name: str, bits: int, keys: np.ndarray, *columns: np.ndarray) -> None:
@@ -251,10 +264,6 @@ def _unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Kinds of blocks: 0 words, 1 ends and 2 starts of bigrams, 3 counts of counts, and runs of n tokens at RUNS + n.
-RUNS = 100
-
-
 def _counted(contexts: list[np.ndarray], last: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
     """The distinct runs, sorted by context and last token, and the sums of their numbers."""
     order, first = _distinct(contexts[0], last)
@@ -316,7 +325,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> dict:
         elif n < 2:
             return pdf[["kind", "bucket", "block"]]
         elif n > 2:
-            parts = [_unpack(x, [np.uint64] * (n - 3) + [np.uint32, np.uint64]) for x in pdf["block"]]
+            parts = [(_unpack_pairs if n == 3 else _unpack)(x, [np.uint64] * (n - 3) + [np.uint32, np.uint64]) for x in pdf["block"]]
             *contexts, last, number = _counted([np.concatenate(x) for x in zip(*[p[:-2] for p in parts], strict=True)], *[np.concatenate([p[k] for p in parts]) for k in (-2, -1)])
             del parts
             keys = _dealt(contexts[0], _longer(contexts[0], last.astype(np.uint64) << np.uint64(32)), bits)
@@ -333,7 +342,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> dict:
             else:
                 rows += _spread(RUNS + n - 1, bits, *_counted(contexts[1:], last, np.ones(len(last), np.int64)))
         else:
-            keys, number = _merge([_unpack(x, [np.uint64]) for x in pdf["block"]], 1)
+            keys, number = _merge([_unpack_pairs(x, [np.uint64]) for x in pdf["block"]], 1)
             _store(folder, f"runs2-{bucket}", bits, keys, number)
             pair = _unmix(keys)
             rows = [tally(2, number), *_spread(1, word_bits, *np.unique(pair << np.uint64(32), return_counts=True))]
