@@ -34,7 +34,7 @@ def weighted_covariance(cloud: DataFrame, k: int, sigma: float | None = None) ->
     off = near.join(at, "pid").join(other, "nid").select("pid", "w", *[(F.col(a) - F.col(f"p{a}")).alias(a) for a in "xyz"])
     w = F.col("w")
     sums = off.groupBy("pid").agg(F.sum(w).alias("w"), *[F.sum(w * F.col(a)).alias(f"m{a}") for a in "xyz"], *[F.sum(w * F.col(a) * F.col(b)).alias(f"m{a}{b}") for a, b in _PAIRS])
-    return sums.select("pid", *[((F.col(f"m{a}{b}") - F.col(f"m{a}") * F.col(f"m{b}") / w) / k).alias(f"c{a}{b}") for a, b in _PAIRS])
+    return materialise(sums.select("pid", *[((F.col(f"m{a}{b}") - F.col(f"m{a}") * F.col(f"m{b}") / w) / k).alias(f"c{a}{b}") for a, b in _PAIRS]), "moments")
 
 
 def covariance(cloud: DataFrame, k: int) -> DataFrame:
@@ -45,7 +45,8 @@ def covariance(cloud: DataFrame, k: int) -> DataFrame:
     # measured from the point, so that far coordinates lose no digits
     off = near.join(at, "pid").join(other, "nid").select("pid", *[(F.col(a) - F.col(f"p{a}")).alias(a) for a in "xyz"])
     sums = off.groupBy("pid").agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"], *[F.avg(F.col(a) * F.col(b)).alias(f"m{a}{b}") for a, b in _PAIRS])
-    return sums.select("pid", *[(F.col(f"m{a}{b}") - F.col(f"m{a}") * F.col(f"m{b}")).alias(f"c{a}{b}") for a, b in _PAIRS])
+    # written, as an aggregation with all that follows from it would outgrow the compiler
+    return materialise(sums.select("pid", *[(F.col(f"m{a}{b}") - F.col(f"m{a}") * F.col(f"m{b}")).alias(f"c{a}{b}") for a, b in _PAIRS]), "moments")
 
 
 def eigenvalues(moments: DataFrame) -> DataFrame:
