@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: WGS 84 semi-major axis and flattening; the scale, false easting and false northing of UTM.
 AXIS, FLATTENING = 6_378_137.0, 1 / 298.257223563
@@ -92,3 +92,137 @@ def local_plane(x: Column, y: Column, origin: tuple[float, float], turn: float,
     c, s = math.cos(math.radians(turn)) * scale, math.sin(math.radians(turn)) * scale
     dx, dy = x - origin[0], y - origin[1]
     return false[0] + c * dx - s * dy, false[1] + s * dx + c * dy
+
+
+#: Coefficients of the inverse series: to the conformal sphere, and from the conformal to the geodetic latitude.
+BACK = (_N1 / 2 - 2 * _N2 / 3 + 37 * _N3 / 96 - _N4 / 360, _N2 / 48 + _N3 / 15 - 437 * _N4 / 1440, 17 * _N3 / 480 - 37 * _N4 / 840, 4397 * _N4 / 161280)
+LATITUDE = (2 * _N1 - 2 * _N2 / 3 - 2 * _N3 + 116 * _N4 / 45, 7 * _N2 / 3 - 8 * _N3 / 5 - 227 * _N4 / 45, 56 * _N3 / 15 - 136 * _N4 / 35, 4279 * _N4 / 630)
+#: Codes of geographic WGS 84 and of the web's Mercator plane; those of UTM are 32600 or 32700 and the zone.
+GEOGRAPHIC, WEB_MERCATOR = 4326, 3857
+
+
+def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of a place in a zone."""
+    xi = (north - F.when(south, UTM_NORTH).otherwise(0.0)) / (UTM_SCALE * RADIUS)
+    eta = (east - UTM_EAST) / (UTM_SCALE * RADIUS)
+    up, away = xi, eta
+    for k, b in enumerate(BACK, 1):
+        up = up - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        away = away - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    conformal = F.asin(F.sin(up) / F.cosh(away))
+    lat = conformal
+    for k, d in enumerate(LATITUDE, 1):
+        lat = lat + d * F.sin(2 * k * conformal)
+    return F.degrees(lat), zone * 6 - 183 + F.degrees(F.atan2(F.sinh(away), F.cos(up)))
+
+
+def from_geocentric(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Latitude, longitude and height, by Bowring's formula: under a tenth of a millimetre off near the earth's surface."""
+    b = AXIS * (1 - FLATTENING)
+    p = F.hypot(x, y)
+    theta = F.atan2(z * AXIS, p * b)
+    lat = F.atan2(z + (AXIS * AXIS - b * b) / b * F.pow(F.sin(theta), 3), p - _E2 * AXIS * F.pow(F.cos(theta), 3))
+    n = AXIS / F.sqrt(1 - _E2 * F.sin(lat) * F.sin(lat))
+    height = F.when(F.abs(F.cos(lat)) > 1e-3, p / F.cos(lat) - n).otherwise(F.abs(z) / F.abs(F.sin(lat)) - n * (1 - _E2))
+    return F.degrees(lat), F.degrees(F.atan2(y, x)), height
+
+
+def transformed(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+    """x and y from one system to another; geographic coordinates are longitude and latitude in this order.
+
+    Systems are WGS 84 geographic (4326), UTM (326zz and 327zz) and web Mercator (3857); any other code raises.
+    """
+
+    def zone_of(code: int) -> tuple[int, bool] | None:
+        known = 32601 <= code <= 32660 or 32701 <= code <= 32760
+        return (code % 100, code > 32700) if known else None
+
+    for code in (source, target):
+        if code not in (GEOGRAPHIC, WEB_MERCATOR) and zone_of(code) is None:
+            raise ValueError(f"no transformation for code {code}")
+    if source == target:
+        return x, y
+    if source == WEB_MERCATOR:
+        lon, lat = F.degrees(x / AXIS), F.degrees(2 * F.atan(F.exp(y / AXIS)) - math.pi / 2)
+    elif zone := zone_of(source):
+        lat, lon = from_utm(x, y, F.lit(zone[0]), F.lit(zone[1]))
+    else:
+        lon, lat = x, y
+    if target == WEB_MERCATOR:
+        return AXIS * F.radians(lon), AXIS * F.log(F.tan(math.pi / 4 + F.radians(lat) / 2))
+    if zone := zone_of(target):
+        east, north = utm(lat, lon, F.lit(zone[0]))
+        side = F.when(lat < 0, UTM_NORTH).otherwise(0.0)
+        return east, north - side + (UTM_NORTH if zone[1] else 0.0)
+    return lon, lat
+
+
+def transform_points(points, source: int, target: int):
+    """A cloud or a survey in another system; all other columns stay."""
+    x, y = transformed(F.col("x"), F.col("y"), source, target)
+    return points.withColumns({"x": x, "y": y})
+
+
+def transform_features(features, source: int, target: int):
+    """Features whose vertices are in another system."""
+
+    def moved(v: Column) -> Column:
+        x, y = transformed(v["x"], v["y"], source, target)
+        return v.withField("x", x).withField("y", y)
+
+    return features.withColumn("vertices", F.transform("vertices", moved))
+
+
+def transform_box(box: Column, source: int, target: int) -> Column:
+    """A flat box in another system, by its two corners only."""
+    low, high = transformed(box["min_x"], box["min_y"], source, target), transformed(box["max_x"], box["max_y"], source, target)
+    return F.struct(*[f(low[k], high[k]).alias(f"{e}_{a}") for k, a in enumerate("xy") for e, f in (("min", F.least), ("max", F.greatest))])
+
+
+def checked_position(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Latitude and longitude; null, not finite, or beyond 90 and 180 degrees raises."""
+
+    def fit(v: Column, most: float, name: str) -> Column:
+        sound = F.coalesce(F.abs(v) <= most, F.lit(False)) & ~F.isnan(v)
+        return F.when(sound, v).otherwise(F.raise_error(F.concat(F.lit(f"not a {name}: "), F.coalesce(v.cast("string"), F.lit("null")))).cast("double"))
+
+    return fit(lat, 90.0, "latitude"), fit(lon, 180.0, "longitude")
+
+
+def helmert_at(x: Column, y: Column, z: Column, shift: tuple[float, float, float], turn: tuple[float, float, float], scale: float, rates: tuple[float, ...], epoch: float, when: Column) -> tuple[Column, Column, Column]:
+    """The fourteen-parameter form: ``rates`` of shift, turn and scale a year since ``epoch``."""
+    years = when - epoch
+    s = [F.lit(v) + r * years for v, r in zip(shift, rates[:3], strict=True)]
+    rx, ry, rz = ((F.lit(math.radians(v / 3600)) + math.radians(r / 3600) * years) for v, r in zip(turn, rates[3:6], strict=True))
+    m = 1 + (F.lit(scale) + rates[6] * years) * 1e-6
+    return s[0] + m * (x - rz * y + ry * z), s[1] + m * (rz * x + y - rx * z), s[2] + m * (-ry * x + rx * y + z)
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("lat", "lon", "azimuth")]))
+def geodesic_end(lat: pd.Series, lon: pd.Series, azimuth: pd.Series, length: pd.Series) -> pd.DataFrame:
+    """Where a shortest line of the given azimuth (degrees from north) and length ends, and its azimuth there."""
+    b, f = AXIS * (1 - FLATTENING), FLATTENING
+    a1, s = np.radians(azimuth.to_numpy(float)), length.to_numpy(float)
+    u = np.arctan((1 - f) * np.tan(np.radians(lat.to_numpy(float))))
+    start = np.arctan2(np.tan(u), np.cos(a1))
+    alpha = np.cos(u) * np.sin(a1)
+    square = 1 - alpha * alpha
+    w = square * (AXIS * AXIS - b * b) / (b * b)
+    big = 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w)))
+    small = w / 1024 * (256 + w * (-128 + w * (74 - 47 * w)))
+    sigma = s / (b * big)
+    for _ in range(30):
+        m = np.cos(2 * start + sigma)
+        bend = small * np.sin(sigma) * (m + small / 4 * (np.cos(sigma) * (2 * m * m - 1) - small / 6 * m * (4 * np.sin(sigma) ** 2 - 3) * (4 * m * m - 3)))
+        last, sigma = sigma, s / (b * big) + bend
+        if not (np.abs(sigma - last) > 1e-13).any():
+            break
+    m = np.cos(2 * start + sigma)
+    across = np.cos(u) * np.cos(sigma) - np.sin(u) * np.sin(sigma) * np.cos(a1)
+    end = np.arctan2(np.sin(u) * np.cos(sigma) + np.cos(u) * np.sin(sigma) * np.cos(a1), (1 - f) * np.hypot(alpha, np.sin(u) * np.sin(sigma) - np.cos(u) * np.cos(sigma) * np.cos(a1)))
+    wide = np.arctan2(np.sin(sigma) * np.sin(a1), across)
+    c = f / 16 * square * (4 + f * (4 - 3 * square))
+    turn = wide - (1 - c) * f * alpha * (sigma + c * np.sin(sigma) * (m + c * np.cos(sigma) * (2 * m * m - 1)))
+    east = lon.to_numpy(float) + np.degrees(turn)
+    out = np.degrees(np.arctan2(alpha, -np.sin(u) * np.sin(sigma) + np.cos(u) * np.cos(sigma) * np.cos(a1)))
+    return pd.DataFrame({"lat": np.degrees(end), "lon": (east + 180) % 360 - 180, "azimuth": out % 360})
