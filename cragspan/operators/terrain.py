@@ -113,7 +113,7 @@ def contour_segments(faces: DataFrame, base: float, interval: float) -> DataFram
         t = F.try_divide(F.col("level") - a["z"], b["z"] - a["z"])
         ends.append(F.when((a["z"] < F.col("level")) != (b["z"] < F.col("level")), F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))))
     cut = leveled.withColumn("_ends", F.array_sort(F.array_compact(F.array(*ends)))).where(F.size("_ends") == 2)
-    return cut.select("level", "tid", *[F.col("_ends")[k][c].alias(f"{c}{k}") for k in (0, 1) for c in ("x", "y")])
+    return cut.select("level", "tid", *[F.get("_ends", F.lit(k))[c].alias(f"{c}{k}") for k in (0, 1) for c in ("x", "y")])
 
 
 def locate(points: DataFrame, faces: DataFrame, size: float) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cragspan.sources.lines import numbered_lines
+
 CHUNK = 1_000_000  # records a task reads at once
 
 #: Fields of the point records of the LAS formats read here, and the scalar types of PLY.
@@ -125,8 +127,8 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join([f"{a} double" for a in "xyz"] + [f"{n} double" for n in more])
     if layout == "ascii":
         names = [n for n, _ in properties]
-        rows = spark.read.text(path).rdd.zipWithIndex().toDF("line struct<value string>, at long")  # lines must be counted
-        body = rows.where((F.col("at") >= lines) & (F.col("at") < lines + count)).select((F.col("at") - lines).alias("pid"), F.split(F.trim("line.value"), r"\s+").alias("w"))
+        rows = numbered_lines(spark, path)
+        body = rows.where((F.col("line") >= lines) & (F.col("line") < lines + count)).select((F.col("line") - lines).alias("pid"), F.split(F.trim("value"), r"\s+").alias("w"))
         whole = F.when(F.size("w") == len(names), F.col("w")).otherwise(F.raise_error(F.lit(f"{path}: a vertex has too few or too many values")))
         return body.withColumn("w", whole).select("pid", *[F.col("w")[names.index(n)].cast("double").alias(n) for n in ("x", "y", "z", *more)])
     order = "<" if layout == "binary_little_endian" else ">"

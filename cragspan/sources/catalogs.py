@@ -32,7 +32,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
             raw = raw.withColumn(name, F.lit(None).cast("string"))
     said = F.lower(F.trim("closed"))
     closed = F.when(F.coalesce(said, F.lit("")).isin("", *FALSE), False).when(said.isin(*TRUE), True)
-    aliases = F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), ";"), F.trim), lambda a: a != "")
+    aliases = F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), ";"), lambda v: F.trim(v)), lambda a: a != "")
     return checked(raw.select(*[_text(c).alias(c) for c in REQUIRED], closed.alias("closed"), aliases.alias("aliases")))
 
 
