@@ -1,4 +1,4 @@
-"""Shared folders, written tables, exact ranks and components for the corpus operators.
+"""Shared folders, written tables and exact ranks for the corpus operators, and the library's components.
 
 Everything here is plain DataFrame work.  Intermediate tables go to the folder that the
 cluster names in ``spark.checkpoint.dir``; they are whole Parquet tables, so a lost executor
@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cragspan.operators.components import components
+
+__all__ = ["components", "new_path", "random_key", "saved", "shared_folder", "shuffled_rank"]
+
 #: Rows (of narrow keys) that one slice of a two-level rank should hold, and how many slices a group may have.
 SLICE_ROWS = 2_000
 MOST_SLICES = 20_000
@@ -73,38 +77,3 @@ def shuffled_rank(df: DataFrame, groups: list[str], order: list[str], total: int
         same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
     placed = cut.withColumn("_inside", place)
     return placed.join(before, same).withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_slice", "_s", "_before", "_inside", *[f"_g{i}" for i in range(len(groups))])
-
-
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 64) -> DataFrame:
-    """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node on an edge.
-
-    The root is the component's least node; nodes may be of any type that has an order.  Each round
-    gives a node the neighbour that was drawn lowest (or itself) and merges it there: edges are
-    renamed, and loops and repeated edges go, so that the tables shrink from round to round.  The
-    rounds' renamings, written as they arise, are then followed from the last back to the first.
-    """
-
-    def distinct(a: Column, b: Column, of: DataFrame) -> DataFrame:
-        return of.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-
-    def drawn(node: str) -> Column:
-        return F.struct(F.xxhash64(node).alias("draw"), F.col(node).alias("to"))
-
-    left = saved(distinct(F.col("a"), F.col("b"), edges), f"{name}-edges")
-    merges: list[DataFrame] = []
-    while not left.isEmpty():
-        if len(merges) == most_rounds:
-            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy(F.col("a").alias("node")).agg(F.min(drawn("b")).alias("near"))
-        merge = saved(near.select("node", F.least("near", drawn("node")).getField("to").alias("to")), f"{name}-merge")
-        merges.append(merge)
-        one, two = merge.select(F.col("node").alias("a"), F.col("to").alias("p")), merge.select(F.col("node").alias("b"), F.col("to").alias("q"))
-        left = saved(distinct(F.col("p"), F.col("q"), left.join(one, "a").join(two, "b")), f"{name}-edges")
-    if not merges:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    ends = merges.pop()
-    for merge in reversed(merges):
-        ends = merge.join(ends.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to"))
-    ends = saved(ends, f"{name}-ends")
-    return ends.join(ends.groupBy("to").agg(F.min("node").alias("root")), "to").select("node", "root")
