@@ -6,10 +6,15 @@ A mesh is ``vertices(vid, x, y, z)`` and ``triangles(tid, v0, v1, v2)``; a raste
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragspan.functions import geometry as g
+from cragspan.plans.storage import materialise
 
 
 def corners(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
@@ -129,15 +134,39 @@ def locate(points: DataFrame, faces: DataFrame, size: float) -> DataFrame:
 
 
 def idw(points: DataFrame, vertices: DataFrame, power: float = 2.0) -> DataFrame:
-    """Inverse-distance weights over all vertices; a point on a vertex has its z.  ``vertices`` must be a small mesh: it is broadcast after a check of its size."""
-    if vertices.limit(200_001).count() > 200_000:
-        raise ValueError("inverse distance over all vertices is for meshes of 200,000 vertices at most; interpolate on the mesh instead")
-    d2 = (F.col("x") - F.col("vx")) * (F.col("x") - F.col("vx")) + (F.col("y") - F.col("vy")) * (F.col("y") - F.col("vy"))
-    side = F.broadcast(vertices.select("vid", F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz")))
-    weight = F.when(F.col("d2") > 1e-24, F.pow(F.sqrt("d2"), -power))
-    all_ = points.select("pid", "x", "y").join(side).withColumn("d2", d2).withColumn("w", weight)
-    sums = all_.groupBy("pid").agg(F.min_by("vz", F.when(F.col("d2") <= 1e-24, F.col("vid"))).alias("exact"), (F.sum(F.col("w") * F.col("vz")) / F.sum("w")).alias("mean"))
-    return sums.select("pid", F.coalesce("exact", "mean").alias("z"))
+    """Inverse-distance weights over all vertices; a point on a vertex has its z.
+
+    The vertices are written to the shared folder and every batch of points reads them once, block by block, so neither side has
+    to fit anywhere; the work is still every point times every vertex.
+    """
+    files = materialise(vertices.select("vid", *[F.col(a).cast("double").alias(a) for a in "xyz"]), "idw").inputFiles()
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs, parquet
+
+        for b in batches:
+            for first in range(0, len(b), 1024):
+                at = b.iloc[first : first + 1024]
+                px, py = at["x"].to_numpy(float)[:, None], at["y"].to_numpy(float)[:, None]
+                total, sums = np.zeros(len(at)), np.zeros(len(at))
+                exact, owner = np.full(len(at), np.nan), np.full(len(at), np.inf)
+                for path in files:
+                    system, inner = fs.FileSystem.from_uri(path)
+                    for block in parquet.ParquetFile(system.open_input_file(inner)).iter_batches(4096):
+                        vid, x, y, z = (block.column(c).to_numpy() for c in ("vid", "x", "y", "z"))
+                        d2 = (px - x) ** 2 + (py - y) ** 2
+                        on = d2 <= 1e-24
+                        w = np.where(on, 0.0, np.where(on, 1.0, d2) ** (-power / 2))
+                        total += w.sum(1)
+                        sums += w @ z
+                        row, col = np.nonzero(on)
+                        for r, c in zip(row, col, strict=True):
+                            if vid[c] < owner[r]:
+                                owner[r], exact[r] = vid[c], z[c]
+                with np.errstate(invalid="ignore"):
+                    yield pd.DataFrame({"pid": at["pid"], "z": np.where(np.isnan(exact), sums / total, exact)})
+
+    return points.select("pid", "x", "y").mapInPandas(weigh, f"pid {dict(points.dtypes)['pid']}, z double")
 
 
 def raster_summary(raster: DataFrame) -> DataFrame:
