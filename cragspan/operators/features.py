@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,38 @@ def embankments(faces: DataFrame, triangles: DataFrame, least_slope: float = 35.
     roots = spread_components(pairs, steep.select(F.col("tid").alias("pid")))
     parts = steep.join(roots.withColumnRenamed("pid", "tid"), "tid").groupBy(F.col("root").alias("first"))
     return parts.agg(F.count("*").alias("triangles"), F.sum("area").alias("area"), F.avg("slope").alias("slope")).where(F.col("triangles") >= least)
+
+
+def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of ``pdf(x, y)`` that are corners of their convex hull, counter-clockwise from the least; all of them if there are under three places."""
+    rows = pdf.sort_values(["x", "y"]).drop_duplicates(["x", "y"])
+    at = list(zip(rows["x"].tolist(), rows["y"].tolist(), range(len(rows)), strict=True))
+
+    def half(points: list) -> list:
+        out: list = []
+        for p in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    if len(at) < 3:
+        return rows
+    return rows.iloc[[p[2] for p in half(at)[:-1] + half(at[::-1])[:-1]]]
+
+
+def footprints(points: DataFrame, segment: str = "segment", slices: int = 64) -> DataFrame:
+    """``(segment, corners, area)``: the convex hull in plan of each segment of ``points(segment, pid, x, y)``, counter-clockwise.
+
+    The hull of a slice of the points is found first, then that of the slices' corners, so that no task holds a large segment.
+    """
+    keyed = points.where(F.col(segment) >= 0).select(F.col(segment).alias("segment"), "x", "y", F.pmod(F.xxhash64("pid"), F.lit(slices)).cast("int").alias("slice"))
+    first = keyed.groupBy("segment", "slice").applyInPandas(_hull, "segment long, x double, y double, slice int")
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = _hull(pdf)
+        x, y = h["x"].to_numpy(), h["y"].to_numpy()
+        area = abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2
+        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "corners": [[{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)]], "area": [area]})
+
+    return first.groupBy("segment").applyInPandas(whole, "segment long, corners array<struct<x: double, y: double>>, area double")

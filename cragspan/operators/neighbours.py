@@ -57,11 +57,11 @@ def local_density(cloud: DataFrame, radius: float) -> DataFrame:
     return radius_count(cloud, radius).select("pid", (F.col("neighbours") / F.lit(4.0 / 3.0 * 3.141592653589793 * radius**3)).alias("density"))
 
 
-def _first_size(points: DataFrame, axes: str, extent: float, want: int) -> float:
+def _first_size(points: DataFrame, axes: str, extent: float, want: int, n: int) -> float:
     """The least of the extent's halves at which occupied cells hold (want + 1) / 2 points in the mean, and two at least, on surfaces as in space."""
-    sizes = [extent * 2.0**-j for j in range(25)]
-    occupied = points.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.xxhash64(*_cells(s, axes)), 0.02).alias(f"o{j}") for j, s in enumerate(sizes)]).first()
-    return min((s for j, s in enumerate(sizes) if occupied["n"] >= max(2.0, (want + 1) / 2) * occupied[f"o{j}"]), default=extent)
+    levels = F.explode(F.array(*[F.lit(extent * 2.0**-j) for j in range(min(24, n.bit_length()) + 1)]))
+    cells = points.select(*axes, levels.alias("size")).groupBy("size").agg(F.approx_count_distinct(F.xxhash64(*[F.floor(F.col(a) / F.col("size")) for a in axes]), 0.02).alias("cells"))
+    return min((r["size"] for r in cells.collect() if n >= max(2.0, (want + 1) / 2) * r["cells"]), default=extent)
 
 
 def knn(left: DataFrame, right: DataFrame, k: int, axes: str = "xyz", drop_self: bool = False) -> DataFrame:
@@ -75,7 +75,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, axes: str = "xyz", drop_self:
         return left.sparkSession.createDataFrame([], "pid long, rank int, nid long, d2 double")
     extent = max(max(spans[f"hi{a}"], ends[f"hi{a}"]) - min(spans[f"lo{a}"], ends[f"lo{a}"]) for a in axes) or 1.0
     want = min(k, spans["n"] - bool(drop_self))
-    size = _first_size(right, axes, extent, want)
+    size = _first_size(right, axes, extent, want, spans["n"])
     todo, found = left.select("pid", *axes), None
     while True:
         everything = size > extent

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragspan.operators import classify, ground, sampling, segments, shape
+from cragspan.operators import classify, features, ground, sampling, segments, shape
 from cragspan.operators.cloud import grid_ground
 from cragspan.plans import queries as q
 
@@ -82,3 +82,5 @@ def _learned(k: SparkSession, d: str, boosted: bool) -> DataFrame:
 
 QUERIES["random_forest"] = lambda k, d: _learned(k, d, False)
 QUERIES["gradient_boost"] = lambda k, d: _learned(k, d, True)
+_HULL = """ED AS (SELECT a.label, a.pid AS p, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, count(*) FILTER ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) < 0) AS beyond FROM EM9 a JOIN EM9 b ON a.label = b.label AND a.pid <> b.pid JOIN EM9 c ON c.label = a.label AND c.pid <> a.pid AND c.pid <> b.pid GROUP BY ALL)"""
+q._add("footprints", lambda k, d: q._rounded(features.footprints(_far(k, d), "label").select("segment", F.size("corners").cast("long").alias("corners"), "area"), 5), f"WITH {_EM9}, {_HULL} SELECT CAST(label AS BIGINT) AS segment, count(*) AS corners, round(sum(ax*by_-ay*bx)/2,5) AS area FROM ED WHERE beyond = 0 GROUP BY 1")
