@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cragspan.functions import geodesy
 from cragspan.functions import geometry as g
 from cragspan.operators import cloud, neighbours, shape, survey
-from cragspan.plans import surfaces as queries
+from cragspan.plans import every as queries
 from cragspan.sources import text
 from cragspan.streaming.grids import windowed_density
 
