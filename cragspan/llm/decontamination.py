@@ -23,6 +23,8 @@ WHOLE = "\x00"
 GRAM = 3
 #: Rows of distinct benchmark shingles (about 100 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
+#: Bytes of text in a table up to which it is broadcast.
+BROADCAST_BYTES = 64_000_000
 
 
 def words(text: Column) -> Column:
@@ -52,16 +54,22 @@ def _placed(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return each.select("doc", "th", "n", "pos", F.explode(grams).alias("gram"))
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts of one id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_words, n_hit (words in any occurrence of an
-    item's window), items (sorted ids as strings) and contaminated (20 * n_hit >= n_words > 0 hits).
+    item's window), items (sorted ids as strings), contaminated (20 * n_hit >= n_words > 0 hits)
+    and text_key (``text_key`` of its text).
 
     Null and empty texts have no words and no hits.  An item of fewer than ``window`` words, but
     not none, is one window; items without words and null items never occur.  Items with equal
     windows are all reported.  Rows that share an id are told apart by their text; repeated rows
     give repeated results.  Other columns, whatever their names, are ignored.
     """
-    docs = documents.select(F.col(doc_id).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), words(F.col(text)).alias("words"))
+    docs = documents.select(F.col(doc_id).alias("doc"), text_key(F.col(text)).alias("th"), words(F.col(text)).alias("words"))
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("words")).where("item is not null and size(words) > 0")
     window_of = items.select("item", "words", F.least(F.size("words"), F.lit(window)).alias("len"))
     windows = window_of.select("item", "len", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("len") + 1)).alias("at"), "words").select("item", "len", F.slice("words", F.col("at"), F.col("len")).alias("words")).withColumn("win", F.array_join("words", " "))
@@ -77,8 +85,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     grams = saved(grams, "decon-grams")
     whole = documents.sparkSession.createDataFrame([(WHOLE,)], "gram string")
     known = grams.select("gram").distinct()
-    small = known.count() <= BROADCAST_ROWS
-    bound = F.broadcast if small else (lambda df: df)
+    # each side by its own rows and bytes: the shingles (of which those known and the prefixes are parts), and the windows by item
+    size = grams.agg(F.coalesce(F.sum(F.octet_length("win") + F.octet_length("gram") + 24), F.lit(0))).first()[0]
+    small = known.count() <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    of_items = held.agg(F.coalesce(F.sum(F.octet_length("item") + F.octet_length("win") + 24), F.lit(0))).first()[0]
+
+    def bound(df: DataFrame, fits: bool = small) -> DataFrame:
+        return F.broadcast(df) if fits else df
 
     placed = _placed(docs, sizes or [GRAM])
     # a shuffled join must not gather every text's row for itself under one key
@@ -98,10 +111,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     verified = saved(verified.select("doc", "th", "win", "len", "start"), "decon-verified")
 
     covered = verified.select("doc", "th", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("doc", "th").agg(F.count("*").alias("n_hit"))
-    listed = verified.select("doc", "th", "win").distinct().join(bound(held), "win").groupBy("doc", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = verified.select("doc", "th", "win").distinct().join(bound(held, small and of_items <= BROADCAST_BYTES), "win").groupBy("doc", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = covered.join(listed, covered.doc.eqNullSafe(listed.doc) & (covered.th == listed.th)).select(covered.doc.alias("d"), covered.th.alias("t"), "n_hit", "items")
     return (
         counted.join(found, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
-        .select(F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        .select(F.col("doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("th").alias("text_key"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     )

@@ -277,25 +277,18 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(out, ignore_index=True)
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the least id that links lead to), n_links (other
-    documents of Jaccard similarity 0.8 or more, copies included), copy_id (the least id of an equal
-    n-gram set) and n_partners (linked documents that are no copies, copies of one counted once).
-
-    N-grams are runs of five words `[^\\x20\\x09-\\x0D]+`; a text of fewer words, but not none, is one
-    n-gram.  Texts without words (null, empty) link to none and are their own class.  Repeated rows
-    count as copies, also of themselves; rows that share an id but not their n-grams are documents of
-    their own.  A row with a null id links to none and has no class.
-    """
+def _classed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key (a hash of its text), s1 (which names its n-gram set) and n, what ``join``
+    returns of its class, and root: the (id, s) that its links lead to."""
     bands, rows = banding(THRESHOLD[0] / THRESHOLD[1])
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, j, raws in pieces(b["text"].tolist()):
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[i:j], **signatures(raws, bands, rows)})
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[i:j], "key": b["key"].to_numpy()[i:j], **signatures(raws, bands, rows)})
 
-    signed = saved(docs.mapInPandas(sign, "doc_id long, n long, s1 long, s2 long, bands array<long>, bytes binary"), "near-signed")
+    signed = saved(docs.mapInPandas(sign, "doc_id long, key long, n long, s1 long, s2 long, bands array<long>, bytes binary"), "near-signed")
     classes = saved(signed.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "near-classes")
     reps = signed.join(classes.withColumnRenamed("id", "doc_id"), ["s1", "s2", "n", "doc_id"]).dropDuplicates(["doc_id", "s1"]).select(F.col("doc_id").alias("id"), F.col("s1").alias("s"), "bands", "bytes")
 
@@ -316,7 +309,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 yield part[part["s"].to_numpy() == np.array([mix(x).sum(dtype=np.uint64) for x in held], np.uint64).view(np.int64)]
 
     row = "id long, s long, root long, rs long, copies long"
-    whole = docs.join(bound, F.col("doc_id") == F.col("id")).select("id", "s", "root", "rs", "copies", "members", "large", "text")
+    whole = docs.drop("key").join(bound, F.col("doc_id") == F.col("id")).select("id", "s", "root", "rs", "copies", "members", "large", "text")
     whole = saved(whole.mapInPandas(sets, f"{row}, members long, large boolean, grams binary").dropDuplicates(["id", "s"]), "near-sets")
     size = THRESHOLD[0] * F.octet_length("grams") / 8
     few = whole.where("not large").select("id", "s", "root", "rs", "copies", size.cast("long").alias("g"), F.lit(0).cast("long").alias("m"), F.col("grams").alias("delta"), F.lit(1).cast("long").alias("blocks"))
@@ -327,13 +320,51 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     linked = saved(verified.union(sure), "near-links")
     counts = linked.groupBy(F.col("a").alias("id"), F.col("as").alias("s1")).agg(F.sum("links").alias("links"), F.sum("partners").alias("partners"))
     ties = _edges(linked.where("b is not null")).where("a <> b").distinct()
-    group = components(_fewer(ties), "near-classes-of").select("node.id", F.col("node.s").alias("s1"), F.col("root.id").alias("root"))
+    group = components(_fewer(ties), "near-classes-of").select("node.id", F.col("node.s").alias("s1"), "root")
     of_class = classes.join(counts.join(group, ["id", "s1"], "left"), ["id", "s1"], "left").select("s1", "s2", "n", F.col("id").alias("rep"), "copies", "links", "partners", "root")
-    narrow = signed.select("doc_id", "s1", "s2", F.when(F.col("doc_id").isNotNull(), F.col("n")).alias("n"))
-    return narrow.join(of_class, ["s1", "s2", "n"], "left").select(
+    narrow = signed.select("doc_id", "key", "s1", "s2", F.when(F.col("doc_id").isNotNull(), F.col("n")).alias("n"))
+    own = F.struct(F.coalesce("rep", "doc_id").alias("id"), F.col("s1").alias("s"))
+    return narrow.join(of_class, ["s1", "s2", "n"], "left").withColumn("root", F.coalesce("root", own))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (the least id that links lead to), n_links (other
+    documents of Jaccard similarity 0.8 or more, copies included), copy_id (the least id of an equal
+    n-gram set) and n_partners (linked documents that are no copies, copies of one counted once).
+
+    N-grams are runs of five words `[^\\x20\\x09-\\x0D]+`; a text of fewer words, but not none, is one
+    n-gram.  Texts without words (null, empty) link to none and are their own class.  Repeated rows
+    count as copies, also of themselves; rows that share an id but not their n-grams are documents of
+    their own.  A row with a null id links to none and has no class.
+    """
+    found = _classed(docs, doc_id, text)
+    return found.select(
         "doc_id",
-        F.coalesce("root", "rep", "doc_id").alias("class_id"),
+        F.col("root.id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("rep", "doc_id").alias("copy_id"),
         F.coalesce("partners", F.lit(0)).cast("long").alias("n_partners"),
     )
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one of each class does: the class' least id, with the n-gram set that
+    the class is named by, and among equal ones of these the text of the least hash.
+
+    Exact repeats of that row (id and text) count as one and any of them stays.  Texts without words are
+    classes of their own, one for each id and text; rows with a null id all stay.
+    """
+    found = _classed(docs, doc_id, text).where("doc_id is not null and (coalesce(n, 0) = 0 or (doc_id = root.id and s1 = root.s))")
+    texts = found.groupBy("doc_id", "s1", F.when(F.coalesce("n", F.lit(0)) == 0, F.col("key")).alias("_word"), "key").agg(F.count("*").alias("rows"))
+    kept = texts.groupBy("doc_id", "s1", "_word").agg(F.min(F.struct("key", "rows")).alias("_kept"))
+    kept = saved(kept.select(F.col("doc_id").alias("_id"), "_kept.key", "_kept.rows").withColumnsRenamed({"key": "_key", "rows": "_rows"}), "near-kept")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("own"))
+
+    def among(some: DataFrame) -> DataFrame:
+        return keyed.join(some, (F.col("id") == F.col("_id")) & (F.col("own") == F.col("_key")), "left_semi")
+
+    alone = among(kept.where("_rows = 1")).union(keyed.where("id is null")).select("row.*")
+    repeated = kept.where("_rows > 1")
+    if repeated.isEmpty():
+        return alone
+    return alone.union(among(repeated).dropDuplicates(["id", "own"]).select("row.*"))

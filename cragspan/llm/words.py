@@ -78,8 +78,8 @@ class Words:
         """``(hash, doc)`` of every run of n words; with ``short``, a text of fewer words but not none is one run."""
         h, total = self.hash, len(self.hash)
         out = np.zeros(max(0, total - n + 1), np.uint64)
-        for k in range(n):
-            out += mix(h[k : total - n + 1 + k] + np.uint64(k + 1))
+        for k in range(n if len(out) else 0):  # no run fits into fewer than n words
+            out += mix(h[k : k + len(out)] + np.uint64(k + 1))
         ok = self.doc[: len(out)] == self.doc[n - 1 :] if len(out) else np.zeros(0, bool)
         out, doc = mix(out[ok]), self.doc[: len(ok)][ok]
         if short and (few := np.flatnonzero((self.count > 0) & (self.count < n))).size:
