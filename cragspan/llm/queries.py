@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragspan.llm import decontamination, fingerprints, language_model, languages, mixing, near_duplicates, quality, secret_scan, sharding, simhash, substrings
+from cragspan.llm import decontamination, fingerprints, language_model, languages, mixing, near_duplicates, prefix_trie, quality, secret_scan, sharding, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_simhash": op13_simhash,
 }
 
@@ -127,4 +132,22 @@ kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) A
          FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d) x ANTI JOIN g USING (doc_id, pos) GROUP BY x.doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_prefix_trie": r"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS p,
+                  {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(t ORDER BY p) AS w FROM o GROUP BY conv_id),
+b AS (SELECT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), c -> CAST(ascii(c) AS BIGINT)) AS bytes, w FROM l),
+h AS (SELECT conv_id, w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+        (a, c) -> list_reduce(list_prepend(xor(a, c), list_transform(range(8), i -> CAST(i AS BIGINT))), (x, i) -> xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))), CAST(4294967295 AS BIGINT)) % 6 AS h FROM b),
+r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(l.w, 1, h), []), coalesce(list_slice(h.w, h + 1, len(h.w)), [])) AS w FROM h LEFT JOIN l ON l.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, d, list_slice(w, 1, d) AS pre, d = len(w) AS last FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM r)),
+n AS (SELECT d, pre, min(conv_id) AS c, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends,
+             CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(pre[d].text) END AS saved FROM m GROUP BY d, pre),
+k AS (SELECT d - 1 AS d, list_slice(pre, 1, d - 1) AS pre, count(*) AS children FROM n WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN k USING (d, pre)),
+s AS (SELECT u.d, u.pre, sum(CASE WHEN f.children = 0 THEN 1 ELSE 0 END) AS leaves, sum(f.saved) AS saved
+      FROM (SELECT d, pre, unnest(range(0, d + 1)) AS a, children, saved FROM f) f JOIN n u ON u.d = f.a AND u.pre = list_slice(f.pre, 1, f.a) GROUP BY u.d, u.pre)
+SELECT f.c AS conv_id, CAST(f.d AS BIGINT) AS depth, p.c AS parent_conv_id, CAST(f.n AS BIGINT) AS n_convs, CAST(children AS BIGINT) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN s USING (d, pre) LEFT JOIN n p ON p.d = f.d - 1 AND p.pre = list_slice(f.pre, 1, f.d - 1)""",
 }
