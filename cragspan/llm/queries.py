@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragspan.llm import decontamination, fingerprints, language_model, languages, mixing, near_duplicates, prefix_trie, quality, secret_scan, sharding, simhash, substrings
+from cragspan.llm import clustering, decontamination, fingerprints, language_model, languages, mixing, near_duplicates, prefix_trie, quality, secret_scan, sharding, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -100,12 +104,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_clusters": op11_clusters,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_simhash": op13_simhash,
 }
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _lloyd_round(k: int) -> str:
+    """SQL of one round: the assignment A{k} to the centroids C{k}, and the centroids C{k + 1} that follow."""
+    return f"""
+A{k} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS n FROM
+       (SELECT r, c, list_sum(list_transform(list_zip(V.q, C{k}.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM V CROSS JOIN C{k})) WHERE n = 1),
+C{k + 1} AS MATERIALIZED (SELECT c, coalesce(m.q, C{k}.q) AS q FROM C{k} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM
+       (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM A{k} JOIN V USING (r)) GROUP BY c, i) GROUP BY c) m USING (c))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
@@ -132,13 +148,21 @@ kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) A
          FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d) x ANTI JOIN g USING (doc_id, pos) GROUP BY x.doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_clusters": f"""
+WITH V AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+C0 AS MATERIALIZED (SELECT c, q FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, q) - 1 AS c, q FROM V) WHERE c < 16),{",".join(map(_lloyd_round, range(4)))},
+I AS (SELECT c, sum(d) AS inertia FROM A3 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(I.inertia AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM A3) AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(C3.q, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM A3 JOIN V USING (r) JOIN I USING (c) JOIN C3 USING (c)""",
     "op12_prefix_trie": r"""
 WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS p,
                   {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t FROM conversations WHERE conv_id IS NOT NULL),
 l AS (SELECT conv_id, list(t ORDER BY p) AS w FROM o GROUP BY conv_id),
-b AS (SELECT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), c -> CAST(ascii(c) AS BIGINT)) AS bytes, w FROM l),
+b AS (SELECT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes, w FROM l),
 h AS (SELECT conv_id, w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
-        (a, c) -> list_reduce(list_prepend(xor(a, c), list_transform(range(8), i -> CAST(i AS BIGINT))), (x, i) -> xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))), CAST(4294967295 AS BIGINT)) % 6 AS h FROM b),
+        lambda a, c: list_reduce(list_prepend(xor(a, c), list_transform(range(8), lambda i: CAST(i AS BIGINT))), lambda x, i: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))), CAST(4294967295 AS BIGINT)) % 6 AS h FROM b),
 r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(l.w, 1, h), []), coalesce(list_slice(h.w, h + 1, len(h.w)), [])) AS w FROM h LEFT JOIN l ON l.conv_id = h.conv_id - h.conv_id % 100),
 m AS (SELECT conv_id, d, list_slice(w, 1, d) AS pre, d = len(w) AS last FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM r)),
 n AS (SELECT d, pre, min(conv_id) AS c, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends,
