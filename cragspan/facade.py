@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cragspan.functions import geodesy, geometry
-from cragspan.operators import classify, cloud, features, ground, lines, meshes, neighbours, profiles, registration, sampling, segments, shape, survey, terrain, visibility
+from cragspan.operators import classify, cloud, constrained, features, ground, lines, meshes, neighbours, profiles, registration, sampling, segments, shape, survey, terrain, triangulate, visibility
 
 
 class Operator(Protocol):
@@ -29,6 +29,7 @@ METHODS: dict[str, dict[str, Callable]] = {
     "registration": {"point_to_point": registration.register, "point_to_plane": lambda source, target, **o: registration.register(source, target, True, **o)},
     "profile": dict(profiles.METHODS),
     "statistics": {"elevation": cloud.elevation_statistics, "attribute": cloud.attribute_statistics, "area": terrain.surface_area, "density": cloud.density_map, "distribution": cloud.histogram, "slope": terrain.derivatives},
+    "surface": {"delaunay": triangulate.delaunay, "constrained": constrained.constrain, "break_lines": constrained.enforce, "without_spikes": triangulate.without_spikes},
     "interpolation": {"linear": terrain.locate, "idw": terrain.idw, "nearest": neighbours.nearest},
     "volume": {"cut_fill": terrain.cut_fill, "tin": terrain.tin_volume, "average_end_area": survey.average_end_area, "prismoidal": survey.prismoidal},
     "distance": {"euclidean": geometry.distance, "slope": geometry.slope_percent, "angle": geometry.slope_angle, "geodesic": geodesy.geodesic},
