@@ -2,22 +2,30 @@
 
 A distance predicate becomes an equi-join: one side is looked up in the 27 cells around each of
 its points.  The grid's cell is the radius, so the remaining filter on the exact distance is all
-that is left to do.  k-NN starts from a small cell and doubles it for the points whose k-th
-neighbour it can't yet vouch for.
+that is left to do.  k-NN works on leaves of bounded counts, which follow the density of the cloud.
 """
 
 from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cragspan.operators import tiles
 from cragspan.operators.components import components
 from cragspan.operators.ranks import quantiles
 from cragspan.plans.storage import materialise
 
 
+#: Points of a leaf of the neighbour search, queries that meet them at once, and distances held at once.
+LEAF = 2_048
+QUERIES = 8_192
+COMPARED = 2_000_000
+
+
 def _cells(size: float, axes: str) -> list[Column]:
     return [F.floor(F.col(a) / size).cast("long") for a in axes]
 
@@ -57,43 +65,140 @@ def local_density(cloud: DataFrame, radius: float) -> DataFrame:
     return radius_count(cloud, radius).select("pid", (F.col("neighbours") / F.lit(4.0 / 3.0 * 3.141592653589793 * radius**3)).alias("density"))
 
 
-def _first_size(points: DataFrame, axes: str, extent: float, want: int, n: int) -> float:
-    """The least of the extent's halves at which occupied cells hold (want + 1) / 2 points in the mean, and two at least, on surfaces as in space."""
-    levels = F.explode(F.array(*[F.lit(extent * 2.0**-j) for j in range(min(24, n.bit_length()) + 1)]))
-    cells = points.select(*axes, levels.alias("size")).groupBy("size").agg(F.approx_count_distinct(F.xxhash64(*[F.floor(F.col(a) / F.col("size")) for a in axes]), 0.02).alias("cells"))
-    return min((r["size"] for r in cells.collect() if n >= max(2.0, (want + 1) / 2) * r["cells"]), default=extent)
+def _scarce(right: DataFrame, axes: str, most: int) -> DataFrame:
+    """``right(nid, ...)`` with at most ``most`` points at each place, those of the least ids: no more can be among the nearest."""
+    place = list(axes)
+    full = right.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
+    full = materialise(full, "knn-full")
+    if full.isEmpty():
+        return right
+    many = right.join(full, place, "left_semi").withColumn("salt", F.pmod(F.xxhash64("nid"), F.lit(256)))
+    for keys in ([*place, "salt"], place):  # a place may hold most points: the least of each salt first
+        many = many.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("nid"))).where(F.col("r") <= most).drop("r")
+    return right.join(full, place, "left_anti").unionByName(many.drop("salt"))
+
+
+def _nearest_of(pid: np.ndarray, at: np.ndarray, nid: np.ndarray, points: np.ndarray, k: int, drop_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, point, d2)`` as places: the k nearest points (or all) of each query, by distance, equal ones by id."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, COMPARED // max(1, len(nid)))
+    for first in range(0, len(pid) if len(nid) else 0, step):
+        q = at[first : first + step]
+        d2 = (q[:, 0, None] - points[:, 0]) ** 2
+        for a in range(1, points.shape[1]):
+            d2 = d2 + (q[:, a, None] - points[:, a]) ** 2
+        if drop_self:
+            d2[pid[first : first + step, None] == nid] = np.inf
+        reach = np.partition(d2, k - 1, 1)[:, k - 1] if k < d2.shape[1] else np.full(len(q), np.inf)
+        row, col = np.nonzero((d2 <= reach[:, None]) & (d2 < np.inf))
+        order = np.lexsort((nid[col], d2[row, col], row))
+        row, col = row[order], col[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        found.append((row[rank < k] + first, col[rank < k], d2[row, col][rank < k]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _visits(queries: DataFrame, points: DataFrame, axes: str, k: int, drop_self: bool) -> DataFrame:
+    """``(pid, nid, d2)``: for ``queries(pid, axes, depth, square)`` the k nearest among ``points(nid, axes, depth, square)`` of the same leaf.
+    The queries of a leaf are dealt in blocks, each with the leaf's points."""
+    tile = ["depth", "square"]
+    sizes = queries.groupBy(*tile).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    dealt = queries.join(sizes, tile).withColumn("block", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int")).select(*tile, "block", F.lit(True).alias("asks"), F.col("pid").alias("id"), *axes)
+    shown = points.join(sizes, tile).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*tile, "block", F.lit(False).alias("asks"), F.col("nid").alias("id"), *axes)
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["asks"].to_numpy(bool)
+        ids, at = frame["id"].to_numpy(), frame[list(axes)].to_numpy(float)
+        q, p, d2 = _nearest_of(ids[asks], at[asks], ids[~asks], at[~asks], k, drop_self)
+        return pd.DataFrame({"pid": ids[asks][q], "nid": ids[~asks][p], "d2": d2})
+
+    return dealt.unionByName(shown).groupBy(*tile, "block").applyInPandas(search, "pid long, nid long, d2 double")
+
+
+def _other_leaves(asking: DataFrame, held: DataFrame, size: float, low: list[float]) -> DataFrame:
+    """``(depth, square, to_depth, to_square, c0..)``: the leaves of ``held`` that may lie within ``reach`` of those of ``asking``; both
+    ``(depth, square, c0, c1..)`` with the leaf's place along each axis.
+
+    The reach is looked up in squares of its own size, two along an axis at most: leaves inside them are found by the squares that
+    they lie in, and larger ones by the squares around.
+    """
+    axes = len(low)
+    side = F.lit(size) / F.pow(F.lit(2.0), F.col("depth"))
+    level = F.greatest(F.lit(0), F.least(F.col("depth"), F.floor(F.log2(F.lit(size) / (side + 2 * F.col("reach")))).cast("int")))
+    wide = asking.withColumn("level", level)
+    cell = F.lit(size) / F.pow(F.lit(2.0), F.col("level"))
+    last = F.expr("shiftleft(1L, level) - 1")
+    for k in range(axes):
+        ends = [F.least(last, F.greatest(F.lit(0), F.floor(v / cell))) for v in (F.col(f"c{k}") * side - F.col("reach"), (F.col(f"c{k}") + 1) * side + F.col("reach"))]
+        wide = wide.withColumn(f"w{k}", F.explode(F.sequence(*ends)))
+    around = wide.select("depth", "square", "level", tiles.interleaved([F.col(f"w{k}") for k in range(axes)]).alias("cell"))
+    places = [F.col(f"c{k}").alias(f"o{k}") for k in range(axes)]
+    named = held.select(F.col("depth").alias("to_depth"), F.col("square").alias("to_square"), *places)
+    inside = named.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("to_depth")))).withColumn("cell", F.expr(f"shiftright(to_square, cast({axes} * (to_depth - level) as int))"))
+    small = around.join(inside, ["level", "cell"])
+    above = around.where("level > 0").withColumn("to_depth", F.explode(F.sequence(F.lit(0), F.col("level") - 1))).withColumn("to_square", F.expr(f"shiftright(cell, cast({axes} * (level - to_depth) as int))"))
+    large = above.join(named, ["to_depth", "to_square"])
+    columns = ["depth", "square", "to_depth", "to_square", *[f"o{k}" for k in range(axes)]]
+    return small.select(*columns).union(large.select(*columns)).distinct().where("depth <> to_depth or square <> to_square")
 
 
 def knn(left: DataFrame, right: DataFrame, k: int, axes: str = "xyz", drop_self: bool = False) -> DataFrame:
     """The k nearest points of ``right`` for each of ``left``: rows ``(pid, rank, nid, d2)``, equal distances by nid.
 
-    ``drop_self`` leaves out the point of the same id.  Fewer than k points give as many as there are.
+    ``drop_self`` leaves out the point of the same id.  Fewer than k points give as many as there are.  Points with a null
+    or non-finite coordinate, or a null id, are left out on both sides.
+
+    Space is cut into leaves of bounded counts of ``right``.  Each point asks its own leaf, which bounds the distance of its
+    k-th neighbour (a leaf of fewer points has more than k around it in the square above), and then those other
+    leaves that are nearer than the bound.
     """
-    spans = right.agg(F.count("*").alias("n"), *[f(a).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    ends = left.agg(*[f(a).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    if not spans["n"] or ends[f"lo{axes[0]}"] is None:
-        return left.sparkSession.createDataFrame([], "pid long, rank int, nid long, d2 double")
-    extent = max(max(spans[f"hi{a}"], ends[f"hi{a}"]) - min(spans[f"lo{a}"], ends[f"lo{a}"]) for a in axes) or 1.0
-    want = min(k, spans["n"] - bool(drop_self))
-    size = _first_size(right, axes, extent, want, spans["n"])
-    todo, found = left.select("pid", *axes), None
-    while True:
-        everything = size > extent
-        a = _around(todo, size, axes)
-        b = _keyed(right.select(F.col("pid").alias("nid"), *axes), size, axes).withColumnsRenamed({x: f"n{x}" for x in axes})
-        near = a.join(b, [f"c{x}" for x in axes]).withColumn("d2", _d2(axes))
-        near = near.where("nid <> pid") if drop_self else near
-        order = Window.partitionBy("pid").orderBy("d2", "nid")
-        ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= want)
-        done = F.lit(True) if everything else (F.count("*").over(Window.partitionBy("pid")) == want) & (F.max("d2").over(Window.partitionBy("pid")) <= size * size)
-        step = materialise(ranked.withColumn("done", done).where("done").select("pid", "rank", "nid", "d2"), "knn")
-        found = step if found is None else found.union(step)
-        if everything:
-            return found
-        todo = materialise(todo.join(step.select("pid").distinct(), "pid", "left_anti"), "knn-todo")
-        if not todo.limit(1).count():
-            return found
-        size *= 2
+    spark = left.sparkSession
+    finite = " and ".join(f"abs({a}) < double('inf')" for a in axes)
+    asking = left.where(f"pid is not null and {finite}").select(F.col("pid").alias("id"), *[F.col(a).cast("double").alias(a) for a in axes])
+    held = right.where(f"pid is not null and {finite}").select(F.col("pid").alias("nid"), *[F.col(a).cast("double").alias(a) for a in axes])
+    spans = [t.agg(F.count("*").alias("n"), *[f(a).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first() for t in (asking, held)]
+    if not spans[0]["n"] or not spans[1]["n"]:
+        return spark.createDataFrame([], "pid long, rank int, nid long, d2 double")
+    ranked = Window.partitionBy("pid").orderBy("d2", "nid")
+    most = max(LEAF, 2 * (k + 1))
+    if spans[1]["n"] <= most:
+        one = [F.lit(0).alias("depth"), F.lit(0).cast("long").alias("square")]
+        near = _visits(asking.select(F.col("id").alias("pid"), *axes, *one), held.select("nid", *axes, *one), axes, k, drop_self)
+        return near.withColumn("rank", F.row_number().over(ranked)).select("pid", "rank", "nid", "d2")
+
+    low = [min(s[f"lo{a}"] for s in spans) for a in axes]
+    size = max(max(s[f"hi{a}"] for s in spans) - v for a, v in zip(axes, low, strict=True)) or 1.0
+    held = _scarce(held, axes, k + drop_self)
+    both = asking.withColumn("asks", F.lit(True)).union(held.select(F.col("nid").alias("id"), *axes).withColumn("asks", F.lit(False)))
+    bits, n_axes = tiles.BITS[len(axes)], len(axes)
+    grid = tiles.cells([F.col(a) for a in axes], low, size)
+    coded = both.withColumns({f"c{i}": g for i, g in enumerate(grid)}).withColumn("code", tiles.interleaved([F.col(f"c{i}") for i in range(n_axes)]))
+    placed = tiles.leaves(coded, most, spans[1]["n"], n_axes, 1, ~F.col("asks"))
+    placed = placed.withColumns({"square": F.expr(f"shiftright(code, cast({n_axes} * ({bits} - depth) as int))"), **{f"c{i}": F.expr(f"shiftright(c{i}, cast({bits} - depth as int))") for i in range(n_axes)}})
+    placed = materialise(placed.drop("code"), "knn-placed")
+    queries, points = placed.where("asks").withColumnRenamed("id", "pid"), placed.where("not asks").withColumnRenamed("id", "nid")
+    near = materialise(_visits(queries, points, axes, k, drop_self), "knn-near")
+
+    # how far each point must look, and whether its own leaf's box lies beyond that on every side
+    margin = 1e-9 * size
+    side = F.lit(size) / F.pow(F.lit(2.0), F.col("depth"))
+    corner = [F.greatest(F.abs(F.col(a) - (v + (F.expr(f"c{i} div 2")) * 2 * side)), F.abs(F.col(a) - (v + (F.expr(f"c{i} div 2") + 1) * 2 * side))) for i, (a, v) in enumerate(zip(axes, low, strict=True))]
+    farthest = F.sqrt(sum((c * c for c in corner[1:]), corner[0] * corner[0]))
+    own = near.groupBy("pid").agg(F.count("*").alias("n"), F.max("d2").alias("worst"))
+    reach = F.when(F.col("n") >= k, F.sqrt("worst")).otherwise(farthest) + margin
+    free = F.least(*[F.least(F.col(a) - (v + F.col(f"c{i}") * side), v + (F.col(f"c{i}") + 1) * side - F.col(a)) for i, (a, v) in enumerate(zip(axes, low, strict=True))])
+    loose = materialise(queries.join(own, "pid", "left").withColumn("reach", reach).where((F.col("depth") > 0) & (F.col("reach") >= free)).drop("n", "worst", "asks"), "knn-loose")
+
+    tile = ["depth", "square", *[f"c{i}" for i in range(n_axes)]]
+    pairs = _other_leaves(loose.groupBy(*tile).agg(F.max("reach").alias("reach")), points.select(*tile).distinct(), size, low)
+    met = loose.join(pairs, ["depth", "square"])
+    there = F.lit(size) / F.pow(F.lit(2.0), F.col("to_depth"))
+    off = [F.greatest(v + F.col(f"o{i}") * there - F.col(a), F.col(a) - (v + (F.col(f"o{i}") + 1) * there), F.lit(0.0)) for i, (a, v) in enumerate(zip(axes, low, strict=True))]
+    met = met.where(sum((o * o for o in off[1:]), off[0] * off[0]) <= F.col("reach") * F.col("reach"))
+    visits = materialise(met.select("pid", *axes, F.col("to_depth").alias("depth"), F.col("to_square").alias("square")), "knn-visits")
+    more = _visits(visits, points, axes, k, drop_self)
+    every = near.union(more).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return materialise(every.select("pid", "rank", "nid", "d2"), "knn")
 
 
 def statistical_outliers(cloud: DataFrame, k: int, ratio: float) -> DataFrame:

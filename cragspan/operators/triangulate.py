@@ -15,17 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cragspan.operators import tiles
 from cragspan.operators.predicates import in_circle, turn
 from cragspan.operators.terrain import spikes
 from cragspan.plans.storage import materialise
 
 #: Points of a leaf, unless more fall into a square of the finest grid.
 LEAF_POINTS = 4_096
-#: Halvings of the extent that the finest grid takes, and those between a square and the next larger one.
-DEPTH = 26
+#: Halvings between a square and the next larger one that is triangulated.
 STEP = 2
 
 
@@ -174,37 +174,6 @@ def settle(vid: np.ndarray, x: np.ndarray, y: np.ndarray, known: np.ndarray, box
     return out, due | ~settled, settled
 
 
-def _interleaved(i: Column) -> Column:
-    """The bits of a whole number below 2^26 moved to even places."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        i = (i.bitwiseOR(F.shiftleft(i, shift))).bitwiseAND(F.lit(mask).cast("long"))
-    return i
-
-
-def quadtree(points: DataFrame, most: int, total: int) -> DataFrame:
-    """``points(code, ...)`` with ``depth``: of the squares around each point, the largest that holds at most ``most`` of them."""
-    done, todo = [], points
-    first = 0
-    depth = min(DEPTH, STEP * math.ceil(math.log(max(1, total / most), 4) / STEP) + STEP)
-    while True:
-        cells = todo.groupBy(F.shiftright("code", 2 * (DEPTH - depth)).alias("cell")).agg(F.count("*").alias("n"))
-        levels = F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("cell", 2 * (depth - d)).alias("square")) for d in range(first, depth + 1, STEP)])
-        each = materialise(cells.withColumn("l", F.explode(levels)).select("cell", "n", "l.d", "l.square"), "quadtree")
-        full = each.groupBy("d", "square").agg(F.sum("n").alias("n"))
-        leaf = each.drop("n").join(full, ["d", "square"]).groupBy("cell").agg(F.min(F.when((F.col("n") <= most) | (F.lit(depth) == DEPTH) & (F.col("d") == DEPTH), F.col("d"))).alias("depth"))
-        leaf = materialise(leaf, "quadtree-leaves")
-        named = todo.withColumn("cell", F.shiftright("code", 2 * (DEPTH - depth))).join(leaf, "cell").drop("cell")
-        done.append(named.where("depth is not null"))
-        if leaf.where("depth is null").isEmpty():
-            break
-        todo = materialise(named.where("depth is null").drop("depth"), "quadtree-deeper")
-        first, depth = depth, min(DEPTH, depth + 4 * STEP)
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out
-
-
 def delaunay(vertices: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
     """``(tid, v0, v1, v2)``: the Delaunay triangles of ``vertices(vid, x, y, ...)``, corners turning left, the least id first.
 
@@ -222,11 +191,9 @@ def delaunay(vertices: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
     size = max(x1 - x0, y1 - y0) or 1.0
     if not math.isfinite(size):
         raise ValueError("the points' extent is too large for 64 bits")
-    grid = 1 << DEPTH
-    at = [F.least(F.floor((F.col(a) - low) / size * grid), F.lit(grid - 1)).cast("long") for a, low in (("x", x0), ("y", y0))]
-    coded = places.withColumn("code", _interleaved(at[0]).bitwiseOR(F.shiftleft(_interleaved(at[1]), 1)))
-    leaves = materialise(quadtree(coded, leaf_points, n), "leaves")
-    depths = sorted((r[0] for r in leaves.select("depth").distinct().collect()), reverse=True)  # DEPTH / STEP at most
+    coded = places.withColumn("code", tiles.interleaved(tiles.cells([F.col("x"), F.col("y")], [x0, y0], size)))
+    leaf = materialise(tiles.leaves(coded, leaf_points, n, 2, STEP), "leaves")
+    depths = sorted((r[0] for r in leaf.select("depth").distinct().collect()), reverse=True)  # a few, by the grid's bits
 
     def triangulate(depth: int):
         side = size / (1 << depth)
@@ -235,7 +202,7 @@ def delaunay(vertices: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
 
         def square(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             code = int(key[0])
-            i, j = (sum((code >> (2 * b + k) & 1) << b for b in range(depth)) for k in (0, 1))
+            i, j = tiles.corner(code, depth, 2)
             box = [(-math.inf if c == 0 else low + c * side + margin, math.inf if c == last else low + (c + 1) * side - margin) for c, low in ((i, x0), (j, y0))]
             frame = frame.sort_values("vid")
             vid, x, y, known = (frame[c].to_numpy() for c in ("vid", "x", "y", "known"))
@@ -253,7 +220,7 @@ def delaunay(vertices: DataFrame, leaf_points: int = LEAF_POINTS) -> DataFrame:
     found: list[DataFrame] = []
     rest: DataFrame | None = None
     for depth in range(depths[0], -1, -STEP):
-        own = leaves.where(F.col("depth") == depth).select("vid", "x", "y", F.lit(False).alias("known"), F.shiftright("code", 2 * (DEPTH - depth)).alias("code"))
+        own = leaf.where(F.col("depth") == depth).select("vid", "x", "y", F.lit(False).alias("known"), F.shiftright("code", 2 * (tiles.BITS[2] - depth)).alias("code"))
         if rest is not None:
             own = own.union(rest.select("vid", "x", "y", "known", F.shiftright("code", 2 * STEP).alias("code")))
         step = materialise(own.groupBy("code").applyInPandas(triangulate(depth), row), "squares")
