@@ -33,6 +33,8 @@ _SPAN = WINDOW - GRAM  # a minimiser starts at most so far into its window
 _BASE = np.uint64(0x9E3779B97F4A7C1B)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C1B, -1, 2**64))
 _PLACE = np.uint64((1 << 24) - 1)
+#: Windows whose least hashes are looked for at once: their places fit into the bits of _PLACE.
+STRETCH = 1 << 23
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -54,6 +56,18 @@ class _Runs:
         return mix((self.sums[last] - self.sums[first]) * self.back[first] + (last - first).astype(np.uint64))
 
 
+def _least(gram: np.ndarray) -> np.ndarray:
+    """The place of the least of each ``_SPAN + 1`` hashes in turn, by their leading bits, the first of equal ones."""
+    low = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
+    width = 1
+    while 2 * width <= _SPAN + 1:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    rest = _SPAN + 1 - width
+    low = np.minimum(low[: len(low) - rest], low[rest:])
+    return (low & _PLACE).astype(np.int64)
+
+
 def segments(words: Words) -> tuple[np.ndarray, ...]:
     """``(minimiser hash, content hash, text, first window in the text, windows)`` of every segment."""
     n = len(words.hash)
@@ -63,15 +77,8 @@ def segments(words: Words) -> tuple[np.ndarray, ...]:
     run = _Runs(words)
     at = np.arange(n - GRAM + 1)
     gram = run(at, at + GRAM)
-    low = (gram & ~_PLACE) | at.astype(np.uint64)
-    width = 1
-    while 2 * width <= _SPAN + 1:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    rest = _SPAN + 1 - width
-    low = np.minimum(low[: len(low) - rest], low[rest:])
     windows = n - WINDOW + 1
-    place = (low[:windows] & _PLACE).astype(np.int64)
+    place = np.concatenate([_least(gram[k : min(k + STRETCH, windows) + _SPAN]) + k for k in range(0, windows, STRETCH)])
     inside = words.doc[:windows] == words.doc[WINDOW - 1 :]
     start = np.flatnonzero(inside)
     new = np.ones(len(start), bool)
