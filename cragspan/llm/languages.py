@@ -181,7 +181,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     first by name is taken.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    number = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")))
+    once = rows.groupBy("lang", F.xxhash64("text").alias("_text")).agg(F.max(F.octet_length("text")).alias("bytes"))  # a repeated text counts once
+    number = F.broadcast(once.groupBy("lang").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
     part = F.pmod(random_key(seed, "text"), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.join(number, "lang").where((part * F.col("n") < sample) & (part * F.col("bytes") < sample_bytes)).select("lang", "text").dropDuplicates()
     chosen = saved(drawn.withColumn("apart", F.pmod(random_key(seed + 1, "text"), F.lit(CALIBRATE)) == 0), "language-sample")
