@@ -56,6 +56,12 @@ def _quick(rule: Rule) -> str:
     return {"access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}.get(rule.kind, rule.pattern)
 
 
+def _running(sizes: Column) -> Column:
+    """Running sums of an array, by doubling: each pass adds what stands twice as far back, so n sizes take log2(n) passes."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(1)))).cast("int"))
+    return F.aggregate(passes, sizes, lambda sums, k: F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, (i - F.pow(F.lit(2), k)).cast("int")), F.lit(0))))
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """The rule's leftmost non-overlapping matches as an array of (start, end) in code points.
 
@@ -66,16 +72,12 @@ def spans(text: Column, rule: Rule) -> Column:
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    pairs = F.zip_with(F.zip_with(between, found, lambda b, f: F.struct(F.length(b).alias("gap"), F.length(f).alias("size"))), measured, lambda p, m: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), F.length(m).alias("part")))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def add(state: Column, p: Column) -> Column:
-        begin = state["at"] + p["gap"]
-        end = begin + F.coalesce(p["size"], F.lit(0))
-        one = F.array(F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end")))
-        return F.struct(end.alias("at"), F.when(p["part"] >= rule.least, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    pairs = F.zip_with(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("gap"), F.length(f).alias("size"))), measured, lambda p, m: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), F.length(m).alias("part")))
+    ends = _running(F.transform(pairs, lambda p: p["gap"] + p["size"]))
+    placed = F.zip_with(pairs, ends, lambda p, e: F.struct((e - p["size"]).cast("int").alias("start"), e.cast("int").alias("end"), p["part"].alias("part")))
+    kept = F.transform(F.filter(placed, lambda s: s["part"] >= rule.least), lambda s: F.struct(s["start"], s["end"]))
 
-    return F.when(text.rlike(_quick(rule)), F.aggregate(pairs, start, add, lambda s: s["out"])).otherwise(empty)
+    return F.when(text.rlike(_quick(rule)), kept).otherwise(empty)
 
 
 def _finding(rule: Rule) -> Callable[[Column], Column]:
