@@ -21,6 +21,8 @@ from cragspan.llm.words import Words, pieces
 SAMPLE_DOCS = 4_000
 #: Bytes of text that the sample holds in the mean, at most.
 SAMPLE_BYTES = 64_000_000
+#: Lines of labelled texts that the fit looks at, about; a text of more teaches nothing.
+SAMPLE_LINES = 500_000
 ROUNDS = 120
 PENALTY = 1e-3
 FEATURES = 15
@@ -139,22 +141,24 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, seed: int = 7, sample_bytes: int = SAMPLE_BYTES) -> dict:
-    """A field fitted on about ``sample`` labelled texts and about ``sample_bytes`` of them, chosen by a hash of their ids.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, seed: int = 7, sample_bytes: int = SAMPLE_BYTES, sample_lines: int = SAMPLE_LINES) -> dict:
+    """A field fitted on about ``sample`` labelled texts, ``sample_bytes`` of them and ``sample_lines`` of their lines, chosen by a hash of their ids.
 
     ``docs(doc_id, text)``, ``labels(doc_id, quality)``.  A text's lines take its label; null
-    labels and texts teach nothing and a text with several labels takes their mean, rounded.
+    labels and texts, and texts of more than ``sample_lines`` lines, teach nothing and a text with several labels takes their mean, rounded.
     Without any labelled text the score is a constant half.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     part = F.pmod(random_key(seed, "_id"), F.lit(1 << 30)) / float(1 << 30)
     share = sample / max(1, known.count())
 
+    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+
     def drawn(upto: float) -> DataFrame:
-        return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known.where(part < upto)), F.col("doc_id") == F.col("_id"))
+        return docs.select("doc_id", "text").where("text is not null").withColumn("_lines", lines).where(F.col("_lines") <= sample_lines).join(F.broadcast(known.where(part < upto)), F.col("doc_id") == F.col("_id"))
 
-    size = drawn(share).agg(F.sum(F.octet_length("text"))).first()[0] or 1
-    rows = drawn(share * min(1.0, sample_bytes / size))
+    size, count = drawn(share).agg(F.sum(F.octet_length("text")), F.sum("_lines")).first()
+    rows = drawn(share * min(1.0, sample_bytes / (size or 1), sample_lines / (count or 1)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
