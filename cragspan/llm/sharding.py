@@ -20,6 +20,8 @@ from cragspan.llm.session import random_key, saved, shuffled_rank
 #: Rows of a block, unless that made more than MOST_BLOCKS; the matrix has MOST_BLOCKS rows at most.
 BLOCK_ROWS = 2_000
 MOST_BLOCKS = 4_096
+#: Rows of one id and text whose places may be held in one list.
+FEW = 1_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -80,19 +82,35 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 9, doc_id: str = "doc_i
 
 
 def place(docs: DataFrame, shards: int = 40, seed: int = 9) -> DataFrame:
-    """``docs`` with shard and slot (columns of these names are replaced).  Identical rows each get a place of their own."""
+    """``docs`` with shard and slot (columns of these names are replaced).  Identical rows each get a place of their own.
+
+    Up to FEW rows of one id and text take their places from a list; more of them are numbered in slices, as their places are.
+    Rows and places are read from written tables where their numbers must agree.
+    """
     content = F.coalesce("text", F.lit(""))
     keys = ["_key", "_crc", "_size"]
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumn("_key", F.xxhash64("doc_id", "_crc", "_size"))
 
-    places = shard(docs, shards, seed).withColumnsRenamed({"text_crc32": "_crc", "size": "_size"})
-    places = keyed(places).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("_places"))
+    places = keyed(shard(docs, shards, seed).withColumnsRenamed({"text_crc32": "_crc", "size": "_size"}))
+    places = saved(places.select(*keys, "shard", "slot"), "shard-places")
+    many = saved(places.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW), "shard-many")
+    any_many = not many.isEmpty()
+    of_few = places.join(many.drop("_n"), keys, "left_anti") if any_many else places
+    listed = of_few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("_places"))
     own = docs.drop("shard", "slot").withColumns({"_crc": F.crc32(content.cast("binary")).cast("long"), "_size": (F.octet_length(content) + 16).cast("long")})
-    own = keyed(own).withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("_key")))
-    found = own.join(places, keys).withColumn("_place", F.element_at("_places", F.col("_nth")))
-    return found.select(*[c for c in docs.columns if c not in ("shard", "slot")], "_place.shard", "_place.slot")
+    own = keyed(own)
+    few = own.join(many.drop("_n"), keys, "left_anti") if any_many else own
+    few = few.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("_key")))
+    found = few.join(listed, keys).withColumn("_place", F.element_at("_places", F.col("_nth"))).select(*kept, "_place.shard", "_place.slot")
+    if not any_many:
+        return found
+    rest = saved(own.join(many.drop("_n"), keys, "left_semi").withColumn("_row", F.monotonically_increasing_id()), "shard-repeated")
+    rest = shuffled_rank(rest, keys, ["_row"], 1, "_nth", slice_by=F.shiftrightunsigned("_row", 33))
+    due = shuffled_rank(places.join(many.drop("_n"), keys, "left_semi"), keys, ["shard", "slot"], 1, "_nth", slice_by=F.col("shard"))
+    return found.union(rest.join(due, [*keys, "_nth"]).select(*kept, "shard", "slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 9) -> None:

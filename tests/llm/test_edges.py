@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cragspan.llm import decontamination, fingerprints, language_model, languages, mixing, near_duplicates, quality, secret_scan, sharding, substrings
+from cragspan.llm.words import Words
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, slot int, key string, b string"
 
@@ -62,11 +63,55 @@ def test_empty_tables(spark, odd):
 
 
 def test_repeated_rows_teach_once(spark):
-    texts = [("aaa bbb abab " * 9, "xx"), ("ccc ddd cdcd " * 9, "yy")]
-    rows = spark.createDataFrame([(t, lang) for t, lang in texts for _ in range(30)], "text string, lang string")
-    model = languages.train(rows)
-    got = languages.identify(spark.createDataFrame(texts, "text string, lang string"), model).collect()
-    assert model["names"] in (["xx"], ["yy"], ["xx", "yy"], []) and all(0 <= r.score <= 1 for r in got)
+    """A copy of a text teaches nothing, and leaves the others of its language their share of the sample."""
+    r = np.random.default_rng(2)
+    texts = [(" ".join("".join(r.choice(list(letters), 3)) for _ in range(12)), lang) for letters, lang in (("abcd", "xx"), ("cdef", "yy")) for _ in range(30)]
+    frame = spark.createDataFrame(texts, "text string, lang string")
+    once = languages.train(frame, sample=25)
+    again = languages.train(frame.union(frame.where("lang = 'xx'").limit(1).crossJoin(spark.range(400)).drop("id")), sample=25)
+    assert once["names"] == again["names"] == ["xx", "yy"] and once["slope"] == again["slope"] and once["offset"] == again["offset"]
+    assert all((a == b).all() for x, y in zip(once["models"], again["models"], strict=True) for a, b in zip(x, y, strict=True))
+    got = {g.text: g for g in languages.identify(frame, once).collect()}
+    assert sum(got[t].lang_pred == lang for t, lang in texts) >= 57
+
+
+def test_many_matches_in_one_text(spark):
+    n = 60_000
+    text = " ".join(f"token={k:08d}" for k in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "token=abc token=abcdef, password: 12345678")], "doc_id long, text string")
+    _, found, _ = secret_scan.scan(docs, "doc_id", "text")
+    got = found.where("kind = 'assign'").groupBy("blob").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last"), F.sum(F.col("end") - F.col("start")).alias("size")).collect()
+    assert sorted((g.n, g.first, g.last, g["size"]) for g in got) == [(2, 10, 42, 30), (n, 0, len(text), 14 * n)]
+
+
+def test_places_of_very_many_identical_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FEW", 20)
+    rows = [(7, "one text", "s")] * 500 + [(k, f"text {k}", "s") for k in range(50)] + [(3, "text 3", "s")] * 5 + [(None, None, None)] * 40
+    docs = _frame(spark, rows)
+    got = sharding.place(docs, 7)
+    assert got.columns == [c for c in docs.columns if c != "slot"] + ["shard", "slot"]
+    taken = [(r.shard, r.slot) for r in got.collect()]
+    assert len(taken) == len(rows) == len(set(taken))
+    assert sorted(got.groupBy("doc_id", "text").count().collect(), key=str) == sorted(docs.groupBy("doc_id", "text").count().collect(), key=str)
+
+
+def test_texts_of_very_many_lines_teach_nothing(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    rows = [(k, ("good words in a line\n" if k % 2 else "x1 $$ ## 77\n") * 5) for k in range(40)]
+    base = spark.createDataFrame(rows[:39], "doc_id long, text string")
+    long = spark.createDataFrame([(39, "\n" * 5000)], "doc_id long, text string")
+    one, two = (quality.train(d, labels, sample_lines=1000) for d in (base, base.union(long)))
+    assert all(np.array_equal(a, b) for a, b in zip(one["field"], two["field"], strict=True))
+    scores = {r.doc_id: r.score for r in quality.score(base.union(long), two).collect()}
+    assert len(scores) == 40 and all(0 <= x <= 1 for x in scores.values())
+
+
+def test_stretches_of_a_long_text_agree(monkeypatch):
+    r = np.random.default_rng(1)
+    text = " ".join(f"w{k}" for k in r.integers(0, 30, 3000)).encode()
+    whole = substrings.segments(Words([text, text]))
+    monkeypatch.setattr(substrings, "STRETCH", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, substrings.segments(Words([text, text])), strict=True))
 
 
 def test_a_very_long_text(spark):
