@@ -35,7 +35,7 @@ METHODS: dict[str, dict[str, Callable]] = {
     "distance": {"euclidean": geometry.distance, "slope": geometry.slope_percent, "angle": geometry.slope_angle, "geodesic": geodesy.geodesic},
     "visibility": {"line_of_sight": visibility.line_of_sight, "viewshed": visibility.viewshed, "intervisibility": visibility.intervisibility, "network": visibility.network},
     "quality": {"rmse": survey.rmse, "control_points": survey.control_points, "precision": survey.precision, "completeness": survey.completeness, "correctness": survey.correctness, "registration": survey.registration_quality, "cloud_to_cloud": neighbours.cloud_to_cloud, "cloud_to_mesh": meshes.cloud_to_mesh, "hausdorff": neighbours.hausdorff, "chamfer": neighbours.chamfer},
-    "detector": {"clusters": features.detect, "embankments": features.embankments, "drainage": lines.drainage, "channels": lines.channels, "breaklines": lines.break_lines, "curbs": lines.curbs, "slope_changes": lines.slope_changes, "contours": lines.contour_lines},
+    "detector": {"clusters": features.detect, "features": features.detected, "roofs": features.roofs, "embankments": features.embankments, "drainage": lines.drainage, "channels": lines.channels, "breaklines": lines.break_lines, "curbs": lines.curbs, "slope_changes": lines.slope_changes, "contours": lines.contour_lines},
 }
 
 
