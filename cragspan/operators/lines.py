@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragspan.functions import geometry as g
 from cragspan.operators import terrain
 from cragspan.operators.neighbours import spread_components
+from cragspan.plans.storage import materialise
 
 
 def walk(edges: list[tuple[int, int]]) -> Iterator[list[int]]:
@@ -43,16 +43,46 @@ def walk(edges: list[tuple[int, int]]) -> Iterator[list[int]]:
 
 
 def chains(edges: DataFrame) -> DataFrame:
-    """Polylines of ``edges(a, b)``: ``(chain, place, vid)`` by component, cut where more than two edges meet; ``chain`` is
-    the first polyline's least vertex and its number there.  A task walks one component, which is one connected line."""
-    roots = spread_components(edges, edges.select(F.col("a").alias("pid")).union(edges.select("b")).distinct())
-    rooted = edges.join(roots.select(F.col("pid").alias("a"), "root"), "a")
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(pdf["root"].iloc[0]), n, k, v) for n, path in enumerate(walk(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True)))) for k, v in enumerate(path)]
-        return pd.DataFrame(rows, columns=["root", "part", "place", "vid"])
-
-    return rooted.select("root", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().groupBy("root").applyInPandas(trace, "root long, part int, place int, vid long")
+    """Polylines of ``edges(a, b)``: ``(root, part, place, vid)``, cut where more than two edges meet.
+
+    ``root`` is the least vertex of the connected net, ``part`` numbers its lines from 0 as ``walk`` does: by their first
+    vertex, the lesser of the two ends, and the one after it; closed nets without ends come last and start at their least vertex.
+
+    An edge is two arcs; an arc is followed by the arc that goes on from its end, where just two edges meet.  Arcs get their
+    place by looking twice as far ahead in each round, so a line of n edges takes log2(n) rounds and no task holds it.
+    """
+    once = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "chain-edges")
+    nets = spread_components(once, once.select(F.col("a").alias("pid")).union(once.select("b")).distinct())
+    both = once.union(once.select("b", "a"))
+    degree = both.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("degree"), F.min("b").alias("low"), F.max("b").alias("high"))
+    on = F.when(F.col("degree") == 2, F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")))
+    arcs = both.join(degree.withColumnRenamed("v", "b"), "b").select("a", "b", on.alias("c"))
+    arcs = materialise(arcs.select(F.struct("a", "b").alias("arc"), F.when(F.col("c").isNotNull(), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))).alias("on")), "chain-arcs")
+
+    # arcs that follow each other, without any that ends: a closed line, cut before the arc from its least vertex to the lesser neighbour
+    lines = spread_components(arcs.where("on is not null").select(F.col("arc").alias("a"), F.col("on").alias("b")), arcs.select(F.col("arc").alias("pid")))
+    named = materialise(arcs.join(lines.withColumnRenamed("pid", "arc"), "arc").withColumnRenamed("root", "line"), "chain-lines")
+    kinds = named.groupBy("line").agg(F.count("*").alias("n"), (F.count_if(F.col("on").isNull()) == 0).alias("closed"), F.min("arc").alias("first"))
+    cut = named.join(kinds, "line").withColumn("on", F.when(~F.col("closed") | (F.col("on") != F.col("first")), F.col("on")))
+
+    reach = materialise(cut.select("arc", "line", "n", "closed", "on", F.lit(0).cast("long").alias("after")), "chain-reach")
+    done = reach.where("on is null")
+    ahead = reach.where("on is not null")
+    while not ahead.isEmpty():
+        every = reach.select(F.col("arc").alias("on"), F.col("on").alias("_on"), F.col("after").alias("_after"))
+        step = F.col("_after") + 1
+        reach = materialise(done.unionByName(ahead.join(every, "on").select("arc", "line", "n", "closed", F.col("_on").alias("on"), (F.col("after") + step).alias("after"))), "chain-reach")
+        done, ahead = reach.where("on is null"), reach.where("on is not null")
+
+    placed = materialise(reach.select("line", "closed", (F.col("n") - 1 - F.col("after")).alias("place"), F.col("arc.a").alias("a"), F.col("arc.b").alias("b"), F.col("n")), "chain-placed")
+    ends = placed.groupBy("line").agg(F.min(F.when(F.col("place") == 0, F.struct("a", "b"))).alias("head"), F.min(F.when(F.col("place") == F.col("n") - 1, F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("tail"), F.first("closed").alias("closed"))
+    # each line runs both ways: an open one is kept from its lesser end, a closed one towards the lesser neighbour
+    kept = ends.where("head < tail").join(nets.select(F.col("pid").alias("v"), "root"), F.col("head.a") == F.col("v"))
+    order = Window.partitionBy("root").orderBy("closed", "head")
+    parts = kept.select("line", "root", (F.row_number().over(order) - 1).alias("part"))
+    laid = placed.join(parts, "line")
+    last = laid.where(F.col("place") == F.col("n") - 1).select("root", "part", F.col("n").alias("place"), F.col("b").alias("vid"))
+    return laid.select("root", "part", "place", F.col("a").alias("vid")).union(last).select("root", "part", F.col("place").cast("int").alias("place"), "vid")
 
 
 def chain_lines(edges: DataFrame, vertices: DataFrame, least_length: float = 0.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragspan.operators import constrained, ground, triangulate
+from cragspan.operators import constrained, features, ground, triangulate
 from cragspan.plans import queries as q
 from cragspan.plans.features import ORACLE_SQL, QUERIES
 
@@ -85,3 +85,46 @@ _CHAINS = f"CC AS MATERIALIZED (SELECT p.vid AS a, n.vid AS b, p.x AS ax, p.y AS
 _HIDE = """HH AS MATERIALIZED (SELECT DISTINCT p.vid AS a, r.vid AS b FROM PP p JOIN PP r ON p.vid < r.vid JOIN CC c ON ((c.bx-c.ax)*(p.y-c.ay)-(c.by_-c.ay)*(p.x-c.ax)) * ((c.bx-c.ax)*(r.y-c.ay)-(c.by_-c.ay)*(r.x-c.ax)) < 0
  AND ((r.x-p.x)*(c.ay-p.y)-(r.y-p.y)*(c.ax-p.x)) * ((r.x-p.x)*(c.by_-p.y)-(r.y-p.y)*(c.bx-p.x)) < 0 WHERE p.vid NOT IN (c.a, c.b) AND r.vid NOT IN (c.a, c.b))"""
 q._add("constrained_delaunay", _constrained, f"WITH PP AS MATERIALIZED ({_P}), {_CHAINS}, {_HIDE}, {_triangles('DC', 'PP', 'HH')} SELECT v0, v1, v2 FROM DC")
+
+
+def _roof_cloud(k: SparkSession, d: str) -> DataFrame:
+    at = q._table(k, d, "embeddings")
+    e = [F.col("embedding")[i].cast("double") for i in range(6)]
+    size = F.sqrt(e[4] * e[4] + e[5] * e[5] + 1.0)
+    return at.select(F.col("vec_id").alias("pid"), *[(e[i] * 9).alias(a) for i, a in enumerate("xyz")], F.when(F.col("label") % 2 == 0, 6).otherwise(2).alias("classification"), (e[4] / size).alias("nx"), (e[5] / size).alias("ny"), (F.lit(1.0) / size).alias("nz"))
+
+
+def _roofs(k: SparkSession, d: str) -> DataFrame:
+    means = [F.col("attributes")[f"mean_normal_{a}"].cast("double").alias(f"mean_normal_{a}") for a in "xyz"]
+    return q._rounded(features.roofs(_roof_cloud(k, d), 0.5, 4.0, 0.8, 3).select("feature_id", "first", F.col("attributes")["point_count"].cast("long").alias("points"), *means))
+
+
+q._add("roofs", _roofs, """WITH RECURSIVE W AS (SELECT vec_id AS pid, embedding[1]::DOUBLE*9 AS x, embedding[2]::DOUBLE*9 AS y, embedding[5]::DOUBLE AS e4, embedding[6]::DOUBLE AS e5 FROM embeddings WHERE label % 2 = 0),
+B AS (SELECT pid, x, y, e4/sqrt(e4*e4+e5*e5+1) AS nx, e5/sqrt(e4*e4+e5*e5+1) AS ny, 1/sqrt(e4*e4+e5*e5+1) AS nz FROM W),
+U AS (SELECT * FROM B WHERE nz >= 0.5),
+L AS (SELECT a.pid AS a, b.pid AS b FROM U a JOIN U b ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 0.64 AND a.nx*b.nx+a.ny*b.ny+a.nz*b.nz >= cos(radians(4))),
+R AS (SELECT pid, pid AS root FROM U UNION SELECT L.b, R.root FROM R JOIN L ON L.a = R.pid WHERE R.root < L.b),
+M AS (SELECT pid, min(root) AS root FROM R GROUP BY 1),
+S AS (SELECT root AS first, count(*) AS points, avg(nx) AS mx, avg(ny) AS my, avg(nz) AS mz FROM M JOIN U USING (pid) GROUP BY 1 HAVING count(*) >= 3)
+SELECT row_number() OVER (ORDER BY first) AS feature_id, first, points, round(mx/sqrt(mx*mx+my*my+mz*mz),6) AS mean_normal_x, round(my/sqrt(mx*mx+my*my+mz*mz),6) AS mean_normal_y, round(mz,6) AS mean_normal_z FROM S""")
+
+
+def _detected(k: SparkSession, d: str) -> DataFrame:
+    from cragspan.plans.features import _classified
+
+    found = features.detected(_classified(k, d))
+    return q._rounded(found.select("feature_type", "feature_id", "first", "category", "geometry_type", "closed", "confidence", F.size("vertices").cast("long").alias("corners"), F.col("vertices")[0]["z"].alias("z"), F.col("attributes")["point_count"].cast("long").alias("points")), 5)
+
+
+_PLACES = ", ".join(f"('{k}', '{c}', '{g}', {repr(p) if p else 'NULL'})" for k, (c, g, p) in features.GEOMETRY.items())
+_CLUSTERS, _KEPT = ORACLE_SQL["detect_features"].split("\nSELECT detector, first, points,")
+QUERIES["detected_features"] = _detected
+ORACLE_SQL["detected_features"] = f"""{_CLUSTERS},
+GG(detector, category, kind, place) AS (VALUES {_PLACES}),
+KK AS (SELECT B.*, category, kind, place FROM B JOIN GG USING (detector) {_KEPT[_KEPT.index("WHERE points"):]}),
+CP AS (SELECT KK.detector, KK.first, Q.pid, Q.x, Q.y, Q.z FROM KK JOIN M ON M.detector = KK.detector AND M.root = KK.first JOIN Q ON Q.detector = M.detector AND Q.pid = M.pid),
+HE AS (SELECT a.detector, a.first, a.pid AS p, b.pid AS r, count(*) FILTER ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) < 0) AS beyond FROM CP a JOIN CP b ON a.detector = b.detector AND a.first = b.first AND a.pid <> b.pid JOIN CP c ON c.detector = a.detector AND c.first = a.first AND c.pid <> a.pid AND c.pid <> b.pid GROUP BY ALL),
+HC AS (SELECT detector, first, count(*) AS corners FROM HE WHERE beyond = 0 GROUP BY 1, 2),
+ZZ AS (SELECT detector, first, quantile_cont(z, 0.5) AS med, min(z) AS low, avg(z) AS mean FROM CP GROUP BY 1, 2)
+SELECT detector AS feature_type, row_number() OVER (PARTITION BY detector ORDER BY first) AS feature_id, first, category, kind AS geometry_type, kind = 'polygon' AS closed, 1.0::DOUBLE AS confidence,
+ CASE kind WHEN 'polygon' THEN corners ELSE 1 END AS corners, round(CASE WHEN kind = 'polygon' THEN med WHEN place = 'lowest' THEN low ELSE mean END, 5) AS z, points FROM KK JOIN HC USING (detector, first) JOIN ZZ USING (detector, first)"""
