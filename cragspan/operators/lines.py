@@ -42,6 +42,21 @@ def walk(edges: list[tuple[int, int]]) -> Iterator[list[int]]:
             yield path
 
 
+def _ranked(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(arc, end, after)`` of each of ``arcs(arc, on)``: the last arc that it leads to, and how many come after it; and the arcs that lead in circles."""
+    at_end = F.when(F.col("on").isNull(), F.col("arc"))
+    reach, left = materialise(arcs.select("arc", "on", F.lit(0).cast("long").alias("after"), at_end.alias("end")), "chain-reach"), -1
+    while True:
+        done, ahead = reach.where("on is null"), reach.where("on is not null")
+        number = ahead.count()
+        if number in (0, left):  # each round settles at least one arc of any line with an end
+            return done.select("arc", "end", "after"), ahead.select("arc")
+        left = number
+        there = reach.select(F.col("arc").alias("on"), F.col("on").alias("_on"), F.col("after").alias("_after"), F.col("end").alias("_end"))
+        step = ahead.join(there, "on").select("arc", F.col("_on").alias("on"), (F.col("after") + F.col("_after") + 1).alias("after"), F.col("_end").alias("end"))
+        reach = materialise(done.unionByName(step), "chain-reach")
+
+
 def chains(edges: DataFrame) -> DataFrame:
     """Polylines of ``edges(a, b)``: ``(root, part, place, vid)``, cut where more than two edges meet.
 
@@ -59,22 +74,17 @@ def chains(edges: DataFrame) -> DataFrame:
     arcs = both.join(degree.withColumnRenamed("v", "b"), "b").select("a", "b", on.alias("c"))
     arcs = materialise(arcs.select(F.struct("a", "b").alias("arc"), F.when(F.col("c").isNotNull(), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))).alias("on")), "chain-arcs")
 
-    # arcs that follow each other, without any that ends: a closed line, cut before the arc from its least vertex to the lesser neighbour
-    lines = spread_components(arcs.where("on is not null").select(F.col("arc").alias("a"), F.col("on").alias("b")), arcs.select(F.col("arc").alias("pid")))
-    named = materialise(arcs.join(lines.withColumnRenamed("pid", "arc"), "arc").withColumnRenamed("root", "line"), "chain-lines")
-    kinds = named.groupBy("line").agg(F.count("*").alias("n"), (F.count_if(F.col("on").isNull()) == 0).alias("closed"), F.min("arc").alias("first"))
-    cut = named.join(kinds, "line").withColumn("on", F.when(~F.col("closed") | (F.col("on") != F.col("first")), F.col("on")))
-
-    reach = materialise(cut.select("arc", "line", "n", "closed", "on", F.lit(0).cast("long").alias("after")), "chain-reach")
-    done = reach.where("on is null")
-    ahead = reach.where("on is not null")
-    while not ahead.isEmpty():
-        every = reach.select(F.col("arc").alias("on"), F.col("on").alias("_on"), F.col("after").alias("_after"))
-        step = F.col("_after") + 1
-        reach = materialise(done.unionByName(ahead.join(every, "on").select("arc", "line", "n", "closed", F.col("_on").alias("on"), (F.col("after") + step).alias("after"))), "chain-reach")
-        done, ahead = reach.where("on is null"), reach.where("on is not null")
-
-    placed = materialise(reach.select("line", "closed", (F.col("n") - 1 - F.col("after")).alias("place"), F.col("arc.a").alias("a"), F.col("arc.b").alias("b"), F.col("n")), "chain-placed")
+    open_, circular = _ranked(arcs)
+    found = open_.withColumn("closed", F.lit(False))
+    if not circular.isEmpty():  # closed lines are cut before the arc from the least vertex to the lesser neighbour
+        rings = arcs.join(circular, "arc", "left_semi")
+        named = spread_components(rings.select(F.col("arc").alias("a"), F.col("on").alias("b")), circular.select(F.col("arc").alias("pid")))
+        cut = rings.join(named.withColumnRenamed("pid", "arc"), "arc").select("arc", F.when(F.col("on") != F.col("root"), F.col("on")).alias("on"))
+        found = found.union(_ranked(cut)[0].withColumn("closed", F.lit(True)))
+    found = materialise(found, "chain-found")
+    sizes = found.groupBy(F.col("end").alias("line")).agg((F.max("after") + 1).alias("n"))
+    placed = found.withColumnRenamed("end", "line").join(sizes, "line")
+    placed = materialise(placed.select("line", "closed", (F.col("n") - 1 - F.col("after")).alias("place"), F.col("arc.a").alias("a"), F.col("arc.b").alias("b"), "n"), "chain-placed")
     ends = placed.groupBy("line").agg(F.min(F.when(F.col("place") == 0, F.struct("a", "b"))).alias("head"), F.min(F.when(F.col("place") == F.col("n") - 1, F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("tail"), F.first("closed").alias("closed"))
     # each line runs both ways: an open one is kept from its lesser end, a closed one towards the lesser neighbour
     kept = ends.where("head < tail").join(nets.select(F.col("pid").alias("v"), "root"), F.col("head.a") == F.col("v"))
