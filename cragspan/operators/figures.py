@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cragspan.operators.survey import COMMANDS, runs_of
+from cragspan.operators.survey import COMMANDS, numbered, runs_of
 
 #: The least vertices of each geometry.
 LEAST_VERTICES = {"point": 1, "polyline": 2, "polygon": 3, "mesh": 3}
@@ -101,16 +101,16 @@ def build(points: DataFrame, catalog: DataFrame, tolerance: float = 0.0, grammar
     lines = judged.where("reason is null and geometry_type in ('line', 'polygon')").withColumn("closed", F.col("closed") | F.coalesce("_always", F.lit(False)) | is_closed(F.col("vertices"), tolerance))
     singles = judged.where("geometry_type in ('point', 'symbol')").withColumn("v", F.explode("vertices")).withColumns({"vertices": F.array("v"), "last": F.col("v.ord"), "closed": F.lit(False)})
     wanted = ["survey", "last", F.col("base").alias("code"), "name", "layer", "category", "feature_type", _lookup(CATALOG_GEOMETRY, F.col("geometry_type")).alias("geometry_type"), "vertices", "closed"]
-    features = renumber(lines.select(*wanted).union(singles.select(*wanted)), ["survey"], ["last", "code"]).drop("last")
+    features = renumber(lines.select(*wanted).union(singles.select(*wanted)), "survey", "last", "code").drop("last")
     whole = judged.where("reason is not null").select("survey", F.col("base").alias("code"), "reason", F.size("vertices").cast("long").alias("points"), F.col("shape").alias("first"))
     lone = assembled.where("reason is not null and reason <> 'unclosed_figure'").select("survey", F.when(F.col("kind") == "figure", F.concat_ws(".", "base", "figure")).otherwise(F.col("code")).alias("code"), "reason", F.lit(1).cast("long").alias("points"), F.col("ord").alias("first"))
     left = assembled.where("reason = 'unclosed_figure'").groupBy("survey", F.concat_ws(".", "base", "figure").alias("code"), "reason").agg(F.count("*").alias("points"), F.min("ord").alias("first"))
     return features, ground, whole.union(lone).union(left)
 
 
-def renumber(features: DataFrame, within: list[str], order: list[str], out: str = "feature_id") -> DataFrame:
-    """Ids from 1 in the given order."""
-    return features.withColumn(out, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
+def renumber(features: DataFrame, within: str, order: str, *then: str, out: str = "feature_id") -> DataFrame:
+    """Ids from 1 within ``within`` in the given order, whose first column is a whole number."""
+    return numbered(features, within, order, out, *then)
 
 
 def bounds(features: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cragspan.operators import cloud as c
 from cragspan.operators.neighbours import knn, local_density
+from cragspan.plans.storage import materialise
 
 #: The most neighbours of an adaptive search, and the bounds of an adaptive linking distance.
 MOST_NEIGHBOURS = 128
@@ -82,10 +83,12 @@ def adaptive_eps(cloud: DataFrame, eps: float, k: int) -> DataFrame:
 
 
 def chained(cloud: DataFrame, steps: list[tuple[str, object]]) -> tuple[DataFrame, DataFrame]:
-    """``(cloud, steps)``: filters ``(name, function of a cloud)`` one after the other, and a row for each with the points before and after it."""
+    """``(cloud, steps)``: filters ``(name, function of a cloud)`` one after the other, and a row for each with the points before and after it.
+
+    Each filter's result is written, so that none is run twice."""
     counts, before = [], cloud.count()
     for k, (name, step) in enumerate(steps):
-        cloud = step(cloud)
+        cloud = materialise(step(cloud), "chained")
         after = cloud.count()
         counts.append((k, name, before, after))
         before = after

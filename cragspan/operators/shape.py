@@ -37,10 +37,11 @@ def weighted_covariance(cloud: DataFrame, k: int, sigma: float | None = None) ->
     return materialise(sums.select("pid", *[((F.col(f"m{a}{b}") - F.col(f"m{a}") * F.col(f"m{b}") / w) / k).alias(f"c{a}{b}") for a, b in _PAIRS]), "moments")
 
 
-def covariance(cloud: DataFrame, k: int) -> DataFrame:
-    """``(pid, cxx, cxy, cxz, cyy, cyz, czz)`` of the k nearest points, the point itself included, divided by their number."""
-    near = knn(cloud, cloud, k).select("pid", "nid")
-    at = cloud.select("pid", *[F.col(a).alias(f"p{a}") for a in "xyz"])
+def covariance(cloud: DataFrame, k: int, wanted: DataFrame | None = None) -> DataFrame:
+    """``(pid, cxx, cxy, cxz, cyy, cyz, czz)`` of the k nearest points, the point itself included, divided by their number; of all points or of those in ``wanted``."""
+    asked = cloud if wanted is None else wanted
+    near = knn(asked, cloud, k).select("pid", "nid")
+    at = asked.select("pid", *[F.col(a).alias(f"p{a}") for a in "xyz"])
     other = cloud.select(F.col("pid").alias("nid"), "x", "y", "z")
     # measured from the point, so that far coordinates lose no digits
     off = near.join(at, "pid").join(other, "nid").select("pid", *[(F.col(a) - F.col(f"p{a}")).alias(a) for a in "xyz"])
@@ -68,7 +69,8 @@ def eigenvalues(moments: DataFrame) -> DataFrame:
 
 def normals_at(cloud: DataFrame, pids: DataFrame, k: int) -> DataFrame:
     """The normals of the points whose ids ``pids(pid)`` lists."""
-    return normals(cloud, k).join(pids.select("pid").distinct(), "pid", "left_semi")
+    wanted = cloud.join(pids.select("pid").distinct(), "pid", "left_semi")
+    return normals(wanted, k, moments=covariance(cloud, k, wanted))
 
 
 def weighted_normals(cloud: DataFrame, k: int, sigma: float | None = None, viewpoint: tuple[float, float, float] | None = None) -> DataFrame:

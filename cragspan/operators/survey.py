@@ -41,12 +41,12 @@ def runs(points: DataFrame, survey: str = "survey") -> DataFrame:
     return numbered(each, survey, "first", "run").drop("shape")
 
 
-def numbered(rows: DataFrame, group: str, order: str, out: str) -> DataFrame:
-    """Numbers from 1 by ``order`` within ``group``: within slices of it, and added up over the slices."""
+def numbered(rows: DataFrame, group: str, order: str, out: str, *then: str) -> DataFrame:
+    """Numbers from 1 by ``order`` (and ``then``) within ``group``: within slices of it, and added up over the slices."""
     cut = rows.withColumn("_slice", F.expr(f"cast({order} div {SLICE_POINTS} as long)"))
     counts = cut.groupBy(group, "_slice").agg(F.count("*").alias("_n"))
     before = counts.select(group, "_slice", (F.sum("_n").over(Window.partitionBy(group).orderBy("_slice")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order))
+    inside = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(order, *then))
     return cut.withColumn("_inside", inside).join(before, [group, "_slice"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_slice", "_inside", "_before")
 
 

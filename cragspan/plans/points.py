@@ -75,9 +75,10 @@ QUERIES["building_segments"] = lambda k, d: segments.buildings(_far(k, d), 0.05,
 
 def _learned(k: SparkSession, d: str, boosted: bool) -> DataFrame:
     kinds = F.element_at(F.create_map(*[F.lit(x) for kv in (("click", 0), ("view", 1), ("error", 2)) for x in kv]), F.col("event_type"))
-    points = q.event_cloud(k, d).withColumn("label", kinds).where("label is not null")
+    every = q.event_cloud(k, d).withColumn("label", kinds)
+    points = every.where("label is not null and pid % 5 <> 0")  # a fifth of the labelled points is held out
     fit = classify.gradient_boost(points, list("xyz"), rounds=5, depth=3) if boosted else classify.random_forest(points, list("xyz"), trees=20, depth=5)
-    return classify.predict(points, fit).select("pid", "predicted")
+    return classify.predict(every.drop("label"), fit).select("pid", "predicted")
 
 
 QUERIES["random_forest"] = lambda k, d: _learned(k, d, False)

@@ -88,11 +88,16 @@ def table_bounds(features: DataFrame) -> DataFrame:
     return each.groupBy("category", "family").agg(*[(F.min if n == "min" else F.max)(f"{n}_{a}").alias(f"{n}_{a}") for a in "xy" for n in ("min", "max")], F.count("*").alias("features"))
 
 
+#: How the tables of a family end, and the columns of a table of features (in ``_tables``).
+ENDINGS = {"POINT": "point", "LINESTRING": "line", "POLYGON": "polygon", "MULTIPOLYGON": "multipolygon"}
+
+
 def _tables(name: str, kind: str) -> list[str]:
     columns = "fid INTEGER PRIMARY KEY AUTOINCREMENT, geom " + kind + ", feature_id INTEGER, feature_type TEXT NOT NULL, category TEXT NOT NULL, survey_code TEXT, survey_name TEXT, cad_layer TEXT, confidence REAL, producer TEXT, producer_version TEXT, attributes_json TEXT"
     return [f'CREATE TABLE "{name}" ({columns})', f'CREATE VIRTUAL TABLE "rtree_{name}_geom" USING rtree(id, minx, maxx, miny, maxy)']
 
 
+#: The system tables of the standard.
 _SYSTEM = [
     "CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT)",
     "CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ', 'now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER REFERENCES gpkg_spatial_ref_sys(srs_id))",
@@ -118,7 +123,10 @@ def write(features: DataFrame, folder: str, epsg: int, producer: str = "cragspan
     rows = features.select(F.col("feature_id").cast("long").alias("feature_id"), "feature_type", "category", sound.alias("family"), "vertices", *optional, *split_attributes(attributes))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        local = tempfile.NamedTemporaryFile(suffix=".gpkg", delete=False).name  # SQLite needs a local file; it is moved when done
+        with tempfile.TemporaryDirectory() as scratch:  # SQLite needs a local file; it is copied when done
+            yield from draft(batches, f"{scratch}/features.gpkg")
+
+    def draft(batches: Iterator[pd.DataFrame], local: str) -> Iterator[pd.DataFrame]:
         base = sqlite3.connect(local)
         base.execute(f"PRAGMA application_id = {APPLICATION}")
         base.execute("PRAGMA user_version = 10300")
@@ -132,7 +140,7 @@ def write(features: DataFrame, folder: str, epsg: int, producer: str = "cragspan
         for b in batches:
             for r in b.to_dict("records"):
                 kind = r["family"]
-                table = "".join(c if c.isalnum() else "_" for c in f"{r['category']}_{kind}".lower())
+                table = "".join(c if c.isalnum() else "_" for c in f"{r['category']}_{ENDINGS[kind]}".lower())
                 xs, ys = [v["x"] for v in r["vertices"]], [v["y"] for v in r["vertices"]]
                 ends = [min(xs), min(ys), max(xs), max(ys)]
                 if table not in boxes:
@@ -156,13 +164,12 @@ def write(features: DataFrame, folder: str, epsg: int, producer: str = "cragspan
             system_, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
             system_.create_dir(root, recursive=True)
             final = f"part-{TaskContext.get().partitionId():05d}.gpkg"  # a second attempt replaces the first
-            draft = f"{root}/.{uuid.uuid4().hex}"
-            with open(local, "rb") as f, system_.open_output_stream(draft) as out:
+            hidden = f"{root}/.{uuid.uuid4().hex}"
+            with open(local, "rb") as f, system_.open_output_stream(hidden) as out:
                 while part := f.read(1 << 22):
                     out.write(part)
-            system_.move(draft, f"{root}/{final}")
+            system_.move(hidden, f"{root}/{final}")
             yield pd.DataFrame({"file": [final], "features": [count]})
-        os.remove(local)
 
     done = rows.mapInPandas(fill, "file string, features long").collect()  # a row a file
     return features.sparkSession.createDataFrame(done, "file string, features long")
