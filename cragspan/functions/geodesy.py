@@ -6,10 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from cragspan.operators.survey import numbered
+from cragspan.plans.storage import materialise
+
 #: WGS 84 semi-major axis and flattening; the scale, false easting and false northing of UTM.
 AXIS, FLATTENING = 6_378_137.0, 1 / 298.257223563
 UTM_SCALE, UTM_EAST, UTM_NORTH = 0.9996, 500_000.0, 10_000_000.0
@@ -226,3 +229,65 @@ def geodesic_end(lat: pd.Series, lon: pd.Series, azimuth: pd.Series, length: pd.
     east = lon.to_numpy(float) + np.degrees(turn)
     out = np.degrees(np.arctan2(alpha, -np.sin(u) * np.sin(sigma) + np.cos(u) * np.cos(sigma) * np.cos(a1)))
     return pd.DataFrame({"lat": np.degrees(end), "lon": (east + 180) % 360 - 180, "azimuth": out % 360})
+
+
+#: Area of the ellipsoid divided by 4 pi, and the nodes and weights by which an edge is integrated.
+_E = math.sqrt(_E2)
+AUTHALIC = AXIS * AXIS / 2 * (1 + (1 - _E2) * math.atanh(_E) / _E)
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(20)
+
+
+@F.pandas_udf(DoubleType())
+def area_below(lat0: pd.Series, lon0: pd.Series, lat1: pd.Series, lon1: pd.Series) -> pd.Series:
+    """The area between a shortest line and the equator in square metres, positive eastwards on the northern half.
+
+    On the auxiliary sphere it is the closed form of the great circle's, times the authalic radius squared; what the
+    ellipsoid adds is smooth along the line and is summed over 20 nodes.  Longitudes may differ by any number of turns; a
+    line runs the shorter way round.  Nearly antipodal ends, whose line is not settled, give no number.
+    """
+    wide = np.radians(((lon1 - lon0).to_numpy(float) + 180) % 360 - 180)
+    u0, u1 = (np.arctan((1 - FLATTENING) * np.tan(np.radians(v.to_numpy(float)))) for v in (lat0, lat1))
+    turn = wide
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for _ in range(60):
+            across = np.cos(u1) * np.sin(turn)
+            sine, cosine = np.hypot(across, np.cos(u0) * np.sin(u1) - np.sin(u0) * np.cos(u1) * np.cos(turn)), np.sin(u0) * np.sin(u1) + np.cos(u0) * np.cos(u1) * np.cos(turn)
+            sigma = np.arctan2(sine, cosine)
+            alpha = np.where(sine > 0, np.cos(u0) * across / sine, 0.0)
+            square = 1 - alpha * alpha
+            m = np.where(square > 1e-15, cosine - 2 * np.sin(u0) * np.sin(u1) / square, 0.0)
+            c = FLATTENING / 16 * square * (4 + FLATTENING * (4 - 3 * square))
+            last, turn = turn, wide + (1 - c) * FLATTENING * alpha * (sigma + c * sine * (m + c * cosine * (2 * m * m - 1)))
+            moved = np.abs(turn - last)
+            if not (moved > 1e-13).any():
+                break
+        t0, t1 = np.tan(u0 / 2), np.tan(u1 / 2)
+        total = AUTHALIC * 2 * np.arctan2(np.tan(turn / 2) * (t0 + t1), 1 + t0 * t1)
+        for node, weight in zip(NODES, WEIGHTS, strict=True):
+            t = (node + 1) / 2
+            z = np.where(sine > 1e-12, (np.sin((1 - t) * sigma) * np.sin(u0) + np.sin(t * sigma) * np.sin(u1)) / sine, np.sin(u0) + t * (np.sin(u1) - np.sin(u0)))
+            flat = np.maximum(1 - z * z, 0.0)
+            w = np.sqrt(1 - _E2 * flat)
+            s = z / w
+            under = AXIS * AXIS * (1 - _E2) / 2 * (s / (1 - _E2 * s * s) + np.arctanh(_E * s) / _E)
+            total = total + weight / 2 * np.where(flat > 1e-18, (under * w - AUTHALIC * z) / flat, 0.0) * alpha * sigma
+    return pd.Series(np.where(moved <= 1e-9, total, np.nan)).where(lambda v: v.notna(), None)
+
+
+def polygon_areas(corners: DataFrame) -> DataFrame:
+    """``(polygon, area)`` in square metres on the ellipsoid of ``corners(polygon, seq, lat, lon)``, joined by shortest lines in the order of ``seq``.
+
+    ``seq`` is a whole number; the last corner joins the first.  The area is that of the side without the poles, or with one
+    pole if the ring goes round it, whichever way round the ring runs; of a ring over the antimeridian as of any other.
+    Fewer than three corners have area 0.
+    """
+    placed = numbered(corners.select("polygon", "seq", "lat", "lon"), "polygon", "seq", "n")
+    size = placed.groupBy("polygon").agg(F.count("*").alias("size"))
+    placed = materialise(placed.join(size, "polygon").select("polygon", "n", "size", "lat", "lon"), "rings")
+    following = placed.select("polygon", F.when(F.col("n") == 1, F.col("size")).otherwise(F.col("n") - 1).alias("n"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    edges = placed.join(following, ["polygon", "n"])
+    east = F.pmod(F.col("lon1") - F.col("lon") + 180, F.lit(360.0)) - 180
+    sums = edges.groupBy("polygon").agg(F.sum(area_below("lat", "lon", "lat1", "lon1")).alias("s"), F.round(F.sum(east) / 360).alias("turns"))
+    half = 2 * math.pi * AUTHALIC
+    around = F.when(F.abs("turns") % 2 == 1, half - F.abs("s")).otherwise(F.abs("s"))
+    return sums.select("polygon", around.alias("area"))

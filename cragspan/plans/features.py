@@ -132,3 +132,26 @@ q._add("local_plane", lambda k, d: q._rounded(q.event_cloud(k, d).select("pid",
 q._add("precision", lambda k, d: q._rounded(survey.precision(q._residuals(k, d).select(*[F.col(f"d{a}").alias(a) for a in "xyz"]), 1.96, (0.02, 0.03, 0.04))), f"WITH {q._RES}, Z AS (SELECT stddev_samp(dx) AS sx, stddev_samp(dy) AS sy, stddev_samp(dz) AS sz, avg(dx) AS mx, avg(dy) AS my, avg(dz) AS mz, count(*) AS n FROM D) SELECT round(sx,6) AS std_x, round(sy,6) AS std_y, round(sz,6) AS std_z, round(mx,6) AS mean_x, round(my,6) AS mean_y, round(mz,6) AS mean_z, n, round(1.96::DOUBLE*sx/sqrt(n),6) AS margin_x, round(1.96::DOUBLE*sy/sqrt(n),6) AS margin_y, round(1.96::DOUBLE*sz/sqrt(n),6) AS margin_z, sx<=0.02 AND sy<=0.03 AND sz<=0.04 AS within FROM Z")
 q._add("registration_quality", lambda k, d: q._rounded(survey.registration_quality(q._residuals(k, d).select(F.abs("dz").alias("distance")), 0.1)), f"WITH {q._RES} SELECT round(count(*) FILTER (abs(dz)<=0.1)/count(*),6) AS fitness, round(sqrt(avg(dz*dz)),6) AS rmse, round(avg(abs(dz)),6) AS mean, round(max(abs(dz)),6) AS worst FROM D")
 q._add("completeness_of_grids", lambda k, d: q._rounded(survey.completeness_of_grids(q._cells(k, d, "click"), q._cells(k, d, "view"))), "WITH a AS (SELECT DISTINCT floor(y/10) AS r, floor(x/24) AS c, 1 AS hit FROM EV WHERE event_type='click'), b AS (SELECT DISTINCT floor(y/10) AS r, floor(x/24) AS c FROM EV WHERE event_type='view') SELECT count(hit) AS covered, count(*) AS cells, round(count(hit)/count(*),6) AS completeness FROM b LEFT JOIN a ON a.r=b.r AND a.c=b.c")
+
+
+def _areas(k: SparkSession, d: str) -> DataFrame:
+    i = F.col("c_custkey")
+    lat, lon = (i * 7 % 120 - 60).cast("double"), (i * 13 % 340 - 170).cast("double")
+    at = [(lat, lon), (lat, lon + 3 + i % 5), (lat + 2 + i % 3, lon + 2 + i % 5), (lat + 1, lon + 0.5)]
+    corners = F.array(*[F.struct(F.lit(n).cast("long").alias("seq"), a.alias("lat"), o.alias("lon")) for n, (a, o) in enumerate(at)])
+    rings = q._table(k, d, "customer").select(i.alias("polygon"), F.explode(corners).alias("c")).select("polygon", "c.*")
+    return geo.polygon_areas(rings).select(F.col("polygon").alias("id"), F.round(F.col("area") / 1e6, 3).alias("square_km"))
+
+
+_A, _e2 = f"{geo.AXIS}::DOUBLE", f"{geo._E2!r}::DOUBLE"
+_RINGS = """R0 AS (SELECT c_custkey AS id, (c_custkey*7 % 120 - 60)::DOUBLE AS lat, (c_custkey*13 % 340 - 170)::DOUBLE AS lon, c_custkey % 5 AS f, c_custkey % 3 AS g FROM customer),
+R1 AS (SELECT id, k, list_extract([lat, lat, lat+2+g, lat+1], k) AS lat, list_extract([lon, lon+3+f, lon+2+f, lon+0.5::DOUBLE], k) AS lon FROM R0, (SELECT unnest([1,2,3,4]) AS k)),
+R2 AS (SELECT a.id * 4 + a.k AS id, a.lat AS la, b.lat AS lb, radians(b.lon - a.lon) AS w FROM R1 a JOIN R1 b ON a.id = b.id AND b.k = a.k % 4 + 1)"""
+_NODES = ", ".join(f"({x!r}::DOUBLE, {w!r}::DOUBLE)" for x, w in zip(geo.NODES.tolist(), geo.WEIGHTS.tolist(), strict=True))
+q._add("geodesic_areas", _areas, f"""WITH {_RINGS}, T0 AS (SELECT id, atan((1-{_f}::DOUBLE)*tan(radians(la))) AS u0, atan((1-{_f}::DOUBLE)*tan(radians(lb))) AS u1, w, w AS t FROM R2), {_TURNS},
+GA AS (SELECT id, u0, u1, t, {_SPHERE} FROM T8), GB AS (SELECT *, cos(u0)*cos(u1)*sin(t)/si AS al, atan2(si,co) AS sg FROM GA), GN(x, wt) AS (VALUES {_NODES}),
+GC AS (SELECT id, al, sg, wt, (sin((1-x)/2*sg)*sin(u0)+sin((1+x)/2*sg)*sin(u1))/si AS zz FROM GB, GN),
+GD AS (SELECT *, 1-zz*zz AS fl, sqrt(1-{_e2}*(1-zz*zz)) AS rr FROM GC), GE AS (SELECT *, zz/rr AS ss FROM GD),
+GF AS (SELECT id, sum(wt/2*({_A}*{_A}*(1-{_e2})/2*(ss/(1-{_e2}*ss*ss)+atanh(sqrt({_e2})*ss)/sqrt({_e2}))*rr-{geo.AUTHALIC!r}::DOUBLE*zz)/fl*al*sg) AS more FROM GE GROUP BY id),
+GG AS (SELECT id, {geo.AUTHALIC!r}::DOUBLE*2*atan2(tan(t/2)*(tan(u0/2)+tan(u1/2)), 1+tan(u0/2)*tan(u1/2)) + more AS s FROM GB JOIN GF USING (id))
+SELECT (id - 1) // 4 AS id, round(abs(sum(s))/1e6, 3) AS square_km FROM GG GROUP BY 1""")
