@@ -57,8 +57,24 @@ def radius_count(cloud: DataFrame, radius: float, axes: str = "xyz") -> DataFram
     return radius_pairs(cloud, cloud, radius, axes).groupBy("pid").agg(F.count("*").alias("neighbours"))
 
 
+def crowded(cloud: DataFrame, radius: float, least: int) -> DataFrame:
+    """``(pid)`` of the points with ``least`` points within the radius, the point itself included.
+
+    Nothing is counted beyond ``least``: a cell whose points are all within the radius of each other settles them by its number,
+    and of all others the ``least``-th nearest is looked at.
+    """
+    celled = materialise(_keyed(cloud.select("pid", *"xyz"), radius / 3**0.5 * (1 - 1e-12), "xyz"), "crowded")
+    full = celled.groupBy("cx", "cy", "cz").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    full = materialise(full, "crowded-full")
+    cells = ["cx", "cy", "cz"]
+    rest = celled.join(full, cells, "left_anti").select("pid", *"xyz")
+    near = knn(rest, cloud, least).where((F.col("rank") == least) & (F.col("d2") <= radius * radius)).select("pid")
+    return celled.join(full, cells, "left_semi").select("pid").union(near)
+
+
 def radius_outliers(cloud: DataFrame, radius: float, least: int) -> DataFrame:
-    return radius_count(cloud, radius).where(F.col("neighbours") >= least)
+    """The points that stay: those with ``least`` points within the radius, themselves included."""
+    return cloud.join(crowded(cloud, radius, least), "pid", "left_semi")
 
 
 def local_density(cloud: DataFrame, radius: float) -> DataFrame:
@@ -274,7 +290,7 @@ def connected_components(cloud: DataFrame, radius: float, least: int) -> DataFra
 
 def dbscan(cloud: DataFrame, radius: float, least: int) -> DataFrame:
     """Cluster of each point (its least core pid), border points in the cluster that starts first, noise -1."""
-    core = materialise(radius_count(cloud, radius).where(F.col("neighbours") >= least).select("pid"), "dbscan-core")
+    core = materialise(crowded(cloud, radius, least), "dbscan-core")
     placed, links = _linked_cells(cloud.join(core, "pid", "left_semi"), radius)
     roots = spread_components(links, placed.select(F.col("node").alias("pid")).distinct()).withColumnRenamed("pid", "node")
     own = materialise(placed.join(roots, "node").select("pid", *"xyz", "root"), "dbscan-own")
