@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _clothoid(s: Column, radius: Column, length: Column) -> tuple[Column, Column]:
+def clothoid(s: Column, radius: Column, length: Column) -> tuple[Column, Column]:
     """Offsets along and across the first tangent after ``s`` of a spiral from straight to ``radius``, by series."""
     theta = s * s / (2 * radius * length)
     along = sum(((-1) ** k / ((4 * k + 1) * math.factorial(2 * k)) * F.pow(theta, F.lit(2 * k)) for k in range(1, 9)), F.lit(1.0))
@@ -25,7 +25,7 @@ def along(s: Column) -> tuple[Column, Column, Column]:
     Kinds are line, arc and spiral; angles are radians from east, and a positive radius turns left.
     """
     h, r = F.col("heading"), F.col("radius")
-    u, v = _clothoid(s, r, F.col("length"))
+    u, v = clothoid(s, r, F.col("length"))
     arc, spiral = F.col("kind") == "arc", F.col("kind") == "spiral"
     x = F.when(arc, r * (F.sin(h + s / r) - F.sin(h))).when(spiral, u * F.cos(h) - v * F.sin(h)).otherwise(s * F.cos(h))
     y = F.when(arc, r * (F.cos(h) - F.cos(h + s / r))).when(spiral, u * F.sin(h) + v * F.cos(h)).otherwise(s * F.sin(h))

@@ -4,6 +4,7 @@ import math
 import sqlite3
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,25 @@ def test_extended_data(spark):
 def test_ply_lines(spark, tmp_path):
     path = _file(tmp_path, "a.ply", "ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n4 5 6\n")
     assert [(r.pid, r.x) for r in binary.read_ply(spark, path).orderBy("pid").collect()] == [(0, 1.0), (1, 4.0)]
+
+
+def test_alignments_round_trip(spark, tmp_path):
+    """Line, spiral into a left arc, arc, spiral out of it, line; and an alignment of a right-hand arc."""
+    rows, x, y, h, at = [], 5.0, -3.0, 0.3, 100.0
+    for kind, length, r0, r1 in (("line", 20.0, None, None), ("spiral", 12.0, None, 40.0), ("arc", 25.0, 40.0, 40.0), ("spiral", 15.0, 40.0, None), ("line", 9.0, None, None)):
+        rows.append(("a<&", kind, at, length, x, y, h, r0, r1))
+        steps = 20_000
+        k0, k1 = (1 / r if r else 0.0 for r in (r0, r1))
+        s = (np.arange(steps) + 0.5) * length / steps
+        way = h + k0 * s + (k1 - k0) * s * s / (2 * length)
+        x, y, h, at = x + float(np.cos(way).sum()) * length / steps, y + float(np.sin(way).sum()) * length / steps, h + length * (k0 + k1) / 2, at + length
+    rows.append(("b", "arc", 0.0, 10.0, 1.0, 2.0, -1.0, -30.0, -30.0))
+    elements = spark.createDataFrame(rows, "alignment string, kind string, start double, length double, x double, y double, heading double, radius double, radius_end double")
+    landxml_out.write_alignments(elements, str(tmp_path / "r"))
+    got = sorted(map(tuple, landxml.read_alignments(spark, str(tmp_path / "r")).collect()))
+    assert [g[:2] for g in got] == [r[:2] for r in sorted(rows)]
+    for g, r in zip(got, sorted(rows), strict=True):
+        for a, b in zip(g[2:], r[2:], strict=True):
+            assert (a is None and b is None) or abs(a - b) < 1e-6
+    with pytest.raises(Exception, match="can't be written"):
+        landxml_out.write_alignments(elements.withColumn("kind", F.lit("loop")), str(tmp_path / "no"))
