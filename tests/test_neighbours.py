@@ -37,8 +37,7 @@ def table(spark, rows, axes):
     return spark.createDataFrame(rows, "pid long, " + ", ".join(f"{a} double" for a in axes)).repartition(4)
 
 
-@pytest.mark.parametrize("axes", ["xyz", "xy"])
-@pytest.mark.parametrize("kind", ["even", "uneven", "lattice"])
+@pytest.mark.parametrize(("kind", "axes"), [("even", "xyz"), ("uneven", "xyz"), ("uneven", "xy"), ("lattice", "xy")])
 def test_leaves_agree_with_a_plain_search(spark, monkeypatch, kind, axes):
     monkeypatch.setattr(neighbours, "LEAF", 20)
     monkeypatch.setattr(neighbours, "QUERIES", 50)
