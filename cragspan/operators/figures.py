@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragspan.operators.survey import COMMANDS, numbered, runs_of
+from cragspan.plans.storage import materialise
 
 #: The least vertices of each geometry.
 LEAST_VERTICES = {"point": 1, "polyline": 2, "polygon": 3, "mesh": 3}
@@ -110,7 +111,7 @@ def build(points: DataFrame, catalog: DataFrame, tolerance: float = 0.0, grammar
 
 def renumber(features: DataFrame, within: str, order: str, *then: str, out: str = "feature_id") -> DataFrame:
     """Ids from 1 within ``within`` in the given order, whose first column is a whole number."""
-    return numbered(features, within, order, out, *then)
+    return numbered(materialise(features, "renumber"), within, order, out, *then)
 
 
 def bounds(features: DataFrame) -> DataFrame:
