@@ -8,6 +8,7 @@ that is left to do.  k-NN works on leaves of bounded counts, which follow the de
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,10 @@ from cragspan.plans.storage import materialise
 LEAF = 2_048
 QUERIES = 8_192
 COMPARED = 2_000_000
+#: Radii along the side of a block of the radius counts, rows of a piece of a crowded block, and distances held at once.
+BLOCK = 3
+PIECE = 200_000
+COUNTED = 131_072
 
 
 def _cells(size: float, axes: str) -> list[Column]:
@@ -45,16 +50,109 @@ def _d2(axes: str) -> Column:
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz", margin: float = 0.0) -> DataFrame:
-    """Pairs ``(pid, nid, d2)`` of points at most ``radius`` apart."""
+    """Pairs ``(pid, nid, d2)`` of points at most ``radius`` apart.
+
+    Sizes are known before the cells around are spread out only, so neither side is left to be broadcast.
+    """
     size = radius + margin
     a = _around(left.select("pid", *axes), size, axes)
     b = _keyed(right.select(F.col("pid").alias("nid"), *axes), size, axes).withColumnsRenamed({x: f"n{x}" for x in axes})
-    return a.join(b, [f"c{x}" for x in axes]).withColumn("d2", _d2(axes)).where(F.col("d2") <= radius * radius).select("pid", "nid", "d2")
+    return a.join(b.hint("merge"), [f"c{x}" for x in axes]).withColumn("d2", _d2(axes)).where(F.col("d2") <= radius * radius).select("pid", "nid", "d2")
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The frames cut anew, so that rows of equal keys, which stand together, are in one frame."""
+    held: list[pd.DataFrame] = []
+    for f in (f for f in frames if len(f)):
+        last = f[keys].iloc[-1]
+        first = int(np.argmax((f[keys] == last).all(axis=1).to_numpy()))
+        if held and first == 0 and (held[0][keys].iloc[0] == last).all():
+            held.append(f)
+            continue
+        if held or first:
+            yield pd.concat([*held, f.iloc[:first]], ignore_index=True)
+        held = [f.iloc[first:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _weight_within(at: np.ndarray, points: np.ndarray, weights: np.ndarray, radius: float) -> np.ndarray:
+    """For each row of ``at`` the weights of ``points`` at most ``radius`` away, by cells of the radius."""
+    found = np.zeros(len(at))
+    if not len(at) or not len(points):
+        return found
+    size = radius * (1 + 1e-9)
+    cells = [np.floor(p / size).astype(np.int64) for p in (at, points)]
+    low = np.minimum(cells[0].min(0), cells[1].min(0)) - 1
+    span = np.maximum(cells[0].max(0), cells[1].max(0)) - low + 2
+    strides = np.append(np.cumprod(span[:0:-1])[::-1], 1)
+    asked, code = ((c - low) @ strides for c in cells)
+    order = np.argsort(code, kind="stable")
+    code, points, weights = code[order], np.ascontiguousarray(points[order].T), weights[order]
+    offsets = [int(np.dot(o, strides[:-1])) for o in itertools.product((-1, 0, 1), repeat=len(strides) - 1)]
+    order = np.argsort(asked, kind="stable")
+    ends = np.flatnonzero(np.diff(asked[order], append=-1)) + 1
+    lows, highs = (np.searchsorted(code, asked[order][ends - 1][:, None] + np.array(offsets) + d) for d in (-1, 2))
+    for k, (start, end) in enumerate(zip(np.append(0, ends[:-1]), ends, strict=True)):
+        parts = [slice(i, j) for i, j in zip(lows[k], highs[k], strict=True) if i < j]
+        if not parts:
+            continue
+        near, weight = np.concatenate([points[:, p] for p in parts], axis=1), np.concatenate([weights[p] for p in parts])
+        step = max(1, COUNTED // len(weight))
+        for i in range(start, end, step):
+            rows = order[i : min(end, i + step)]
+            q = at[rows]
+            d2 = (q[:, 0, None] - near[0]) ** 2
+            for a in range(1, len(near)):
+                d2 += (q[:, a, None] - near[a]) ** 2
+            found[rows] = (d2 <= radius * radius) @ weight
+    return found
 
 
 def radius_count(cloud: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
-    """Points within the radius, the point itself included."""
-    return radius_pairs(cloud, cloud, radius, axes).groupBy("pid").agg(F.count("*").alias("neighbours"))
+    """Points within the radius, the point itself included; points with a null or non-finite coordinate are left out.
+
+    No pair is written out.  Points at one place are one with a weight.  Space is cut into blocks of ``BLOCK`` radii a side, each of
+    which meets the places in it and those within the radius of it; a crowded block is dealt in pieces of bounded numbers, every
+    piece of its places with every piece of those around.
+    """
+    finite = " and ".join(f"abs({a}) < double('inf')" for a in axes)
+    cloud = cloud.where(finite).select("pid", *[F.col(a).cast("double").alias(a) for a in axes])
+    places = materialise(cloud.groupBy(*axes).agg(F.count("*").cast("double").alias("n")), "places")
+    size = radius * (1 + 1e-9)
+    block = [f"b{a}" for a in axes]
+    spread = places
+    for a in axes:
+        ends = [F.floor((F.col(a) + way * size) / (BLOCK * size)).cast("long") for way in (-1, 1)]
+        spread = spread.withColumn(f"b{a}", F.explode(F.sequence(*ends)))
+    own = F.lit(True)
+    for a in axes:
+        own &= F.floor(F.col(a) / (BLOCK * size)).cast("long") == F.col(f"b{a}")
+    spread = spread.withColumn("own", own)
+    pieces = [F.ceil(c / F.lit(PIECE)).cast("int").alias(k) for k, c in (("askers", F.count_if("own")), ("shown", F.count("*")))]
+    crowd = materialise(spread.groupBy(*block).agg(*pieces).where("askers > 1 or shown > 1"), "crowded-blocks")
+    if crowd.isEmpty():
+        dealt = spread.withColumns({"askers": F.lit(1), "shown": F.lit(1)})
+    else:
+        dealt = spread.join(crowd, block, "left").withColumns({k: F.coalesce(k, F.lit(1)) for k in ("askers", "shown")})
+    one = F.xxhash64(*axes)
+    asks = dealt.where("own and askers > 0").select(*block, F.pmod(one, F.col("askers")).cast("int").alias("asker"), F.explode(F.sequence(F.lit(0), F.col("shown") - 1)).alias("piece"), F.lit(True).alias("asks"), *axes, "n")
+    held = dealt.where("askers > 0").select(*block, F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), F.pmod(one, F.col("shown")).cast("int").alias("piece"), F.lit(False).alias("asks"), *axes, "n")
+    keys = [*block, "asker", "piece"]
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _whole_groups(frames, keys):
+            named, asking, at, n = f[keys].to_numpy(), f["asks"].to_numpy(bool), f[list(axes)].to_numpy(float), f["n"].to_numpy(float)
+            ends = np.flatnonzero(np.append((named[1:] != named[:-1]).any(axis=1), True)) + 1
+            found = np.zeros(len(f))
+            for start, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+                q = asking[start:end]
+                found[start:end][q] = _weight_within(at[start:end][q], at[start:end][~q], n[start:end][~q], radius)
+            yield f.loc[asking, list(axes)].assign(n=found[asking].astype(np.int64))
+
+    together = asks.unionByName(held).repartition(*keys).sortWithinPartitions(*keys)
+    counted = together.mapInPandas(count, ", ".join(f"{a} double" for a in axes) + ", n long").groupBy(*axes).agg(F.sum("n").alias("n"))
+    return cloud.join(counted.hint("merge"), list(axes)).groupBy("pid").agg(F.sum("n").alias("neighbours"))
 
 
 def crowded(cloud: DataFrame, radius: float, least: int) -> DataFrame:

@@ -57,3 +57,21 @@ def test_points_that_are_none(spark):
     assert neighbours.knn(table(spark, odd, "xyz"), table(spark, rows, "xyz"), 2).count() == 0
     few = neighbours.knn(table(spark, rows[:3], "xyz"), table(spark, rows[:3], "xyz"), 5, drop_self=True)
     assert sorted(map(tuple, few.collect())) == plain(rows[:3], rows[:3], 5, 3, True)
+
+
+@pytest.mark.parametrize(("kind", "axes", "piece"), [("even", "xyz", 200_000), ("uneven", "xyz", 9), ("lattice", "xy", 9)])
+def test_radius_counts_agree_with_a_plain_count(spark, monkeypatch, kind, axes, piece):
+    monkeypatch.setattr(neighbours, "PIECE", piece)
+    monkeypatch.setattr(neighbours, "COUNTED", 50)
+    rows = cloud(kind, 400, 3, len(axes))
+    odd = [(900, math.nan, *([1.0] * (len(axes) - 1))), (901, math.inf, *([1.0] * (len(axes) - 1))), (902, None, *([1.0] * (len(axes) - 1)))]
+    got = neighbours.radius_count(table(spark, rows + odd, axes), 1.0, axes)
+    d2 = {i: [sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) for _, *q in rows] for i, *p in rows}
+    assert dict(map(tuple, got.collect())) == {i: sum(d <= 1 for d in v) for i, v in d2.items()}
+
+
+def test_spread_points_are_never_broadcast(spark, capsys):
+    """A side's 27 cells a point were taken for one row a point, and broadcast."""
+    few = table(spark, cloud("even", 50, 4, 3), "xyz")
+    neighbours.radius_pairs(few, few, 1.0).explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
