@@ -121,16 +121,19 @@ def contour_segments(faces: DataFrame, base: float, interval: float) -> DataFram
     return cut.select("level", "tid", *[F.get("_ends", F.lit(k))[c].alias(f"{c}{k}") for k in (0, 1) for c in ("x", "y")])
 
 
-def locate(points: DataFrame, faces: DataFrame, size: float) -> DataFrame:
-    """The first triangle (by tid) around each point with its interpolated z: by cells of the triangles' boxes."""
+def locate(points: DataFrame, faces: DataFrame, size: float, *kept: str) -> DataFrame:
+    """The first triangle (by tid) around each point with its interpolated z: by cells of the triangles' boxes.
+
+    Columns ``kept`` of the points come along.  Neither side is left to be broadcast: the points may be spread out from few rows.
+    """
     boxed = faces.withColumns({f"{n}{a}": F.floor(f(*[F.col(f"p{k}.{a}") for k in range(3)]) / size).cast("long") for a in ("x", "y") for n, f in (("lo", F.least), ("hi", F.greatest))})
     cells = boxed.withColumn("cx", F.explode(F.sequence("lox", "hix"))).withColumn("cy", F.explode(F.sequence("loy", "hiy")))
-    keyed = points.select("pid", "x", "y").withColumns({"cx": F.floor(F.col("x") / size).cast("long"), "cy": F.floor(F.col("y") / size).cast("long")})
+    keyed = points.select("pid", "x", "y", *kept).withColumns({"cx": F.floor(F.col("x") / size).cast("long"), "cy": F.floor(F.col("y") / size).cast("long")})
     w = g.barycentric(F.col("x"), F.col("y"), *_p())
     inside = (w[0] >= -1e-9) & (w[1] >= -1e-9) & (w[2] >= -1e-9)
     z = w[0] * F.col("p0.z") + w[1] * F.col("p1.z") + w[2] * F.col("p2.z")
-    found = keyed.join(cells, ["cx", "cy"]).where(inside).groupBy("pid").agg(F.min(F.struct(F.col("tid").alias("tid"), z.alias("z"))).alias("m"))
-    return found.select("pid", "m.tid", "m.z")
+    found = keyed.join(cells.hint("merge"), ["cx", "cy"]).where(inside).groupBy("pid").agg(F.min(F.struct(F.col("tid").alias("tid"), z.alias("z"), *kept)).alias("m"))
+    return found.select("pid", "m.tid", "m.z", *[f"m.{c}" for c in kept])
 
 
 def idw(points: DataFrame, vertices: DataFrame, power: float = 2.0) -> DataFrame:

@@ -22,15 +22,15 @@ def line_of_sight(rays: DataFrame, faces: DataFrame, samples: int, size: float,
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     sunk = length * length * F.col("t") * (1 - F.col("t")) / (2 * radius)
     points = parts.select(F.struct("ray", "k").alias("pid"), at[0].alias("x"), at[1].alias("y"), (at[2] - sunk).alias("sight"))
-    met = points.join(locate(points, faces, size), "pid").select("pid.ray", "tid", (F.col("sight") - F.col("z")).alias("clearance"))
+    met = locate(points, faces, size, "sight").select("pid.ray", (F.col("sight") - F.col("z")).alias("clearance"))
     worst = met.groupBy("ray").agg(F.min("clearance").alias("clearance"), F.count_if(F.col("clearance") < 0).alias("blocked"))
-    found = rays.select("ray").join(worst, "ray", "left")
+    found = rays.select("ray").join(worst.hint("merge"), "ray", "left")
     return found.select("ray", "clearance", F.coalesce("blocked", F.lit(0)).cast("long").alias("blocked"), (F.coalesce("blocked", F.lit(0)) == 0).alias("visible"))
 
 
 def viewshed(observer: tuple[float, float, float], targets: DataFrame, faces: DataFrame, height: float, samples: int, size: float) -> DataFrame:
     """Which of ``targets(pid, x, y)``, raised over the mesh, an observer sees; targets off the mesh are left out."""
-    ground = targets.select("pid", "x", "y").join(locate(targets, faces, size), "pid")
+    ground = targets.select("pid", "x", "y").join(locate(targets, faces, size).hint("merge"), "pid")
     ends = {f"{a}0": F.lit(v) for a, v in zip("xyz", observer, strict=True)}
     rays = ground.select(F.col("pid").alias("ray"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("z") + height).alias("z1")).withColumns(ends)
     return line_of_sight(rays, faces, samples, size).select(F.col("ray").alias("pid"), "visible")

@@ -61,3 +61,15 @@ def test_sight_over_a_ridge(spark):
     assert {(r.a, r.b) for r in visibility.network(posts, faces, 20.0, 1.0, 40, 2.0).collect()} == {(1, 2), (3, 4)}
     seen = {r.pid: r.visible for r in visibility.viewshed((0.0, 2.0, 1.5), posts, faces, 0.5, 40, 2.0).collect()}
     assert seen == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_points_spread_from_few_rays_are_never_broadcast(spark, capsys):
+    """Samples along rays were taken for one row a ray, and broadcast with all of them."""
+    v = spark.createDataFrame([(k, float(x), float(y), 0.0) for k, (x, y) in enumerate(itertools.product(range(3), range(3)))], "vid long, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 0, 1, 4), (1, 4, 8, 5)], "tid long, v0 long, v1 long, v2 long")
+    rays = spark.createDataFrame([(1, 0.1, 0.1, 1.0, 0.9, 0.9, 1.0)], "ray long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    found = visibility.line_of_sight(rays, terrain.corners(v, faces), 10, 1.0)
+    found.explain()
+    joins = capsys.readouterr().out.split("BroadcastHashJoin [")[1:]
+    assert not [j for j in joins if j.startswith(("cx", "ray", "pid"))]
+    assert [r.visible for r in found.collect()] == [True]
