@@ -67,8 +67,12 @@ def vertex_neighbours(triangles: DataFrame) -> DataFrame:
 
 
 def neighbour_mean(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """``vertices`` with ``mean_z`` of the vertices around, summed by vid: how the table is dealt must not show in the last bits."""
     near = vertex_neighbours(triangles).join(vertices.select(F.col("vid").alias("nid"), F.col("z").alias("nz")), "nid")
-    return vertices.join(near.groupBy("vid").agg(F.avg("nz").alias("mean_z")), "vid")
+    around = near.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("nid", "nz"))).alias("_n"))
+    known = F.filter("_n", lambda e: e["nz"].isNotNull())
+    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, e: s + e["nz"]), F.size(known))
+    return vertices.join(around.select("vid", mean.alias("mean_z")), "vid")
 
 
 def laplacian_smooth(vertices: DataFrame, triangles: DataFrame, factor: float) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cragspan.functions import geodesy
 from cragspan.functions import geometry as g
-from cragspan.operators import cloud, neighbours, shape, survey
+from cragspan.functions import vectors
+from cragspan.operators import cloud, neighbours, shape, survey, terrain
 from cragspan.plans import every as queries
 from cragspan.sources import text
 from cragspan.streaming.grids import windowed_density
@@ -94,3 +95,31 @@ def test_normals_of_planes(spark):
     same = spark.createDataFrame([(i, 1.0, 1.0, 1.0) for i in range(4)], "pid long, x double, y double, z double")
     assert {(r.nx, r.ny, r.nz, r.curvature) for r in shape.normals(same, 3).collect()} == {(0, 0, 1, 0)}
     assert shape.shape_features(same.limit(0), 3).count() == 0
+
+
+def test_a_quotient_over_zero(spark, tmp_path):
+    """An event of value 0 stopped the scalars; its SQL gives an infinite ratio."""
+    rows = [(6.0, 2.0), (6.0, 0.0), (-6.0, 0.0), (6.0, -0.0), (0.0, 0.0), (6.0, 1e-13), (None, 0.0), (6.0, None)]
+    table = spark.createDataFrame(rows, "a double, b double")
+    got = [r.q for r in table.select(vectors.safe_divide(F.col("a"), F.col("b"), instead=vectors.quotient(F.col("a"), F.col("b"))).alias("q")).collect()]
+    inf = float("inf")
+    assert got[:4] == [3.0, inf, -inf, -inf] and got[4] != got[4] and got[5:7] == [6.0 / 1e-13, None]
+    spark.sql("SELECT 1L AS event_id, timestamp_ntz'2024-01-02 00:00:00' AS ts, 5L AS user_id, 'click' AS event_type, 0.0D AS value").write.parquet(str(tmp_path / "events.parquet"))
+    assert queries.QUERIES["scalars"](spark, str(tmp_path)).first().ratio == inf
+
+
+def test_means_of_neighbours_are_summed_by_vid(spark):
+    """Sums in the order of arrival came out differently in the last bits, and so did spikes at the very threshold."""
+    values = [0.1, 0.2, 0.3, 1e16, 1.0, -1e16, 0.7]
+    vertices, triangles, want = [], [], {}
+    for hub in range(0, 800, 8):
+        ring = [values[(k * (hub // 8 % 6 + 1) + hub // 48) % 7] for k in range(7)]
+        vertices += [(hub, 0.0, 0.0, 0.0), *[(hub + k + 1, 1.0, float(k), z) for k, z in enumerate(ring)]]
+        triangles += [(hub + k, hub, hub + k + 1, hub + (k + 1) % 7 + 1) for k in range(7)]
+        total = 0.0
+        for z in ring:
+            total += z
+        want[hub] = total / 7
+    v = spark.createDataFrame(vertices, "vid long, x double, y double, z double").repartition(5)
+    t = spark.createDataFrame(triangles, "tid long, v0 long, v1 long, v2 long").repartition(3)
+    assert {r.vid: r.mean_z for r in terrain.neighbour_mean(v, t).where("vid % 8 = 0").collect()} == want
