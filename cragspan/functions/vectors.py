@@ -15,9 +15,16 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
     return a + (b - a) * t
 
 
-def safe_divide(a: Column, b: Column, least: float = 1e-12) -> Column:
-    """a / b; a divisor within ``least`` of 0 raises."""
-    return F.when(F.abs(b) > least, a / b).otherwise(F.raise_error(F.lit("division by a number too near 0")).cast("double"))
+def safe_divide(a: Column, b: Column, least: float = 1e-12, instead: Column | None = None) -> Column:
+    """a / b; a divisor within ``least`` of 0 gives ``instead``, or raises without it."""
+    return F.when(F.abs(b) > least, a / b).otherwise(F.raise_error(F.lit("division by a number too near 0")).cast("double") if instead is None else F.when(b.isNotNull(), instead))
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of floating-point numbers: over 0 an infinite number with the sign of both, or NaN."""
+    ends = [F.lit(float(v)) for v in ("nan", "inf", "-inf")]
+    below = (a < 0) != b.cast("string").startswith("-")
+    return F.when(b != 0, a / b).when((a == 0) | F.isnan(a), ends[0]).when(below, ends[2]).when(~below, ends[1])
 
 
 def mean(values: Column) -> Column:
