@@ -48,3 +48,27 @@ def test_register(spark, plane):
     assert np.allclose(got.rotation, turn.T, atol=1e-6) and np.allclose(got.shift, -turn.T @ by, atol=1e-6)
     with pytest.raises(ValueError, match="fewer than three"):
         registration.register(registration.moved(cloud, np.eye(3), np.full(3, 99.0)), cloud, rounds=1)
+
+
+def test_far_points_ask_few_tiles(spark, monkeypatch):
+    """Points far off the mesh were compared with every triangle of it."""
+    r = np.random.default_rng(3)
+    side = 40
+    z = r.uniform(0, 3, (side, side))
+    at = lambda i, j: (float(j), float(i), float(z[i, j]))
+    cells = [(at(i, j), at(i, j + 1), at(i + 1, j + 1 - k)) for i in range(side - 1) for j in range(side - 1) for k in (0, 1)]
+    kind = "struct<x double, y double, z double>"
+    faces = spark.createDataFrame([(k, *t) for k, t in enumerate(cells)], f"tid long, p0 {kind}, p1 {kind}, p2 {kind}")
+    points = np.concatenate([r.uniform((0, 0, -2), (40, 40, 9), (300, 3)), r.uniform((0, 5000, 0), (40, 5040, 5), (300, 3))])
+    cloud = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(points)], "pid long, x double, y double, z double")
+    asked, visits = [], meshes._visits
+    monkeypatch.setattr(meshes, "TILE", 64)
+    monkeypatch.setattr(meshes, "BLOCK", 100)
+    monkeypatch.setattr(meshes, "_visits", lambda a, m: asked.append(a.where("pid >= 300").count()) or visits(a, m))
+    got = {p.pid: p.distance for p in meshes.cloud_to_mesh(cloud, faces).collect()}
+    t = np.array(cells).transpose(1, 2, 0)[:, :, None, :]
+    plain = np.sqrt(meshes.triangle_distance2(points.T[:, :, None], *t).min(1))
+    assert [got[k] for k in range(600)] == pytest.approx(plain.tolist(), abs=1e-9)
+    assert sum(asked) < 300 * 4  # of more than 48 tiles
+    near = {p.pid: p.distance for p in meshes.cloud_to_mesh(cloud, faces, 0.5).collect()}
+    assert near == {k: v for k, v in got.items() if v <= 0.5}
