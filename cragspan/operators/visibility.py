@@ -10,6 +10,8 @@ from cragspan.operators.terrain import locate
 from cragspan.plans.storage import materialise
 
 EARTH_RADIUS = 6_371_000.0
+#: Points of one place that are paired at once, about.
+MEMBERS = 1_024
 
 
 def line_of_sight(rays: DataFrame, faces: DataFrame, samples: int, size: float, radius: float = EARTH_RADIUS) -> DataFrame:
@@ -38,13 +40,26 @@ def viewshed(observer: tuple[float, float, float], targets: DataFrame, faces: Da
 
 def intervisibility(points: DataFrame, faces: DataFrame, reach: float, height: float, samples: int, size: float) -> DataFrame:
     """Pairs ``(a, b)`` of ``points(pid, x, y)`` at most ``reach`` apart in plan, with the clearance of the sight between them,
-    both ends ``height`` over the mesh, and whether they see each other; points off the mesh are left out."""
-    placed = materialise(points.join(locate(points, faces, size).select("pid", (F.col("z") + height).alias("z")), "pid"), "posts")
-    pairs = radius_pairs(placed, placed, reach, "xy").where("pid < nid").select("pid", "nid")
-    ends = [placed.select(F.col("pid").alias(name), *[F.col(c).alias(f"{c}{k}") for c in "xyz"]) for k, name in enumerate(("pid", "nid"))]
-    rays = pairs.join(ends[0], "pid").join(ends[1], "nid").withColumn("ray", F.struct("pid", "nid"))
-    found = line_of_sight(rays.select("ray", *[f"{c}{k}" for k in (0, 1) for c in "xyz"]), faces, samples, size)
-    return found.select("ray.pid", "ray.nid", "clearance", "visible").withColumnsRenamed({"pid": "a", "nid": "b"})
+    both ends ``height`` over the mesh, and whether they see each other; points off the mesh are left out.
+
+    Sights are followed between places, each way that a lesser id looks to a greater one; their points are paired last, in
+    lists of bounded numbers, and are not shuffled as pairs.
+    """
+    places = points.groupBy("x", "y").agg(F.min("pid").alias("pid"), F.max("pid").alias("last"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("lists"))
+    places = materialise(places, "places")
+    ground = locate(places, faces, size).select("pid", (F.col("z") + height).alias("z"))
+    placed = materialise(places.join(ground.hint("merge"), "pid"), "posts")
+    ends = [placed.select(F.col("pid").alias(name), *[F.col(c).alias(f"{c}{k}") for c in ("x", "y", "z", "last")]) for k, name in enumerate(("pid", "nid"))]
+    pairs = radius_pairs(placed, placed, reach, "xy").select("pid", "nid")
+    rays = pairs.join(ends[0], "pid").join(ends[1], "nid").where("pid < last1").withColumn("ray", F.struct("pid", "nid"))
+    found = materialise(line_of_sight(rays.select("ray", *[f"{c}{k}" for k in (0, 1) for c in "xyz"]), faces, samples, size), "sights")
+
+    owned = points.select(F.col("pid").alias("post"), "x", "y").join(placed.select("pid", "x", "y", "lists"), ["x", "y"])
+    listed = owned.groupBy("pid", F.pmod(F.xxhash64("post"), "lists").alias("list")).agg(F.collect_list("post").alias("posts"))
+    members = [materialise(listed, "members").select(F.col("pid").alias(f"{c}_at"), F.col("list").alias(f"{c}_list"), F.col("posts").alias(f"{c}s")) for c in "ab"]
+    met = found.select(F.col("ray.pid").alias("a_at"), F.col("ray.nid").alias("b_at"), "clearance", "visible")
+    met = met.join(members[0].hint("merge"), "a_at").join(members[1].hint("merge"), "b_at").repartition("a_at", "b_at", "a_list", "b_list")
+    return met.withColumn("a", F.explode("as")).withColumn("b", F.explode("bs")).where("a < b").select("a", "b", "clearance", "visible")
 
 
 def network(points: DataFrame, faces: DataFrame, reach: float, height: float, samples: int, size: float) -> DataFrame:

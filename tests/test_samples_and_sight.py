@@ -73,3 +73,17 @@ def test_points_spread_from_few_rays_are_never_broadcast(spark, capsys):
     joins = capsys.readouterr().out.split("BroadcastHashJoin [")[1:]
     assert not [j for j in joins if j.startswith(("cx", "ray", "pid"))]
     assert [r.visible for r in found.collect()] == [True]
+
+
+def test_sights_are_followed_once_a_place(spark, monkeypatch):
+    """Posts at one place each had their own sights: the samples grew with the square of their number."""
+    v = spark.createDataFrame([(k, float(x), float(y), 4.0 if x == 5 else 0.0) for k, (x, y) in enumerate(itertools.product(range(11), range(5)))], "vid long, x double, y double, z double")
+    faces = terrain.corners(v, triangulate.delaunay(v))
+    posts = spark.createDataFrame([(k, (1.0, 3.0, 9.5)[k % 3], 2.0 + 0.25 * (k % 3)) for k in range(60)], "pid long, x double, y double")
+    rays, sight = [], visibility.line_of_sight
+    monkeypatch.setattr(visibility, "MEMBERS", 7)
+    monkeypatch.setattr(visibility, "line_of_sight", lambda r, *a: rays.append(r.count()) or sight(r, *a))
+    got = visibility.intervisibility(posts, faces, 20.0, 1.0, 40, 2.0).collect()
+    assert sorted((r.a, r.b) for r in got) == list(itertools.combinations(range(60), 2))
+    assert all(r.visible == ((r.a % 3 == 2) == (r.b % 3 == 2)) for r in got)
+    assert rays == [9]
