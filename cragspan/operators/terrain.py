@@ -6,6 +6,7 @@ A mesh is ``vertices(vid, x, y, z)`` and ``triangles(tid, v0, v1, v2)``; a raste
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from cragspan.functions import geometry as g
 from cragspan.plans.storage import materialise
 
+#: Points that read the vertices of ``idw`` together, and the points and vertices whose distances are held at once.
+IDW_POINTS = 1_024
+IDW_TILE = (16, 4_096)
+
 
 def corners(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """Triangles with their corner points p0, p1, p2."""
@@ -144,36 +149,45 @@ def idw(points: DataFrame, vertices: DataFrame, power: float = 2.0) -> DataFrame
     """Inverse-distance weights over all vertices; a point on a vertex has its z.
 
     The vertices are written to the shared folder and every batch of points reads them once, block by block, so neither side has
-    to fit anywhere; the work is still every point times every vertex.
+    to fit anywhere; the work is still every point times every vertex, dealt in batches of ``IDW_POINTS`` points.
     """
     files = materialise(vertices.select("vid", *[F.col(a).cast("double").alias(a) for a in "xyz"]), "idw").inputFiles()
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs, parquet
 
-        for b in batches:
-            for first in range(0, len(b), 1024):
-                at = b.iloc[first : first + 1024]
-                px, py = at["x"].to_numpy(float)[:, None], at["y"].to_numpy(float)[:, None]
-                total, sums = np.zeros(len(at)), np.zeros(len(at))
-                exact, owner = np.full(len(at), np.nan), np.full(len(at), np.inf)
-                for path in files:
-                    system, inner = fs.FileSystem.from_uri(path)
-                    for block in parquet.ParquetFile(system.open_input_file(inner)).iter_batches(4096):
-                        vid, x, y, z = (block.column(c).to_numpy() for c in ("vid", "x", "y", "z"))
-                        d2 = (px - x) ** 2 + (py - y) ** 2
-                        on = d2 <= 1e-24
-                        w = np.where(on, 0.0, np.where(on, 1.0, d2) ** (-power / 2))
-                        total += w.sum(1)
-                        sums += w @ z
-                        row, col = np.nonzero(on)
-                        for r, c in zip(row, col, strict=True):
-                            if vid[c] < owner[r]:
-                                owner[r], exact[r] = vid[c], z[c]
-                with np.errstate(invalid="ignore"):
-                    yield pd.DataFrame({"pid": at["pid"], "z": np.where(np.isnan(exact), sums / total, exact)})
-
-    return points.select("pid", "x", "y").mapInPandas(weigh, f"pid {dict(points.dtypes)['pid']}, z double")
+        for at in itertools.chain.from_iterable((b.iloc[i : i + IDW_POINTS] for i in range(0, len(b), IDW_POINTS)) for b in batches):
+            px, py = at["x"].to_numpy(float)[:, None], at["y"].to_numpy(float)[:, None]
+            sums = np.zeros((len(at), 2))
+            exact, owner = np.full(len(at), np.nan), np.full(len(at), np.inf)
+            for path in files:
+                system, inner = fs.FileSystem.from_uri(path)
+                for block in parquet.ParquetFile(system.open_input_file(inner)).iter_batches(65_536):
+                    vid, x, y, z = (block.column(c).to_numpy() for c in ("vid", "x", "y", "z"))
+                    values = np.stack([np.ones(len(z)), z], 1)
+                    for i, j in itertools.product(range(0, len(at), IDW_TILE[0]), range(0, len(z), IDW_TILE[1])):
+                        rows, cols = slice(i, i + IDW_TILE[0]), slice(j, j + IDW_TILE[1])
+                        w, dy = px[rows] - x[cols], py[rows] - y[cols]
+                        w *= w
+                        dy *= dy
+                        w += dy
+                        if not w.min(initial=np.inf) > 1e-24:  # also if one is not a number
+                            row, col = np.nonzero(w <= 1e-24)
+                            w[row, col] = np.inf
+                            for r, c in zip(row + i, col + j, strict=True):
+                                if vid[c] < owner[r]:
+                                    owner[r], exact[r] = vid[c], z[c]
+                        if power == 2:
+                            np.divide(1.0, w, out=w)
+                        else:
+                            np.power(w, -power / 2, out=w)
+                        sums[rows] += w @ values[cols]
+            with np.errstate(invalid="ignore"):
+                yield pd.DataFrame({"pid": at["pid"], "z": np.where(np.isnan(exact), sums[:, 1] / sums[:, 0], exact)})
+
+    asked = materialise(points.select("pid", "x", "y"), "idw-points")
+    parts = max(1, -(-asked.count() // IDW_POINTS))
+    return asked.repartition(parts).mapInPandas(weigh, f"pid {dict(points.dtypes)['pid']}, z double")
 
 
 def raster_summary(raster: DataFrame) -> DataFrame:

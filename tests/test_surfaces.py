@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cragspan.operators import ground, meshes, registration
+from cragspan.operators import ground, meshes, registration, terrain
 
 
 def test_window_sizes():
@@ -72,3 +72,22 @@ def test_far_points_ask_few_tiles(spark, monkeypatch):
     assert sum(asked) < 300 * 4  # of more than 48 tiles
     near = {p.pid: p.distance for p in meshes.cloud_to_mesh(cloud, faces, 0.5).collect()}
     assert near == {k: v for k, v in got.items() if v <= 0.5}
+
+
+def test_idw_deals_its_points(spark):
+    """All points of one file were one task."""
+    r = np.random.default_rng(8)
+    v, p = r.uniform(0, 10, (5000, 3)), r.uniform(0, 10, (2500, 2))
+    p[7], v[11] = v[3, :2], (*v[3, :2], 1.0)
+    vertices = spark.createDataFrame([(k, *map(float, q)) for k, q in enumerate(v)], "vid long, x double, y double, z double")
+    points = spark.createDataFrame([(k, *map(float, q)) for k, q in enumerate(p)], "pid long, x double, y double").coalesce(1)
+    d2 = (p[:, 0, None] - v[:, 0]) ** 2 + (p[:, 1, None] - v[:, 1]) ** 2
+    for power in (2.0, 3.0):
+        found = terrain.idw(points, vertices, power)
+        assert found.rdd.getNumPartitions() == 3
+        with np.errstate(all="ignore"):
+            w = d2 ** (-power / 2)
+            plain = (w @ v[:, 2]) / w.sum(1)
+        plain[7] = v[3, 2]
+        got = {q.pid: q.z for q in found.collect()}
+        assert [got[k] for k in range(2500)] == pytest.approx(plain.tolist())
