@@ -42,16 +42,14 @@ def walk(edges: list[tuple[int, int]]) -> Iterator[list[int]]:
             yield path
 
 
-def _ranked(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(arc, end, after)`` of each of ``arcs(arc, on)``: the last arc that it leads to, and how many come after it; and the arcs that lead in circles."""
+def _ranked(arcs: DataFrame) -> DataFrame:
+    """``(arc, end, after)`` of each of ``arcs(arc, on)``, none of which lead in circles: the last arc that it leads to, and how many come after it."""
     at_end = F.when(F.col("on").isNull(), F.col("arc"))
-    reach, left = materialise(arcs.select("arc", "on", F.lit(0).cast("long").alias("after"), at_end.alias("end")), "chain-reach"), -1
+    reach = materialise(arcs.select("arc", "on", F.lit(0).cast("long").alias("after"), at_end.alias("end")), "chain-reach")
     while True:
         done, ahead = reach.where("on is null"), reach.where("on is not null")
-        number = ahead.count()
-        if number in (0, left):  # each round settles at least one arc of any line with an end
-            return done.select("arc", "end", "after"), ahead.select("arc")
-        left = number
+        if ahead.isEmpty():
+            return done.select("arc", "end", "after")
         there = reach.select(F.col("arc").alias("on"), F.col("on").alias("_on"), F.col("after").alias("_after"), F.col("end").alias("_end"))
         step = ahead.join(there, "on").select("arc", F.col("_on").alias("on"), (F.col("after") + F.col("_after") + 1).alias("after"), F.col("_end").alias("end"))
         reach = materialise(done.unionByName(step), "chain-reach")
@@ -70,25 +68,21 @@ def chains(edges: DataFrame) -> DataFrame:
     nets = spread_components(once, once.select(F.col("a").alias("pid")).union(once.select("b")).distinct())
     both = once.union(once.select("b", "a"))
     degree = both.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("degree"), F.min("b").alias("low"), F.max("b").alias("high"))
-    on = F.when(F.col("degree") == 2, F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")))
+    degree = materialise(degree.join(nets.select(F.col("pid").alias("v"), "root"), "v"), "chain-degree")
+    # a net of vertices of two edges each is one closed line, which is cut at its least vertex
+    rings = degree.groupBy("root").agg(F.min("degree").alias("least"), F.max("degree").alias("most")).where("least = 2 and most = 2")
+    degree = degree.join(rings.select(F.col("root").alias("v"), F.lit(True).alias("ring")), "v", "left")
+    on = F.when((F.col("degree") == 2) & F.col("ring").isNull(), F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")))
     arcs = both.join(degree.withColumnRenamed("v", "b"), "b").select("a", "b", on.alias("c"))
-    arcs = materialise(arcs.select(F.struct("a", "b").alias("arc"), F.when(F.col("c").isNotNull(), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))).alias("on")), "chain-arcs")
-
-    open_, circular = _ranked(arcs)
-    found = open_.withColumn("closed", F.lit(False))
-    if not circular.isEmpty():  # closed lines are cut before the arc from the least vertex to the lesser neighbour
-        rings = arcs.join(circular, "arc", "left_semi")
-        named = spread_components(rings.select(F.col("arc").alias("a"), F.col("on").alias("b")), circular.select(F.col("arc").alias("pid")))
-        cut = rings.join(named.withColumnRenamed("pid", "arc"), "arc").select("arc", F.when(F.col("on") != F.col("root"), F.col("on")).alias("on"))
-        found = found.union(_ranked(cut)[0].withColumn("closed", F.lit(True)))
-    found = materialise(found, "chain-found")
+    arcs = arcs.select(F.struct("a", "b").alias("arc"), F.when(F.col("c").isNotNull(), F.struct(F.col("b").alias("a"), F.col("c").alias("b"))).alias("on"))
+    found = _ranked(arcs)
     sizes = found.groupBy(F.col("end").alias("line")).agg((F.max("after") + 1).alias("n"))
     placed = found.withColumnRenamed("end", "line").join(sizes, "line")
-    placed = materialise(placed.select("line", "closed", (F.col("n") - 1 - F.col("after")).alias("place"), F.col("arc.a").alias("a"), F.col("arc.b").alias("b"), "n"), "chain-placed")
-    ends = placed.groupBy("line").agg(F.min(F.when(F.col("place") == 0, F.struct("a", "b"))).alias("head"), F.min(F.when(F.col("place") == F.col("n") - 1, F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("tail"), F.first("closed").alias("closed"))
+    placed = materialise(placed.select("line", (F.col("n") - 1 - F.col("after")).alias("place"), F.col("arc.a").alias("a"), F.col("arc.b").alias("b"), "n"), "chain-placed")
+    ends = placed.groupBy("line").agg(F.min(F.when(F.col("place") == 0, F.struct("a", "b"))).alias("head"), F.min(F.when(F.col("place") == F.col("n") - 1, F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("tail"))
     # each line runs both ways: an open one is kept from its lesser end, a closed one towards the lesser neighbour
     kept = ends.where("head < tail").join(nets.select(F.col("pid").alias("v"), "root"), F.col("head.a") == F.col("v"))
-    order = Window.partitionBy("root").orderBy("closed", "head")
+    order = Window.partitionBy("root").orderBy("head")
     parts = kept.select("line", "root", (F.row_number().over(order) - 1).alias("part"))
     laid = placed.join(parts, "line")
     last = laid.where(F.col("place") == F.col("n") - 1).select("root", "part", F.col("n").alias("place"), F.col("b").alias("vid"))

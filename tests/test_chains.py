@@ -50,3 +50,13 @@ def test_chains(spark, seed):
 
 def test_no_edges(spark):
     assert lines.chains(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rings_are_cut_before_they_are_followed(spark, monkeypatch):
+    """Rings were followed until nothing else settled, and their components were sought anew, an arc a node."""
+    calls, spread = [], lines.spread_components
+    monkeypatch.setattr(lines, "spread_components", lambda *a: calls.append(1) or spread(*a))
+    edges = [(k, (k + 1) % 9) for k in range(9)] + [(20, 21), (21, 22)]
+    got = lines.chains(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == walked(edges)
+    assert len(calls) == 1
