@@ -79,6 +79,7 @@ def register(source: DataFrame, target: DataFrame, plane: bool = False, cutoff:
     each round, down to 0.1.  It ends when the error, or its relative change, is below ``tolerance``.  ``fitness`` is
     the share of source points paired within the first cutoff.  Fewer than three pairs raise.
     """
+    source, target = (materialise(t.select("pid", *"xyz"), name) for t, name in ((source, "source"), (target, "target")))  # read many times in each round
     whole = target.agg(*[F.avg(a).alias(a) for a in "xyz"]).first()
     total = source.count()
     if not total or whole["x"] is None:
@@ -89,7 +90,7 @@ def register(source: DataFrame, target: DataFrame, plane: bool = False, cutoff:
         goal = materialise(goal.join(normals(target, k).select(F.col("pid").alias("nid"), "nx", "ny", "nz"), "nid"), "normals")
 
     def paired(rotation: np.ndarray, shift: np.ndarray) -> DataFrame:
-        now = moved(source.select("pid", "x", "y", "z"), rotation, shift)
+        now = moved(source, rotation, shift)
         return materialise(nearest(now, target).join(now, "pid").join(goal, "nid"), "pairs")
 
     rotation, shift, limit = np.eye(3), np.zeros(3), cutoff

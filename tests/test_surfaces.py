@@ -91,3 +91,14 @@ def test_idw_deals_its_points(spark):
         plain[7] = v[3, 2]
         got = {q.pid: q.z for q in found.collect()}
         assert [got[k] for k in range(2500)] == pytest.approx(plain.tolist())
+
+
+def test_register_reads_written_clouds(spark, monkeypatch):
+    """Each round read the clouds some ten times from the tables that they come from."""
+    r = np.random.default_rng(2)
+    cloud = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(r.uniform(0, 5, (50, 3)))], "pid long, x double, y double, z double")
+    seen, nearest = [], registration.nearest
+    monkeypatch.setattr(registration, "nearest", lambda a, b: seen.append((a.inputFiles(), b.inputFiles())) or nearest(a, b))
+    got = registration.register(registration.moved(cloud, np.eye(3), np.full(3, 0.01)), cloud, rounds=1)
+    assert np.allclose(got.shift, -0.01)
+    assert len(seen) == 2 and all(a and b for a, b in seen)
