@@ -139,6 +139,33 @@ def test_constraints_through_vertices_and_across(spark):
     assert constrained.constrain(table, first, spark.createDataFrame([], "a long, b long")).count() == first.count()
 
 
+def test_constraints_that_share_triangles_are_dealt_to_squares(spark, monkeypatch):
+    points = cloud("uniform", 240)
+    table = spark.createDataFrame([(v, x, y, 0.0) for v, x, y in points], "vid long, x double, y double, z double")
+    at = {v: (x, y, (x, y)) for v, x, y in points}
+    chosen = []
+    for strip in range(4):  # each zigzag shares triangles with itself and the next: one group by what they share
+        chain = sorted((v for v, _, y in points if v % 2 == 0 and int(y * 4) == strip), key=lambda v: at[v][:2])
+        chosen += zip(chain, chain[1:], strict=False)
+    claimed = []
+
+    def kept(df, name):
+        out = triangulate.materialise(df, name)
+        if name == "triangles-claimed":
+            claimed.append(out)
+        return out
+
+    monkeypatch.setattr(constrained, "materialise", kept)
+    first = triangulate.delaunay(table, 100)
+    wanted = spark.createDataFrame(chosen, "a long, b long")
+    whole_, dealt = (sorted((t.v0, t.v1, t.v2) for t in constrained.constrain(table, first, wanted, most).collect()) for most in (10**6, 40))
+    assert dealt == whole_ and len(dealt) == first.count()
+    lawful(at, dealt, set(chosen))
+    one, *rounds = [[r["count"] for r in c.groupBy("i", "j").count().collect()] for c in claimed]
+    assert len(one) == 1 and one[0] > 100  # in one square all of them
+    assert len(rounds) > 1 and max(map(len, rounds)) > 1 and max(map(max, filter(None, rounds))) <= 40
+
+
 def test_break_lines(spark):
     points = cloud("uniform", 120)
     table = spark.createDataFrame([(v, x, y, x) for v, x, y in points], "vid long, x double, y double, z double")
