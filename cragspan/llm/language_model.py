@@ -35,6 +35,8 @@ LEAST_WORD_BITS = 4
 ORDER = 3
 FLUSH_TOKENS = 4_000_000
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B0), np.uint64(0xE0E0E0E0E0E0E0E1)
+#: Rows from which on a block of bigrams or trigrams is written by words: a list of them costs less than the keys' bits.
+WORDS_FROM = 16_384
 _TOP = np.uint64(0xFFFFFFFF00000000)
 _OPEN: dict[str, list[np.ndarray] | None] = {}
 
@@ -44,40 +46,83 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
-def _pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """A compressed block.  Columns of 32 bits are words: each is given by its place in the block's list of words, the most frequent first."""
-    parts = [len(keys).to_bytes(8, "little"), _planes(np.diff(keys, prepend=np.uint64(0)))]
-    for x in columns:
-        if x.dtype == np.uint32:
-            words, at, number = np.unique(x, return_inverse=True, return_counts=True)
-            by = np.argsort(-number, kind="stable")
-            rank = np.empty(len(by), np.uint32)
-            rank[by] = np.arange(len(by), dtype=np.uint32)
-            parts += [len(words).to_bytes(8, "little"), words[by].tobytes(), _planes(rank[at])]
-        else:
-            parts.append(_planes(x))
+def _listed(x: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """A list of the distinct words and each word's place in it: the more frequent first by doublings, ascending among the like, so that the list's steps are small."""
+    words, at, number = np.unique(x, return_inverse=True, return_counts=True)
+    by = np.lexsort((words, -np.frexp(number)[1]))
+    rank = np.empty(len(by), np.uint32)
+    rank[by] = np.arange(len(by), dtype=np.uint32)
+    return len(words).to_bytes(8, "little") + _planes(np.diff(words[by], prepend=np.uint32(0))), rank[at]
+
+
+def _pack(keys: np.ndarray, *columns: np.ndarray, pairs: bool = False) -> bytes:
+    """A compressed block: each distinct key once, and how many rows it has.  Columns of 32 bits are words, given by their places in a list.
+
+    Keys of bigrams (``pairs``) are given by both words in blocks of many rows, sorted by the words: those recur, while keys look random.
+    """
+    n = len(keys)
+    if pairs and n >= WORDS_FROM:
+        pair = _unmix(keys)
+        words = [(pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32), *[x for x in columns if x.dtype == np.uint32]]
+        listed, at = _listed(np.concatenate(words))
+        ranks = [at[k * n : (k + 1) * n] for k in range(len(words))]
+        order = np.lexsort(ranks[::-1])
+        parts, same = [n.to_bytes(8, "little"), bytes(8), listed], np.zeros(n, bool)
+        for k, rank in enumerate(ranks):  # steps from the row before, where the words in front are the same
+            x = rank[order]
+            step = np.diff(x, prepend=np.uint32(0))
+            if k:
+                step = np.where(same, step, x)
+            parts.append(_planes(step))
+            same = (same if k else np.arange(n) > 0) & (step == 0)
+        parts += [_planes(x[order]) for x in columns if x.dtype != np.uint32]
+    else:
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        parts = [n.to_bytes(8, "little"), len(first).to_bytes(8, "little"), _planes(np.diff(keys[first], prepend=np.uint64(0))), _planes(np.diff(first, append=n).astype(np.uint32))]
+        for x in columns:
+            parts += [*_listed(x)] if x.dtype == np.uint32 else [x]
+        parts = [x if isinstance(x, bytes) else _planes(x) for x in parts]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def _unpack(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
-    """The keys and columns of a block."""
+    """The keys and columns of a block, in the order that it has them."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, begin, out = int.from_bytes(raw[:8], "little"), 8, []
+    begin = 0
 
-    def planes(kind: type) -> np.ndarray:
+    def planes(kind: type, n: int) -> np.ndarray:
         nonlocal begin
         size = np.dtype(kind).itemsize
         begin += size * n
         return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * n, begin - size * n).reshape(size, n).T).view(kind).ravel()
 
-    for kind in (np.uint64, *kinds):
-        if kind == np.uint32:
-            words = np.frombuffer(raw, np.uint32, int.from_bytes(raw[begin : begin + 8], "little"), begin + 8)
-            begin += 8 + words.nbytes
-            out.append(words[planes(np.uint32)])
-        else:
-            out.append(planes(kind))
-    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+    def number() -> int:
+        nonlocal begin
+        begin += 8
+        return int.from_bytes(raw[begin - 8 : begin], "little")
+
+    def listed() -> np.ndarray:
+        return np.cumsum(planes(np.uint32, number()), dtype=np.uint32)
+
+    n, distinct = number(), number()
+    if n and not distinct:
+        words, found, same = listed(), [], np.zeros(n, bool)
+        for k in range(2 + kinds.count(np.uint32)):
+            step = planes(np.uint32, n)
+            total = np.cumsum(step, dtype=np.uint32)
+            if k:  # from where the words in front last changed
+                start = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+                total = total - (total[start] - step[start])
+            found.append(words[total])
+            same = (same if k else np.arange(n) > 0) & (step == 0)
+        rest = iter(found[2:])
+        keys = mix((found[0].astype(np.uint64) << np.uint64(32)) | found[1])
+        return [keys, *[next(rest) if kind == np.uint32 else planes(kind, n) for kind in kinds]]
+    keys = np.cumsum(planes(np.uint64, distinct), dtype=np.uint64)
+    out = [np.repeat(keys, planes(np.uint32, distinct))]
+    for kind in kinds:
+        out.append(listed()[planes(np.uint32, n)] if kind == np.uint32 else planes(kind, n))
+    return out
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +149,8 @@ def _spread(kind: int, bits: int, keys: np.ndarray, *columns: np.ndarray) -> Ite
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else []
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-        yield kind, int(bucket[a]), _pack(keys[a:z], *[c[a:z].astype(np.uint64) if c.dtype == np.int64 else c[a:z] for c in columns])
+        block = [c[a:z].astype(np.uint64) if c.dtype == np.int64 else c[a:z] for c in columns]
+        yield kind, int(bucket[a]), _pack(keys[a:z], *block, pairs=kind in (RUNS + 2, RUNS + 3))
 
 
 def _store(folder: str, name: str, bits: int, keys: np.ndarray, *columns: np.ndarray) -> None:
