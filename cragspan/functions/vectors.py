@@ -27,6 +27,16 @@ def quotient(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).when((a == 0) | F.isnan(a), ends[0]).when(below, ends[2]).when(~below, ends[1])
 
 
+def rounded(v: Column, places: int) -> Column:
+    """A floating-point number at ``places`` places as SQL engines on doubles round: its product with 10 ** places to the nearest whole
+    number, halves away from 0.  Spark's own ``round`` goes by the number's decimal digits, which parts from that at halves.
+
+    A number whose product is not finite stays.
+    """
+    power = F.lit(10.0**places)
+    return F.when(F.abs(v * power) < F.lit(float("inf")), F.round(v * power, 0) / power).otherwise(v)
+
+
 def mean(values: Column) -> Column:
     """The mean of an array; an empty one raises."""
     total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cragspan.functions import geodesy as geo
 from cragspan.functions import geometry as g
+from cragspan.functions import vectors as v
 from cragspan.operators import cloud as c
 from cragspan.operators import neighbours as n
 from cragspan.operators import shape as h
@@ -71,7 +72,7 @@ def _faces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(k, places).alias(k) if kind == "double" else F.col(k) for k, kind in df.dtypes])
+    return df.select(*[v.rounded(F.col(k), places).alias(k) if kind == "double" else F.col(k) for k, kind in df.dtypes])
 
 
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:

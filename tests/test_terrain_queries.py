@@ -108,6 +108,26 @@ def test_a_quotient_over_zero(spark, tmp_path):
     assert queries.QUERIES["scalars"](spark, str(tmp_path)).first().ratio == inf
 
 
+def test_halves_are_rounded_as_their_sql_rounds_them(spark, tmp_path):
+    """Spark's own rounding goes by decimal digits: hours like 0.00015 came out at 0.0002, in the SQL at 0.0001."""
+    inf, c = float("inf"), duckdb.connect()
+    values = [way * (2 * k + 1) / 2 / 10**p for way in (1, -1) for p in (3, 4, 6) for k in range(300)]
+    values += [0.0, 5e-324, 0.49999999999999994, 4503599627370495.5, 2251799813685248.25, 1e16 + 2, 1.7e308, -1.7e308, inf, -inf, None]
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k long, x double")
+    for p in (3, 4, 6):
+        got = [r.x for r in table.select("k", vectors.rounded(F.col("x"), p).alias("x")).orderBy("k").collect()]
+        assert got == [r[0] for r in c.execute(f"SELECT round(x, {p}) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
+    none = table.select(vectors.rounded(F.lit(float("nan")), 4).alias("x")).first().x
+    assert none != none
+
+    events = spark.range(2000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 0.18 * (2 * id + 1)) AS ts", "id % 7 AS user_id", "'click' AS event_type", "id % 900 / 100D AS value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = c.execute(f"SELECT pid, clamped, near, ratio, mean, square, cube, x FROM ({queries.ORACLE_SQL['scalars']}) ORDER BY pid").fetchall()
+    got = queries.QUERIES["scalars"](spark, str(tmp_path)).orderBy("pid").collect()
+    assert repr([tuple(r) for r in got]) == repr(want)  # NaN of 0 over 0 as well
+
+
 def test_means_of_neighbours_are_summed_by_vid(spark):
     """Sums in the order of arrival came out differently in the last bits, and so did spikes at the very threshold."""
     values = [0.1, 0.2, 0.3, 1e16, 1.0, -1e16, 0.7]
