@@ -1,7 +1,7 @@
 """Radius and nearest-neighbour joins by grid cells, and what is built on them.
 
-A distance predicate becomes an equi-join: one side is looked up in the 27 cells around each of
-its points.  The grid's cell is the radius, so the remaining filter on the exact distance is all
+A distance predicate becomes an equi-join: one side is looked up in the cells around each of its
+points, 27 or a few more.  The grid's cell is the radius, so the remaining filter on the exact distance is all
 that is left to do.  k-NN works on leaves of bounded counts, which follow the density of the cloud.
 """
 
@@ -39,10 +39,13 @@ def _keyed(df: DataFrame, size: float, axes: str) -> DataFrame:
     return df.withColumns({f"c{a}": c for a, c in zip(axes, _cells(size, axes), strict=True)})
 
 
-def _around(df: DataFrame, size: float, axes: str) -> DataFrame:
-    steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{a}") for a, d in zip(axes, offs, strict=True)]) for offs in itertools.product((-1, 0, 1), repeat=len(axes))])
-    spread = df.withColumn("_step", F.explode(steps))
-    return spread.withColumns({f"c{a}": c + F.col(f"_step.d{a}") for a, c in zip(axes, _cells(size, axes), strict=True)}).drop("_step")
+def _around(df: DataFrame, size: float, axes: str, radius: float) -> DataFrame:
+    """``df`` with a row for each cell within the radius of each point, a little more, as quotients and distances are rounded."""
+    reach = radius * (1 + 1e-9)
+    for a in axes:
+        ends = [F.floor((F.col(a) + way * reach) / size).cast("long") for way in (-1, 1)]
+        df = df.withColumn(f"c{a}", F.explode(F.sequence(*ends)))
+    return df
 
 
 def _d2(axes: str) -> Column:
@@ -55,7 +58,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, axes: str = "
     Sizes are known before the cells around are spread out only, so neither side is left to be broadcast.
     """
     size = radius + margin
-    a = _around(left.select("pid", *axes), size, axes)
+    a = _around(left.select("pid", *axes), size, axes, radius)
     b = _keyed(right.select(F.col("pid").alias("nid"), *axes), size, axes).withColumnsRenamed({x: f"n{x}" for x in axes})
     return a.join(b.hint("merge"), [f"c{x}" for x in axes]).withColumn("d2", _d2(axes)).where(F.col("d2") <= radius * radius).select("pid", "nid", "d2")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from cragspan.operators.terrain import locate
 from cragspan.plans.storage import materialise
 
 EARTH_RADIUS = 6_371_000.0
-#: Points of one place that are paired at once, about.
+#: Points of one place that are paired at once, and places that are, about.
 MEMBERS = 1_024
+PLACES = 1_024
 
 
 def line_of_sight(rays: DataFrame, faces: DataFrame, samples: int, size: float, radius: float = EARTH_RADIUS) -> DataFrame:
@@ -38,22 +41,35 @@ def viewshed(observer: tuple[float, float, float], targets: DataFrame, faces: Da
     return line_of_sight(rays, faces, samples, size).select(F.col("ray").alias("pid"), "visible")
 
 
-def intervisibility(points: DataFrame, faces: DataFrame, reach: float, height: float, samples: int, size: float) -> DataFrame:
-    """Pairs ``(a, b)`` of ``points(pid, x, y)`` at most ``reach`` apart in plan, with the clearance of the sight between them,
-    both ends ``height`` over the mesh, and whether they see each other; points off the mesh are left out.
+def _every_pair(places: DataFrame) -> DataFrame:
+    """``(pid, nid)`` of all written ``places``, each with itself too: blocks of places meet blocks, so neither side is held whole."""
+    blocks = math.ceil(places.count() / PLACES) or 1
+    own, other = F.pmod(F.xxhash64("pid"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = places.select("pid", own.cast("int").alias("i"), other.alias("j"))
+    b = places.select(F.col("pid").alias("nid"), own.cast("int").alias("j"), other.alias("i"))
+    return a.join(b.hint("merge"), ["i", "j"]).select("pid", "nid")
+
 
-    Sights are followed between places, each way that a lesser id looks to a greater one; their points are paired last, in
-    lists of bounded numbers, and are not shuffled as pairs.
+def sights(points: DataFrame, faces: DataFrame, reach: float | None, height: float, samples: int, size: float) -> tuple[DataFrame, DataFrame]:
+    """``(places, sights)``: the places ``(pid, x, y, z, last, lists)`` of ``points(pid, x, y)`` on the mesh, named by their least pid, and
+    ``(ray, clearance, blocked, visible)`` from place ``ray.pid`` to place ``ray.nid``, each way that a lesser id looks to a greater one.
+
+    All places are paired, each with itself if it has several points; a ``reach`` keeps those pairs only that are at most so far apart in plan.
     """
+    points = points.where("abs(x) < double('inf') and abs(y) < double('inf')")
     places = points.groupBy("x", "y").agg(F.min("pid").alias("pid"), F.max("pid").alias("last"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("lists"))
     places = materialise(places, "places")
     ground = locate(places, faces, size).select("pid", (F.col("z") + height).alias("z"))
     placed = materialise(places.join(ground.hint("merge"), "pid"), "posts")
     ends = [placed.select(F.col("pid").alias(name), *[F.col(c).alias(f"{c}{k}") for c in ("x", "y", "z", "last")]) for k, name in enumerate(("pid", "nid"))]
-    pairs = radius_pairs(placed, placed, reach, "xy").select("pid", "nid")
+    pairs = _every_pair(placed) if reach is None else radius_pairs(placed, placed, reach, "xy").select("pid", "nid")
     rays = pairs.join(ends[0], "pid").join(ends[1], "nid").where("pid < last1").withColumn("ray", F.struct("pid", "nid"))
-    found = materialise(line_of_sight(rays.select("ray", *[f"{c}{k}" for k in (0, 1) for c in "xyz"]), faces, samples, size), "sights")
+    return placed, materialise(line_of_sight(rays.select("ray", *[f"{c}{k}" for k in (0, 1) for c in "xyz"]), faces, samples, size), "sights")
+
 
+def paired(points: DataFrame, placed: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs ``(a, b, clearance, visible)`` of ``points`` by the sights between their places: paired last, in lists of bounded numbers, and
+    not shuffled as pairs."""
     owned = points.select(F.col("pid").alias("post"), "x", "y").join(placed.select("pid", "x", "y", "lists"), ["x", "y"])
     listed = owned.groupBy("pid", F.pmod(F.xxhash64("post"), "lists").alias("list")).agg(F.collect_list("post").alias("posts"))
     members = [materialise(listed, "members").select(F.col("pid").alias(f"{c}_at"), F.col("list").alias(f"{c}_list"), F.col("posts").alias(f"{c}s")) for c in "ab"]
@@ -62,6 +78,15 @@ def intervisibility(points: DataFrame, faces: DataFrame, reach: float, height: f
     return met.withColumn("a", F.explode("as")).withColumn("b", F.explode("bs")).where("a < b").select("a", "b", "clearance", "visible")
 
 
-def network(points: DataFrame, faces: DataFrame, reach: float, height: float, samples: int, size: float) -> DataFrame:
+def intervisibility(points: DataFrame, faces: DataFrame, reach: float | None, height: float, samples: int, size: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``points(pid, x, y)``, with the clearance of the sight between them, both ends ``height`` over the mesh, and
+    whether they see each other; points off the mesh are left out.
+
+    All points are paired; a ``reach`` keeps those pairs only that are at most so far apart in plan.
+    """
+    return paired(points, *sights(points, faces, reach, height, samples, size))
+
+
+def network(points: DataFrame, faces: DataFrame, reach: float | None, height: float, samples: int, size: float) -> DataFrame:
     """The pairs of points that see each other."""
     return intervisibility(points, faces, reach, height, samples, size).where("visible").select("a", "b")

@@ -86,4 +86,9 @@ def _posts(k: SparkSession, d: str) -> DataFrame:
     return q._table(k, d, "supplier").select(c.alias("pid"), ((c * 7 % 13 + 0.45) * s).alias("x"), ((c * 5 % 14 + 0.55) * s).alias("y"))
 
 
-QUERIES["intervisibility"] = lambda k, d: q._rounded(visibility.intervisibility(_posts(k, d), q._faces(k, d), 4.0, 1.7, 20, 1.0))
+def _intervisible(k: SparkSession, d: str) -> DataFrame:
+    placed, found = visibility.sights(_posts(k, d), q._faces(k, d), None, 1.7, 20, 1.0)
+    return visibility.paired(_posts(k, d), placed, q._rounded(found))  # rounded once a sight
+
+
+QUERIES["intervisibility"] = _intervisible

@@ -75,3 +75,13 @@ def test_spread_points_are_never_broadcast(spark, capsys):
     few = table(spark, cloud("even", 50, 4, 3), "xyz")
     neighbours.radius_pairs(few, few, 1.0).explain()
     assert "BroadcastHashJoin" not in capsys.readouterr().out
+
+
+def test_no_pair_at_the_very_radius_is_left_out(spark):
+    """Of two points on either side of a whole cell, at the radius but for what rounding takes off, the cells were two apart."""
+    ends = [(3.9999999999999996, 8.0), (-1e-20, 4.0), (-4.0, 0.0), (5e6, 5e6 + 4.0), (-5e6 - 1e-9, -5e6 + 4.0)]
+    rows = [(2 * k + i, x, 0.25) for k, pair in enumerate(ends) for i, x in enumerate(pair)]
+    odd = [(90, math.nan, 0.25), (91, math.inf, 0.25), (92, None, 0.25)]
+    for few, radius in ((table(spark, rows, "xy"), 4.0), (table(spark, rows + odd, "xy"), 0.1)):
+        got = [tuple(r) for r in neighbours.radius_pairs(few, few, radius, "xy").select("pid", "nid").collect()]
+        assert sorted(got) == sorted((i, j) for i, x, _ in rows for j, y, _ in rows if (x - y) * (x - y) <= radius * radius)

@@ -2,12 +2,14 @@
 
 import collections
 import itertools
+import math
 
 import numpy as np
 import pytest
 
 from cragspan.operators import cloud as c
 from cragspan.operators import sampling, terrain, triangulate, visibility
+from cragspan.plans import every as queries
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +89,27 @@ def test_sights_are_followed_once_a_place(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in got) == list(itertools.combinations(range(60), 2))
     assert all(r.visible == ((r.a % 3 == 2) == (r.b % 3 == 2)) for r in got)
     assert rays == [9]
+
+
+def test_all_posts_are_paired_however_far_apart(spark, monkeypatch):
+    """Only posts within a reach were paired, which on larger grids were those of one place."""
+    v = spark.createDataFrame([(k, float(x), float(y), 4.0 if x == 5 else 0.0) for k, (x, y) in enumerate(itertools.product(range(11), range(5)))], "vid long, x double, y double, z double")
+    faces = terrain.corners(v, triangulate.delaunay(v))
+    places = [(0.5, 0.5), (2.0, 3.5), (4.25, 1.0), (6.5, 2.0), (8.0, 3.25), (9.75, 0.25), (9.5, 3.5)]
+    posts = [(k, *places[k * 3 % 7]) for k in range(25)] + [(90, 99.0, 0.0), (91, math.nan, 1.0), (92, None, 1.0)]
+    table = spark.createDataFrame(posts, "pid long, x double, y double").repartition(3)
+    monkeypatch.setattr(visibility, "PLACES", 2)  # several blocks
+    monkeypatch.setattr(visibility, "MEMBERS", 2)
+    got = visibility.intervisibility(table, faces, None, 1.0, 40, 2.0).collect()
+    assert sorted((r.a, r.b) for r in got) == list(itertools.combinations(range(25), 2))
+    side = {k: x < 5 for k, x, _ in posts[:25]}
+    assert all(r.visible == (side[r.a] == side[r.b]) for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, visibility.intervisibility(table, faces, 50.0, 1.0, 40, 2.0).collect()))
+    assert visibility.intervisibility(table.where("pid > 80"), faces, None, 1.0, 40, 2.0).count() == 0
+
+
+def test_the_query_pairs_all_posts(spark):
+    """It returned 941 of the 4,950 pairs."""
+    n = spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()
+    rows = queries.QUERIES["intervisibility"](spark, "/root/testdata/sf0.01").collect()
+    assert len({(r.a, r.b) for r in rows}) == len(rows) == n * (n - 1) // 2
